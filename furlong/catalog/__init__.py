@@ -1,0 +1,15 @@
+"""Registered queries by area."""
+
+from __future__ import annotations
+
+import importlib
+
+from furlong.catalog import registry
+
+AREAS = ["chance_queries"]
+
+
+def load() -> tuple[dict, dict]:
+    for area in AREAS:
+        importlib.import_module(f"furlong.catalog.{area}")
+    return registry.QUERIES, registry.ORACLE

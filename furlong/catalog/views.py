@@ -127,3 +127,123 @@ LEDGER_SQL = """ledger as (
   cast(case when event_type = 'error' then null when value > 60 then floor(value * 2) else 0 end as bigint) as ret,
   user_id as race_id, ts from events
 )"""
+
+
+def _quoted(weights: tuple[int, int, int], *numbers: Column, wide: int) -> Column:
+    mixed = F.col("race_id") * weights[0]
+    for w, n in zip(weights[1:], numbers):
+        mixed = mixed + n * w
+    return F.lit(1.05) + (mixed % wide).cast("double") / 10
+
+
+def quotes(entrants: DataFrame) -> DataFrame:
+    """Quotes of all eight kinds, a fixed number per entrant: single ones and neighbours by number."""
+    a, b, c = F.col("num"), F.col("num") + 1, F.col("num") + 2
+    n = F.col("heads")
+    fa, fb = (F.floor((x + 1) / 2).cast("int") for x in (a, b))
+
+    def row(kind: str, legs: list[Column], lo: Column, there: Column | None = None, spread: float = 0.0) -> Column:
+        made = F.struct(F.lit(kind).alias("kind"), F.array(*legs).alias("legs"), lo.alias("odds_lo"), (lo + spread).alias("odds_hi"))
+        return made if there is None else F.when(there, made)
+
+    rows = [
+        row("win", [a], _quoted((31, 7, 0), a, wide=400)),
+        row("place", [a], _quoted((17, 5, 0), a, wide=60), spread=1.0),
+        row("frame", [fa, fb], _quoted((31, 7, 13), fa, fb, wide=400), b <= n),
+    ]
+    for x in (b, c):
+        rows += [
+            row("quinella", [a, x], _quoted((31, 7, 13), a, x, wide=400), x <= n),
+            row("wide", [a, x], _quoted((13, 11, 7), a, x, wide=150), x <= n, spread=2.0),
+            row("exacta", [a, x], _quoted((29, 5, 3), a, x, wide=600), x <= n),
+            row("exacta", [x, a], _quoted((29, 5, 3), x, a, wide=600), x <= n),
+        ]
+    rows += [
+        row("trio", [a, b, c], _quoted((7, 3, 5), a, c, wide=900), c <= n),
+        row("trifecta", [a, b, c], _quoted((11, 3, 5), a, c, wide=2000), c <= n),
+        row("trifecta", [c, a, b], _quoted((11, 3, 5), c, b, wide=2000), c <= n),
+    ]
+    return entrants.select("race_id", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+
+
+def _quote_sql(kind: str, legs: str, weights: tuple[int, int, int], x: str, y: str, wide: int, there: str = "true", spread: int = 0) -> str:
+    lo = f"cast(1.05 as double) + cast((race_id * {weights[0]} + {x} * {weights[1]} + {y} * {weights[2]}) % {wide} as double) / 10"
+    return f"select race_id, '{kind}' as kind, {legs} as legs, {lo} as odds_lo, {lo} + {spread} as odds_hi from field where {there}"
+
+
+_F = "cast(floor(({0} + 1) / 2.0) as int)"
+QUOTES_SQL = "quotes as (\n " + "\n union all ".join([
+    _quote_sql("win", "[num]", (31, 7, 0), "num", "0", 400),
+    _quote_sql("place", "[num]", (17, 5, 0), "num", "0", 60, spread=1),
+    _quote_sql("frame", f"[{_F.format('num')}, {_F.format('(num + 1)')}]", (31, 7, 13), _F.format("num"), _F.format("(num + 1)"), 400, "num + 1 <= heads"),
+    *[text for d in (1, 2) for text in (
+        _quote_sql("quinella", f"[num, num + {d}]", (31, 7, 13), "num", f"(num + {d})", 400, f"num + {d} <= heads"),
+        _quote_sql("wide", f"[num, num + {d}]", (13, 11, 7), "num", f"(num + {d})", 150, f"num + {d} <= heads", 2),
+        _quote_sql("exacta", f"[num, num + {d}]", (29, 5, 3), "num", f"(num + {d})", 600, f"num + {d} <= heads"),
+        _quote_sql("exacta", f"[num + {d}, num]", (29, 5, 3), f"(num + {d})", "num", 600, f"num + {d} <= heads"),
+    )],
+    _quote_sql("trio", "[num, num + 1, num + 2]", (7, 3, 5), "num", "(num + 2)", 900, "num + 2 <= heads"),
+    _quote_sql("trifecta", "[num, num + 1, num + 2]", (11, 3, 5), "num", "(num + 2)", 2000, "num + 2 <= heads"),
+    _quote_sql("trifecta", "[num + 2, num, num + 1]", (11, 3, 5), "(num + 2)", "(num + 1)", 2000, "num + 2 <= heads"),
+]) + "\n)"
+
+# chances of every quote, written as sums over orders of finish
+PRICED_SQL = """priced as (
+ select q.race_id, q.kind, q.legs, q.odds_lo,
+  case q.kind when 'win' then a.p1 when 'place' then case when a.heads <= 7 then a.p2 else a.p3 end
+   when 'exacta' then a.p1 * b.p1 / (1 - a.p1)
+   when 'quinella' then least(1, a.p1 * b.p1 / (1 - a.p1) + a.p1 * b.p1 / (1 - b.p1))
+   when 'trifecta' then a.p1 * b.p1 / (1 - a.p1) * c.p1 / (1 - a.p1 - b.p1)
+   when 'trio' then least(1, a.p1 * b.p1 * c.p1 * (
+     (1 / (1 - a.p1) + 1 / (1 - b.p1)) / (1 - a.p1 - b.p1) + (1 / (1 - a.p1) + 1 / (1 - c.p1)) / (1 - a.p1 - c.p1)
+     + (1 / (1 - b.p1) + 1 / (1 - c.p1)) / (1 - b.p1 - c.p1))) end as chance,
+  a.p1 as a1, a.p2 as a2, a.p3 as a3, b.p1 as b1, b.p2 as b2, b.p3 as b3, c.p3 as c3, a.heads
+ from quotes q join chances a on a.race_id = q.race_id and a.num = q.legs[1]
+ left join chances b on b.race_id = q.race_id and b.num = q.legs[2]
+ left join chances c on c.race_id = q.race_id and c.num = q.legs[3]
+ where q.kind not in ('wide', 'frame')
+), wides as (
+ select q.race_id, q.kind, q.legs, q.odds_lo,
+  case when max(a.heads) = 2 then least(1, max(a.p1 * b.p1 / (1 - a.p1) + a.p1 * b.p1 / (1 - b.p1))) else least(1, sum(a.p1 * b.p1 * x.p1 * (
+   (1 / (1 - a.p1) + 1 / (1 - b.p1)) / (1 - a.p1 - b.p1) + (1 / (1 - a.p1) + 1 / (1 - x.p1)) / (1 - a.p1 - x.p1)
+   + (1 / (1 - b.p1) + 1 / (1 - x.p1)) / (1 - b.p1 - x.p1)))) end as chance, max(a.p3) as a3, max(b.p3) as b3
+ from quotes q join chances a on a.race_id = q.race_id and a.num = q.legs[1]
+ join chances b on b.race_id = q.race_id and b.num = q.legs[2]
+ left join chances x on x.race_id = q.race_id and x.num <> a.num and x.num <> b.num
+ where q.kind = 'wide' group by q.race_id, q.kind, q.legs, q.odds_lo
+), frames as (
+ select q.race_id, q.kind, q.legs, q.odds_lo, least(1, coalesce(sum(a.p1 * b.p1 / (1 - a.p1)), 0)) as chance
+ from quotes q join chances a on a.race_id = q.race_id
+ join chances b on b.race_id = q.race_id and b.num <> a.num
+  and ((a.frame = q.legs[1] and b.frame = q.legs[2]) or (a.frame = q.legs[2] and b.frame = q.legs[1]))
+ where q.kind = 'frame' group by q.race_id, q.kind, q.legs, q.odds_lo
+), usable as (
+ select race_id, kind, legs, odds_lo, chance from priced where case kind
+  when 'win' then a1 >= 0.1 when 'place' then case when heads <= 7 then a2 >= 0.1 else a3 >= 0.1 end
+  when 'quinella' then a2 >= 0.1 and b2 >= 0.1 when 'exacta' then a1 >= 0.1 and b2 >= 0.1
+  when 'trio' then a3 >= 0.1 and b3 >= 0.1 and c3 >= 0.1 when 'trifecta' then a1 >= 0.1 and b2 >= 0.1 and c3 >= 0.1 end
+ union all select race_id, kind, legs, odds_lo, chance from wides where a3 >= 0.1 and b3 >= 0.1
+ union all select race_id, kind, legs, odds_lo, chance from frames
+), tickets as (
+ select *, chance * odds_lo as value from usable where chance between 0.1 and 1 and odds_lo > 0 and chance * odds_lo >= 1
+)"""
+
+TICKETS_SQL = [FIELD_SQL, CHANCES_SQL, QUOTES_SQL, PRICED_SQL]
+
+
+def leg_string(column: str = "legs") -> Column:
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), "-")
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Entrants with their exact chances."""
+    from furlong.operators.chances import chances
+
+    return chances(field(spark, sf), hot_races(spark, sf))
+
+
+def tickets(spark: SparkSession, sf: str, min_value: float = 1.0) -> DataFrame:
+    from furlong.operators.tickets import propose
+
+    entrants = scored(spark, sf)
+    return propose(entrants, quotes(field(spark, sf)), hot_races(spark, sf), min_value)

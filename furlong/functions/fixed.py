@@ -124,8 +124,35 @@ PATTERNS = {
     "card_file": r"horse_racing_data_([0-9]{10}|[0-9]{12})\.csv",
     "race_link": r"race_id=(\d{12})",
     "past_marker": r"^(前走|[2-5]走前)の成績$",
+    "allowance": r"^[▲☆△★◇]",
+    "decimal": r"([\d.]+)",
+    "name_tag": r"^[(（](?:地|外|父|市|招|特)[)）]",
+    "katakana_l": r"(?<=[ァ-ヶー])l(?=[ァ-ヶー]|$)",
+    "band_number": r"\d{3,4}",
+    "band_upper": r"以下|未満|まで|^[~〜\-−–]",
+    "band_lower": r"以上|超|から|[~〜\-−–]$",
+    "obstacle": r"障(?:害)?[0-9]",
+    "refund": r"返還|特払|特別払戻",
 }
 
+# Characters read as the long vowel mark in names, and one wrong spelling it causes.
+NAME_BARS = "ｌ｜￨¦"
+NAME_LONG = "ー"
+NAME_REPAIR = ("bーe", "ble")
+
+# Text forms of the legs per kind.
+LEG_PATTERNS = {
+    "win": r"^(\d+)", "place": r"^(\d+)", "frame": r"^枠(\d+)-枠(\d+)$",
+    "quinella": r"^(\d+)-(\d+)$", "wide": r"^(\d+)-(\d+)$", "exacta": r"^(\d+)→(\d+)$",
+    "trio": r"^(\d+)-(\d+)-(\d+)$", "trifecta": r"^(\d+)→(\d+)→(\d+)$",
+}
+LEG_FORMS = {
+    "win": "%d", "place": "%d", "frame": "枠%d-枠%d", "quinella": "%d-%d", "wide": "%d-%d",
+    "exacta": "%d→%d", "trio": "%d-%d-%d", "trifecta": "%d→%d→%d",
+}
+MAX_NUMBER = 18
+MAX_FRAME = 8
+
 # Row labels and field order of the vertical card.
 CARD_NAME_LABEL = "馬名"
 CARD_NUMBER_LABEL = "馬番"

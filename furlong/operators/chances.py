@@ -26,10 +26,10 @@ POWERS = 11
 def softmax(df: DataFrame, g: Groups, score: str = "score", temperature: float | str = 1.0, name: str = "p1") -> DataFrame:
     """WN07: group softmax, shifted by the group maximum."""
     heat = F.col(temperature) if isinstance(temperature, str) else F.lit(float(temperature))
-    df = g.add(df.withColumn("_x", F.col(score) / heat), _top=F.max(F.col(score) / heat))
-    df = df.withColumn("_w", F.exp(F.col("_x") - F.col("_top")))
+    df = g.add(df, _top=F.max(F.col(score) / heat))
+    df = df.withColumn("_w", F.exp(F.col(score) / heat - F.col("_top")))
     df = g.add(df, _sum=F.sum("_w"))
-    return df.withColumn(name, F.col("_w") / F.col("_sum")).drop("_x", "_top", "_w", "_sum")
+    return df.withColumn(name, F.col("_w") / F.col("_sum")).drop("_top", "_w", "_sum")
 
 
 def renormalise(df: DataFrame, g: Groups, chance: str = "p1", name: str = "p") -> DataFrame:
@@ -44,20 +44,19 @@ def _leaders(df: DataFrame, g: Groups, value: str) -> DataFrame:
     df = df.withColumn("_key", F.struct(F.col(value).alias("v"), (-F.col("num")).alias("n")))
     df = g.add(df, _best=F.max("_key"), heads=F.count(F.lit(1)))
     df = g.add(df, _next=F.max(F.when(F.col("_key") < F.col("_best"), F.col("_key"))))
-    return (
-        df.withColumn("heads", F.col("heads").cast("int"))
-        .withColumn("lead", F.col("_key") == F.col("_best"))
-        .withColumn("second", F.coalesce(F.col("_key") == F.col("_next"), F.lit(False)))
-    )
+    return df.withColumns({
+        "lead": F.col("_key") == F.col("_best"),
+        "second": F.coalesce(F.col("_key") == F.col("_next"), F.lit(False)),
+    })
 
 
-def _rivals(df: DataFrame, g: Groups) -> DataFrame:
+def _rivals(df: DataFrame, g: Groups, **more: Column) -> DataFrame:
     """Collect what the double sum needs: the heavy shares and the power sums of the light ones."""
     light = (F.col("heads") > SMALL) & (F.col("_p") <= LIGHT) & ~F.col("lead")
     heavy = ~F.col("lead") & ~light
     powers = {f"_m{t}": F.sum(F.when(light, F.pow("_p", F.lit(float(t))))) for t in range(1, POWERS + 1)}
     own = F.struct(F.col("num").alias("n"), F.col("_p").alias("p"))
-    return g.add(df, _heavy=F.collect_list(F.when(heavy, own)), **powers)
+    return g.add(df, _heavy=F.collect_list(F.when(heavy, own)), **powers, **more)
 
 
 def _reach() -> Column:
@@ -70,20 +69,20 @@ def _reach() -> Column:
             x["n"] != F.col("num"), x["p"] / (1 - p - x["p"]) * (a + 1 / (1 - x["p"]))
         ).otherwise(0.0),
     )
-    series, power, geometric = F.lit(0.0), a, a
-    for t in range(1, POWERS + 1):
-        series = series + F.col(f"_m{t}") * (power * a + geometric)
-        power = power * a
-        geometric = geometric + power
+    # a**t and a + ... + a**t grow along the power sums; only wide fields evaluate this
+    series = F.aggregate(
+        F.array(*[f"_m{t}" for t in range(1, POWERS + 1)]),
+        F.struct(F.lit(0.0).alias("total"), a.alias("power"), a.alias("steps")),
+        lambda s, m: F.struct(
+            (s["total"] + m * (s["power"] * a + s["steps"])).alias("total"),
+            (s["power"] * a).alias("power"), (s["steps"] + s["power"] * a).alias("steps")),
+        lambda s: s["total"],
+    )
     own = F.when(p <= LIGHT, p / (1 - 2 * p) * (2 * a)).otherwise(0.0)
     light = F.when((F.col("heads") > SMALL) & F.col("_m1").isNotNull(), series - own).otherwise(0.0)
     return F.when(F.col("lead"), F.lit(0.0)).otherwise(heavy + light)
 
 
-def _spare(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("_")]
-
-
 def top_three(df: DataFrame, g: Groups, score: str = "score", temperature: float = 1.0) -> DataFrame:
     """PL01: chance to finish first, in the first two and in the first three, exactly."""
     if not temperature > 0 or temperature == float("inf"):
@@ -99,23 +98,20 @@ def top_three(df: DataFrame, g: Groups, score: str = "score", temperature: float
         _z2=F.sum(F.when(rest, F.exp(x - m2))),
     )
     # shares with nobody, the leader, and the two leaders removed, each on its own scale
-    df = df.select(
-        "*",
-        F.exp(x - m0 - F.log("_z0")).alias("_p"),
-        F.exp(x - m1 - F.log("_z1")).alias("_q"),
-        F.exp(x - m2 - F.log("_z2")).alias("_e"),
-        F.exp(-F.log("_z0")).alias("_pb"),
-        F.exp(m1 - m0 - F.log("_z0")).alias("_pc"),
-        F.exp(-F.log("_z1")).alias("_qc"),
-    )
-    df = df.select(
-        "*",
-        F.when(~F.col("lead"), F.col("_p") / (1 - F.col("_p"))).alias("_v"),
-        F.when(rest, F.col("_q") / (1 - F.col("_q"))).alias("_o"),
-        F.when(rest, F.col("_p") / ((1 - F.col("_p")) * (1 - F.col("_q")))).alias("_t"),
-    )
-    df = g.add(df, _vs=F.sum("_v"), _os=F.sum("_o"), _ts=F.sum("_t"))
-    df = _rivals(df, g).withColumn("_u", F.col("_p") * _reach())
+    df = df.withColumns({
+        "_p": F.exp(x - m0 - F.log("_z0")),
+        "_q": F.exp(x - m1 - F.log("_z1")),
+        "_e": F.exp(x - m2 - F.log("_z2")),
+        "_pb": F.exp(-F.log("_z0")),
+        "_pc": F.exp(m1 - m0 - F.log("_z0")),
+        "_qc": F.exp(-F.log("_z1")),
+    })
+    df = df.withColumns({
+        "_v": F.when(~F.col("lead"), F.col("_p") / (1 - F.col("_p"))),
+        "_o": F.when(rest, F.col("_q") / (1 - F.col("_q"))),
+        "_t": F.when(rest, F.col("_p") / ((1 - F.col("_p")) * (1 - F.col("_q")))),
+    })
+    df = _rivals(df, g, _vs=F.sum("_v"), _os=F.sum("_o"), _ts=F.sum("_t")).withColumn("_u", F.col("_p") * _reach())
     df = g.add(df, _us=F.sum("_u"))
     p, pb, pc, q, qc = (F.col(c) for c in ("_p", "_pb", "_pc", "_q", "_qc"))
     second = F.when(F.col("lead"), p * F.col("_vs")).otherwise(pb * q + p * (F.col("_vs") - F.col("_v")))
@@ -131,13 +127,13 @@ def top_three(df: DataFrame, g: Groups, score: str = "score", temperature: float
         )
     )
     p2 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), p + second))
-    df = df.withColumn("_p2", p2).withColumn("_p3", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_p2") + third)))
-    df = df.withColumns({
-        "p1": F.col("_p"),
-        "p2": F.when(F.col("heads") <= 2, 1.0).otherwise(F.col("_p2")),
-        "p3": F.when(F.col("heads") <= 3, 1.0).otherwise(F.col("_p3")),
-    })
-    return df.drop("lead", "second", *_spare(df))
+    p3 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), p2 + third))
+    kept = [c for c in df.columns if not c.startswith("_") and c not in ("lead", "second", "p1", "p2", "p3")]
+    return df.select(
+        *kept, p.alias("p1"),
+        F.when(F.col("heads") <= 2, 1.0).otherwise(p2).alias("p2"),
+        F.when(F.col("heads") <= 3, 1.0).otherwise(p3).alias("p3"),
+    )
 
 
 def chances(entries: DataFrame, hot: Hot, score: str = "score", temperature: float = 1.0) -> DataFrame:
@@ -148,49 +144,51 @@ def chances(entries: DataFrame, hot: Hot, score: str = "score", temperature: flo
 def strengths(df: DataFrame, g: Groups, chance: str = "p1") -> DataFrame:
     """Per entrant what every order chance needs, from win chances of any scale.
 
-    ``p`` share, ``rest`` the others' total, ``rest_lead``/``rest_two`` totals without the strongest
-    and without the two strongest, ``reach`` and ``reach_lead`` the sums behind "both in the first three".
+    ``p`` share and ``rest`` the others' total; ``place`` 1 for the strongest, 2 for the second, else 0;
+    ``rest_two`` the total without these two; ``among`` and ``beside`` the sums behind ``wide``.
     """
     df = renormalise(df, g, chance, "_p")
     df = _leaders(df, g, "_p")
-    df = g.add(
-        df,
-        _t0=F.sum("_p"),
-        rest_lead=F.sum(F.when(~F.col("lead"), F.col("_p")).otherwise(0.0)),
-        rest_two=F.sum(F.when(~F.col("lead") & ~F.col("second"), F.col("_p")).otherwise(0.0)),
-    )
-    df = df.withColumn("rest", F.when(F.col("lead"), F.col("rest_lead")).otherwise(F.col("_t0") - F.col("_p")))
-    df = _rivals(df, g).withColumn("reach", _reach())
-    left = F.col("rest_lead") - F.col("_p")
-    beyond = F.when(
-        ~F.col("lead") & ~F.col("second") & (left > 0),
-        F.col("_p") / left * (1 / F.col("rest_lead") + 1 / F.col("rest")),
-    ).otherwise(0.0)
-    df = g.add(df.withColumn("_y", beyond), reach_lead=F.sum("_y"))
-    df = df.withColumn("p", F.col("_p"))
-    return df.drop(*_spare(df))
+    lead, other = F.col("lead"), ~F.col("lead") & ~F.col("second")
+    df = _rivals(
+        df, g, _t0=F.sum("_p"),
+        _t1=F.sum(F.when(~lead, F.col("_p")).otherwise(0.0)), rest_two=F.sum(F.when(other, F.col("_p")).otherwise(0.0)))
+    df = df.withColumns({
+        "p": F.col("_p"), "rest": F.when(lead, F.col("_t1")).otherwise(F.col("_t0") - F.col("_p")), "_reach": _reach(),
+        "place": F.when(lead, 1).when(F.col("second"), 2).otherwise(0),
+    })
+    p, t1, t2 = F.col("p"), F.col("_t1"), F.col("rest_two")
+    beyond = F.when(other, _between(p, t1 - p, t1, F.col("rest"))).otherwise(0.0)
+    df = g.add(df.withColumn("_y", beyond), _beyond=F.sum("_y"))
+    best, runner = 1 - t1, t1 - t2
+    past_lead = _between(best, F.when(F.col("second"), t2).otherwise(t1 - p), F.col("rest"), t1)
+    kept = [c for c in df.columns if not c.startswith("_") and c not in ("lead", "second")]
+    return df.select(
+        *kept, F.when(lead, F.col("_beyond")).otherwise(F.col("_reach")).alias("among"),
+        F.when(lead, _between(runner, t2, t1, 1 - runner)).otherwise(past_lead).alias("beside"))
 
 
-LEG_FIELDS = ["p", "rest", "rest_lead", "rest_two", "reach", "reach_lead", "lead", "second", "heads"]
+def _between(p: Column, left: Column, rest_a: Column, rest_b: Column) -> Column:
+    """p/left * (1/rest_a + 1/rest_b): one entrant before or between two others."""
+    return F.when((p > 0) & (left > 0), p / left * (1 / rest_a + 1 / rest_b)).otherwise(0.0)
 
 
-def leg(prefix: str = "") -> Column:
-    """The strength columns of one entrant as one value that travels through joins."""
-    return F.struct(*[F.col(prefix + c).alias(c) for c in LEG_FIELDS])
+LEG_FIELDS = ["p", "rest", "rest_two", "place", "among", "beside", "heads"]
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when((whole > 0) & (part > 0), part / whole).otherwise(0.0)
 
 
+def _at_most_one(chance: Column) -> Column:
+    """Sums of floating point terms may pass 1 in the last digit."""
+    return F.least(F.lit(1.0), chance)
+
+
 def rest_of_two(a: Column, b: Column) -> Column:
     """Total strength left when a and b are gone."""
-    return (
-        F.when((a["lead"] & b["second"]) | (b["lead"] & a["second"]), a["rest_two"])
-        .when(a["lead"], a["rest_lead"] - b["p"])
-        .when(b["lead"], a["rest_lead"] - a["p"])
-        .otherwise(a["rest"] - b["p"])
-    )
+    both = a["place"] * b["place"] == 2
+    return F.when(both, a["rest_two"]).when(b["place"] == 1, b["rest"] - a["p"]).otherwise(a["rest"] - b["p"])
 
 
 def exacta(a: Column, b: Column) -> Column:
@@ -200,7 +198,7 @@ def exacta(a: Column, b: Column) -> Column:
 
 def quinella(a: Column, b: Column) -> Column:
     """PL03: a and b first and second in any order."""
-    return exacta(a, b) + exacta(b, a)
+    return _at_most_one(exacta(a, b) + exacta(b, a))
 
 
 def trifecta(a: Column, b: Column, c: Column) -> Column:
@@ -211,52 +209,35 @@ def trifecta(a: Column, b: Column, c: Column) -> Column:
 def trio(a: Column, b: Column, c: Column) -> Column:
     """PL05: a, b, c in any order."""
     pairs = [(a, b, c), (a, c, b), (b, c, a)]
-    return sum((quinella(x, y) * _share(z["p"], rest_of_two(x, y)) for x, y, z in pairs), F.lit(0.0))
+    return _at_most_one(sum((quinella(x, y) * _share(z["p"], rest_of_two(x, y)) for x, y, z in pairs), F.lit(0.0)))
 
 
 def wide(a: Column, b: Column) -> Column:
     """PL06: a and b both in the first three."""
     left = rest_of_two(a, b)
+    pair = 1 / a["rest"] + 1 / b["rest"]
 
     def through(x: Column, y: Column) -> Column:
-        """x and y with somebody else between or before, that somebody removed together with x."""
-        pair = F.when(left > 0, y["p"] / left * (1 / x["rest"] + 1 / y["rest"])).otherwise(0.0)
-        usual = x["reach"] - F.when(y["lead"], 0.0).otherwise(pair)
-        before_lead = F.when(y["lead"], 0.0).otherwise(_past_lead(x))
-        ahead = x["reach_lead"] - F.when(y["second"], 0.0).otherwise(pair)
-        return F.when(x["lead"], ahead + F.when(y["second"], 0.0).otherwise(_lead_second(x))).otherwise(usual + before_lead)
+        """Somebody else before or between; ``among`` leaves out the one entrant ``beside`` stands for."""
+        left_out = y["place"] == F.when(x["place"] == 1, 2).otherwise(1)
+        return x["among"] + F.when(left_out, 0.0).otherwise(x["beside"] - y["p"] / left * pair)
 
     both = quinella(a, b) + a["p"] * b["p"] * (through(a, b) + through(b, a))
-    return F.when(a["heads"] == 2, quinella(a, b)).when((a["p"] > 0) & (b["p"] > 0), F.least(F.lit(1.0), both)).otherwise(0.0)
-
-
-def _past_lead(x: Column) -> Column:
-    """The term of ``reach`` for the strongest entrant, which the sum itself leaves out."""
-    best = 1 - x["rest_lead"]
-    left = F.when(x["second"], x["rest_two"]).otherwise(x["rest_lead"] - x["p"])
-    return F.when((left > 0) & (x["rest"] > 0), best / left * (1 / x["rest"] + 1 / x["rest_lead"])).otherwise(0.0)
-
-
-def _lead_second(x: Column) -> Column:
-    """The term of ``reach_lead`` for the second strongest entrant."""
-    runner = x["rest_lead"] - x["rest_two"]
-    return F.when(
-        (x["rest_two"] > 0) & (runner > 0), runner / x["rest_two"] * (1 / x["rest_lead"] + 1 / (1 - runner))
-    ).otherwise(0.0)
+    possible = (left > 0) & (a["p"] > 0) & (b["p"] > 0)
+    return F.when(a["heads"] == 2, quinella(a, b)).when(possible, _at_most_one(both)).otherwise(0.0)
 
 
 def frame_strengths(entrants: DataFrame) -> DataFrame:
     """Per contest and frame: share, odds sum and the chance that one frame fills the first two places."""
-    odds = _share(F.col("p"), F.col("rest"))
+    odds, lead = _share(F.col("p"), F.col("rest")), F.col("place") == 1
     summed = entrants.filter(F.col("frame").isNotNull()).groupBy("race_id", "frame").agg(
         F.sum("p").alias("share"),
         F.sum(odds).alias("odds"),
-        F.sum(odds * F.col("p")).alias("own"),
-        F.sum(F.when(~F.col("lead"), F.col("p")).otherwise(0.0)).alias("share_rest"),
-        F.sum(F.when(~F.col("lead"), odds).otherwise(0.0)).alias("odds_rest"),
-        F.sum(F.when(~F.col("lead"), odds * F.col("p")).otherwise(0.0)).alias("own_rest"),
-        F.max("lead").alias("has_lead"),
-        F.max(F.when(F.col("lead"), odds)).alias("odds_lead"),
+        F.sum(F.when(lead, 0.0).otherwise(F.col("p"))).alias("share_rest"),
+        F.sum(F.when(lead, 0.0).otherwise(odds)).alias("odds_rest"),
+        F.sum(F.when(lead, 0.0).otherwise(odds * F.col("p"))).alias("own_rest"),
+        F.max(lead).alias("has_lead"),
+        F.max(F.when(lead, odds)).alias("odds_lead"),
     )
     inside = F.col("odds_rest") * F.col("share") - F.col("own_rest")
     return summed.select(
@@ -267,4 +248,4 @@ def frame_strengths(entrants: DataFrame) -> DataFrame:
 
 def frame_pair(f: Column, h: Column, same: Column) -> Column:
     """PL07: the first two come from the two frames, in either order."""
-    return F.when(same, f["inside"]).otherwise(f["odds"] * h["share"] + h["odds"] * f["share"])
+    return _at_most_one(F.when(same, f["inside"]).otherwise(f["odds"] * h["share"] + h["odds"] * f["share"]))

@@ -66,20 +66,30 @@ class Windowed:
 
     def add(self, df: DataFrame, **aggregates: Column) -> DataFrame:
         whole = Window.partitionBy(*self.keys)
-        kept = [c for c in df.columns if c not in aggregates]
-        return df.select(*kept, *[agg.over(whole).alias(name) for name, agg in aggregates.items()])
+        return df.withColumns({name: agg.over(whole) for name, agg in aggregates.items()})
 
     def number(self, df: DataFrame, name: str, *order: Column) -> DataFrame:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*self.keys).orderBy(*order)))
 
+    def running(self, df: DataFrame, name: str, value: Column, how: str, *order: Column) -> DataFrame:
+        """Running ``sum`` or ``max`` of a value up to the row."""
+        upto = Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, (F.sum(value) if how == "sum" else F.max(value)).over(upto))
+
+    def past(self, df: DataFrame, name: str, fields: list[str], depth: int, *order: Column) -> DataFrame:
+        """The ``depth`` rows before this one, latest first."""
+        before = Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(-depth, -1)
+        return df.withColumn(name, F.reverse(F.collect_list(F.struct(*fields)).over(before)))
+
     def rank(self, df: DataFrame, name: str, value: str) -> DataFrame:
         """Lowest rank of the value in descending order; NULL has no rank."""
         ordered = Window.partitionBy(*self.keys).orderBy(F.col(value).desc_nulls_last())
         return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(ordered)))
 
     def ties(self, df: DataFrame, name: str, value: str) -> DataFrame:
-        same = Window.partitionBy(*self.keys, value)
-        return df.withColumn(name, F.count(value).over(same))
+        peers = Window.partitionBy(*self.keys).orderBy(F.col(value).desc_nulls_last()).rangeBetween(
+            Window.currentRow, Window.currentRow)  # the order of rank, so both use one sort
+        return df.withColumn(name, F.count(value).over(peers))
 
     def first(self, df: DataFrame, n: int, *order: Column) -> DataFrame:
         return self.number(df, "_place", *order).filter(F.col("_place") <= n).drop("_place")
@@ -95,22 +105,42 @@ class Aggregated:
         stats = cut(df.groupBy(*self.keys).agg(*[agg.alias(name) for name, agg in aggregates.items()]))
         return _attach(df.drop(*aggregates), stats, self.keys)
 
+    def running(self, df: DataFrame, name: str, value: Column, how: str, *order: Column) -> DataFrame:
+        """Running total inside each range partition, plus the totals of the partitions before it."""
+        combine = F.sum if how == "sum" else F.max
+        parts = self._ranged(df.withColumn("_value", value), *order)
+        upto = Window.partitionBy(*self.keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        totals = cut(parts.groupBy(*self.keys, "_part").agg(combine("_value").alias("_total")))
+        earlier = Window.partitionBy(*self.keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*self.keys, "_part", combine("_total").over(earlier).alias("_before"))
+        placed = _attach(parts.withColumn("_local", combine("_value").over(upto)), before, (*self.keys, "_part"))
+        if how == "sum":
+            known = F.col("_local").isNotNull() | F.col("_before").isNotNull()
+            result = F.when(known, F.coalesce("_local", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+        else:
+            result = F.coalesce(F.greatest("_local", "_before"), F.col("_local"), F.col("_before"))
+        return placed.withColumn(name, result).drop("_part", "_value", "_local", "_before")
+
     def number(self, df: DataFrame, name: str, *order: Column) -> DataFrame:
-        parts = self._ranged(df, *order)
-        local = Window.partitionBy(*self.keys, "_part").orderBy(*order)
-        parts = parts.withColumn("_local", F.row_number().over(local))
-        placed = self._offset(parts, F.count(F.lit(1)))
-        return placed.withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).drop("_part", "_local", "_before")
+        placed = self.running(df, name, F.lit(1), "sum", *order)
+        return placed.withColumn(name, F.col(name).cast("int"))
 
     def rank(self, df: DataFrame, name: str, value: str) -> DataFrame:
         counted = df.filter(F.col(value).isNotNull()).groupBy(*self.keys, value).agg(F.count(F.lit(1)).alias("_n"))
-        parts = self._ranged(counted, F.col(value).desc())
-        earlier = Window.partitionBy(*self.keys, "_part").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumn("_local", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        placed = self._offset(parts, F.sum("_n"))
-        ranks = placed.select(*self.keys, value, (F.col("_local") + F.col("_before") + 1).cast("int").alias(name))
+        upto = self.running(counted, "_upto", F.col("_n"), "sum", F.col(value).desc())
+        ranks = upto.select(*self.keys, value, (F.col("_upto") - F.col("_n") + 1).cast("int").alias(name))
         return lookup(df, ranks, [*self.keys, value], find_hot(df, *self.keys, value))
 
+    def past(self, df: DataFrame, name: str, fields: list[str], depth: int, *order: Column) -> DataFrame:
+        placed = self.number(df, "_n", *order)
+        row = F.struct(*fields)
+        ahead = placed.select(*self.keys, row.alias("_row"), "_n", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("_lag"))
+        seen = ahead.groupBy(*self.keys, (F.col("_n") + F.col("_lag")).alias("_n")).agg(
+            F.array_sort(F.collect_list(F.struct("_lag", "_row"))).alias("_seen"))
+        joined = placed.join(seen, [*self.keys, "_n"], "left")
+        runs = F.coalesce(F.transform("_seen", lambda s: s["_row"]), F.array().cast(_array_of(df, fields)))
+        return joined.withColumn(name, runs).drop("_n", "_seen")
+
     def ties(self, df: DataFrame, name: str, value: str) -> DataFrame:
         counted = df.groupBy(*self.keys, value).agg(F.count(value).alias(name))
         return lookup(df, counted, [*self.keys, value], find_hot(df, *self.keys, value))
@@ -124,13 +154,6 @@ class Aggregated:
     def _ranged(self, df: DataFrame, *order: Column) -> DataFrame:
         return cut(df.repartitionByRange(*[F.col(k) for k in self.keys], *order).withColumn("_part", F.spark_partition_id()))
 
-    def _offset(self, parts: DataFrame, size: Column) -> DataFrame:
-        """Rows of a key in earlier range partitions: one row per (key, partition), not per entry."""
-        sizes = cut(parts.groupBy(*self.keys, "_part").agg(size.alias("_size")))
-        earlier = Window.partitionBy(*self.keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        before = sizes.select(*self.keys, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-        return _attach(parts, before, (*self.keys, "_part"))
-
 
 Groups = Windowed | Aggregated
 Pipeline = Callable[[DataFrame, Groups], DataFrame]
@@ -144,15 +167,22 @@ def by_group(df: DataFrame, hot: Hot, pipeline: Pipeline) -> DataFrame:
     return usual.unionByName(pipeline(hot.rows(df), Aggregated(hot.keys)))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Hot, how: str = "left") -> DataFrame:
-    """Join rows to a table with one row per key; large keys use the few table rows they need."""
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Hot, how: str = "left", fan: int | None = 1) -> DataFrame:
+    """Join rows to a table with one row per key; large keys use the few table rows they need.
+
+    ``fan`` bounds the table rows per hot key, so at most ``fan * HOT_KEYS`` rows are broadcast;
+    with ``None`` the remaining key columns spread the hot rows and nothing is broadcast.
+    """
     usual = hot.cold(rows).join(table, keys, how)
     if hot.table is None:
         return usual
-    few = table.join(F.broadcast(hot.table), list(hot.keys), "left_semi")
-    if set(hot.keys) == set(keys):
-        few = F.broadcast(few)
-    return usual.unionByName(hot.rows(rows).join(few, keys, how))
+    few = hot.rows(table)
+    return usual.unionByName(hot.rows(rows).join(F.broadcast(few) if fan else few, keys, how))
+
+
+def _array_of(df: DataFrame, fields: list[str]) -> str:
+    inner = ",".join(f"`{f}`:{df.schema[f].dataType.simpleString()}" for f in fields)
+    return f"array<struct<{inner}>>"
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys: tuple[str, ...]) -> DataFrame:
