@@ -6,7 +6,7 @@ import importlib
 
 from furlong.catalog import registry
 
-AREAS = ["chance_queries"]
+AREAS = ["chance_queries", "relative_queries", "encode_queries", "settle_queries"]
 
 
 def load() -> tuple[dict, dict]:

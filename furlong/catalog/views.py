@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.operators.groups import Hot, by_group, find_hot
+from furlong.session import cut
 
 _profiles: dict[tuple, Hot] = {}
 
@@ -231,6 +232,11 @@ PRICED_SQL = """priced as (
 TICKETS_SQL = [FIELD_SQL, CHANCES_SQL, QUOTES_SQL, PRICED_SQL]
 
 
+def quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """The quotes as a written table, as they would arrive."""
+    return cut(quotes(field(spark, sf)))
+
+
 def leg_string(column: str = "legs") -> Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), "-")
 
@@ -245,5 +251,4 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 def tickets(spark: SparkSession, sf: str, min_value: float = 1.0) -> DataFrame:
     from furlong.operators.tickets import propose
 
-    entrants = scored(spark, sf)
-    return propose(entrants, quotes(field(spark, sf)), hot_races(spark, sf), min_value)
+    return propose(scored(spark, sf), quoted(spark, sf), hot_races(spark, sf), min_value)

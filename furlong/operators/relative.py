@@ -121,7 +121,7 @@ def rank_label(df: DataFrame, g: Groups, name: str = "label") -> DataFrame:
 
 def has_winner(df: DataFrame, g: Groups, name: str = "has_winner") -> DataFrame:
     """WN15."""
-    return g.add(df, _first=F.min("finish")).withColumn(name, F.col("_first") == 1).drop("_first")
+    return g.add(df, _first=F.min("finish")).withColumn(name, F.coalesce(F.col("_first") == 1, F.lit(False))).drop("_first")
 
 
 def trends(df: DataFrame, fields: list[str], past: str = "past") -> DataFrame:

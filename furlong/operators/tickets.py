@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +95,9 @@ def frame_quotes(quotes: DataFrame, entrants: DataFrame, method: str = "order")
     return out.select(*quotes.columns, chance.alias("chance"))
 
 
-def priced(entries: DataFrame, quotes: DataFrame, hot: Hot, method: str = "order") -> DataFrame:
+def priced(
+    entries: DataFrame, quotes: DataFrame, hot: Hot, method: str = "order", kinds: list[str] | None = None,
+) -> DataFrame:
     """Every quote whose legs may be used, with its chance; SE02: one list from the kinds by number of legs.
 
     A quote is shuffled once per leg and not at all for legs it does not have.
@@ -105,11 +109,16 @@ def priced(entries: DataFrame, quotes: DataFrame, hot: Hot, method: str = "order
         (["quinella", "wide", "exacta"], 2, pair_chance(kind, a, b, method)),
         (["trio", "trifecta"], 3, triple_chance(kind, a, b, c, method)),
     ]
-    out = frame_quotes(quotes.filter(kind == "frame"), entrants, method)
-    for kinds, n, (may, chance) in runners:
-        joined = join_legs(quotes.filter(kind.isin(kinds)), entrants, n)
-        out = out.unionByName(joined.filter(may).select(*quotes.columns, chance.alias("chance")))
-    return out
+    wanted = kinds or fixed.KINDS
+    lists = []
+    for group, n, (may, chance) in runners:
+        mine = [k for k in group if k in wanted]
+        if mine:
+            joined = join_legs(quotes.filter(kind.isin(mine)), entrants, n)
+            lists.append(joined.filter(may).select(*quotes.columns, chance.alias("chance")))
+    if "frame" in wanted:
+        lists.append(frame_quotes(quotes.filter(kind == "frame"), entrants, method))
+    return reduce(DataFrame.unionByName, lists)
 
 
 def valid(df: DataFrame, min_value: float = fixed.DEFAULT_MIN_VALUE) -> DataFrame:
