@@ -6,7 +6,9 @@ import importlib
 
 from furlong.catalog import registry
 
-AREAS = ["chance_queries", "relative_queries", "encode_queries", "settle_queries"]
+AREAS = [
+    "chance_queries", "relative_queries", "encode_queries", "settle_queries", "ledger_queries", "evaluate_queries",
+]
 
 
 def load() -> tuple[dict, dict]:

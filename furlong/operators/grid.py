@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import fixed
 from furlong.functions.columns import cell_of
+from furlong.operators.settle import whole_units
 
 LEVELS = {"all": [], "kind": ["kind"], "race_no": ["race_no"], "both": ["kind", "race_no"]}
 
@@ -46,12 +47,12 @@ def threshold_grid(judged: DataFrame, stake: int = fixed.STAKE) -> DataFrame:
     level = F.grouping_id(*keys, "kind", "race_no")
     grouped = table.groupingSets(sets, *keys, "kind", "race_no").agg(
         level.alias("_level"), F.sum("points").alias("points"), F.sum("hits").alias("hits"), F.sum("paid").alias("_paid"))
-    bet = F.col("points") * stake
+    bet, whole = F.col("points") * stake, whole_units(F.col("_paid"))
     names = F.when(F.col("_level") == 3, "all").when(F.col("_level") == 1, "kind").when(F.col("_level") == 2, "race_no").otherwise("both")
     return grouped.filter(F.col("race_no").isNull() | (F.col("race_no") > 0)).select(
         names.alias("level"), *keys, "kind", "race_no", "points", "hits",
-        (F.col("hits") / F.col("points") * 100).alias("hit_rate"), bet.alias("bet"), F.floor("_paid").alias("ret"),
-        (F.floor("_paid") - bet).alias("profit"), (F.col("_paid") / bet * 100).alias("roi"))
+        (F.col("hits") / F.col("points") * 100).alias("hit_rate"), bet.alias("bet"), whole.alias("ret"),
+        (whole - bet).alias("profit"), (F.col("_paid") / bet * 100).alias("roi"))
 
 
 def value_column(threshold: float) -> str:

@@ -56,15 +56,20 @@ def kind_order(kind: Column | str) -> Column:
     return F.array_position(F.array(*[F.lit(k) for k in fixed.KINDS]), kind).cast("int")
 
 
+def whole_units(amount: Column) -> Column:
+    """Money is cut to whole units, after the rounding noise of summed quotes is gone."""
+    return F.floor(F.round(amount, 6))
+
+
 def settlement_report(judged: DataFrame, stake: int = fixed.STAKE) -> DataFrame:
     """AG09: totals per kind and over all (kind NULL); tickets without a result are not counted."""
     paid = F.when(F.col("hit"), F.col("odds_lo") * stake).otherwise(0.0)
     summed = judged.filter(F.col("hit").isNotNull()).rollup("kind").agg(
         F.count(F.lit(1)).alias("points"), F.sum(F.col("hit").cast("long")).alias("hits"), F.sum(paid).alias("_ret"))
-    bet = F.col("points") * stake
+    bet, whole = F.col("points") * stake, whole_units(F.col("_ret"))
     return summed.select(
         "kind", "points", "hits", (F.col("hits") / F.col("points") * 100).alias("hit_rate"), bet.alias("bet"),
-        F.floor("_ret").alias("ret"), (F.floor("_ret") - bet).alias("profit"), (F.col("_ret") / bet * 100).alias("roi"))
+        whole.alias("ret"), (whole - bet).alias("profit"), (F.col("_ret") / bet * 100).alias("roi"))
 
 
 def first_payouts(payouts: DataFrame) -> DataFrame:
