@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from furlong.functions import fixed
 from furlong.functions.fixed import PATTERNS
@@ -33,10 +34,16 @@ def mapped(c: Column, values: dict) -> Column:
     return F.element_at(F.create_map(*pairs), c)
 
 
-@F.pandas_udf("string")
-def nfkc(values: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no such function."""
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+def _nfkc_udf():
+    def normalise(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+    return F.pandas_udf(normalise, StringType())
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC in Arrow batches; Spark has no such function."""
+    return _nfkc_udf()(c)
 
 
 def text_norm(c: Column | str) -> Column:
