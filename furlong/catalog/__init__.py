@@ -8,7 +8,7 @@ from furlong.catalog import registry
 
 AREAS = [
     "chance_queries", "relative_queries", "encode_queries", "settle_queries", "ledger_queries", "evaluate_queries",
-    "text_queries",
+    "text_queries", "source_queries", "stream_queries", "fit_queries",
 ]
 
 

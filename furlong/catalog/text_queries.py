@@ -24,7 +24,7 @@ def i(name):
     return F.col(name).cast("int").cast("string")
 
 
-@query("nj01_number", with_(FIELD, "select race_id, num, carried as plain, -rate as signed, case when num % 3 = 0 then null else cast(jockey as double) end as spaced from field"))
+@query("nj01_number", with_(FIELD, "select race_id, num, carried as plain, -rate + 0 as signed, case when num % 3 = 0 then null else cast(jockey as double) end as spaced from field"))
 def nj01(spark, sf):
     return _f(spark, sf).select(
         "race_id", "num", text.num(F.concat(s("carried"), F.lit("kg"))).alias("plain"),

@@ -1,14 +1,90 @@
-"""Training job: cards to a model bundle."""
+"""Training job: cards to a model bundle.
+
+scan -> typed entries -> training rows -> features -> out-of-fold statistics -> scorer -> temperature -> bundle
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.functions import fixed
+from furlong.operators import encode, evaluate, features, fit
+from furlong.operators.groups import Hot, find_hot
+from furlong.operators.normalize import normalize_entries
+from furlong.session import cut
+from furlong.sources.files import career_bands, read_entries
+
+ROLE_CONDITIONS = ["venue", "surface", "main_style_name"]
+CATEGORIES = ["venue_name", "sex", "direction", "sire", "damsire"]
+NOT_FEATURES = [
+    "race_id", "num_key", "finish", "label", "fold", "year", "yr", "meeting", "day", "main_style", "score", "p1", "p2", "p3",
+    "career_total", "style_total",
+]
+
+
+@dataclass(frozen=True)
+class TrainConfig:
+    split_year: int = 2025
+    use_pace: bool = False
+    drop_career: bool = False
+    params: dict = field(default_factory=dict)
 
 
 def training_rows(entries: DataFrame, excluded_surface: str = fixed.STEEPLECHASE) -> DataFrame:
     """FL01: rows with a finish, without steeplechases."""
     surface = F.coalesce(F.col("surface"), F.lit(fixed.SURFACE_MISSING))
     return entries.filter((surface != excluded_surface) & F.col("finish").isNotNull())
+
+
+def counters(entries: DataFrame) -> DataFrame:
+    """AG04 input: career and style totals per entry."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return entries.withColumns({"career_total": total(F.get("career", F.lit(0))), "style_total": total(F.col("style4"))})
+
+
+def encoded(entries: DataFrame, race_hot: Hot, snapshot: str, cfg: TrainConfig, bands: dict | None) -> DataFrame:
+    """ML08 with AG03: features and out-of-fold statistics of jockeys and trainers."""
+    made = features.feature_matrix(entries, race_hot, snapshot, bands, cfg.use_pace, cfg.drop_career)
+    made = made.withColumn("fold", fit.race_fold(F.col("race_id"), fixed.FOLDS))
+    train = F.col("year") < cfg.split_year
+    for role in ("jockey", "trainer"):
+        made = cut(encode.out_of_fold(made, [role], find_hot(made, role), role, "fold", train))
+    for condition in ROLE_CONDITIONS:
+        keys = ["jockey", condition]
+        known = made.withColumn(condition, F.coalesce(F.col(condition).cast("string"), F.lit("nan")))
+        found = encode.out_of_fold(
+            known, keys, find_hot(known, *keys), f"jockey_{condition}", "fold", train, least=fixed.MIN_PAIR_RUNS)
+        made = cut(found)
+    return made
+
+
+def train_job(spark: SparkSession, cards: str, bundle: str, cfg: TrainConfig | None = None) -> dict:
+    """Train on all card files below ``cards`` and write the bundle; returns what was measured."""
+    cfg = cfg or TrainConfig()
+    bronze = read_entries(spark, cards)
+    bands = career_bands(bronze.columns)
+    entries, _ = normalize_entries(bronze)
+    rows = cut(training_rows(counters(entries)))
+    snapshot = encode.snapshot_mode(rows)
+    race_hot = find_hot(rows, "race_id")
+    made = fit.label_rows(encoded(rows, race_hot, snapshot, cfg, bands), race_hot)
+    maps = cut(encode.category_maps(made, CATEGORIES))
+    made = cut(encode.apply_categories(made, maps, CATEGORIES))
+    parts = fit.year_split(made.withColumn("yr", F.col("year")), cfg.split_year)
+    train, valid = (parts.filter(F.col("part") == side) for side in ("train", "valid"))
+    columns = fit.numeric_features(made, NOT_FEATURES)
+    model = fit.fit_scorer(train, columns, cfg.params)
+    scored = cut(fit.score(model, valid, columns).select("race_id", "num", "finish", "score"))
+    measured = evaluate.ranking(scored, {"score": F.col("score")}).first().asDict()
+    temperature, loss = evaluate.best_temperature(evaluate.temperature_losses(scored, race_hot))
+    meta = {
+        "temperature": temperature, "features": columns, "snapshot": snapshot, "use_pace": cfg.use_pace,
+        "drop_career": cfg.drop_career or snapshot == "leak", "bands": {k: list(b) for k, b in bands.items()},
+    }
+    tables = {"categories": maps, "pairs": encode.pair_totals(rows, "jockey", ROLE_CONDITIONS)}
+    tables |= {role: encode.role_totals(rows, role) for role in ("jockey", "trainer")}
+    fit.save_bundle(bundle, meta, fit.fit_scorer(parts, columns, cfg.params), tables)
+    return {**measured, "temperature": temperature, "loss": loss, "snapshot": snapshot, "features": len(columns)}

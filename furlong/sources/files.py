@@ -82,9 +82,9 @@ def _venue_code(name: Column) -> Column:
     return text.mapped(F.trim(name), {n: c for c, n in fixed.VENUE_NAMES.items()})
 
 
-def read_predictions(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_predictions(spark: SparkSession, path: str, strict: bool = False, glob: str | None = "pred_*.csv") -> tuple[DataFrame, DataFrame]:
     """SC02: prediction files; the contest comes from the text date.  Strict also rejects rows with unusable numbers."""
-    raw = read_named(spark, path, "1着確率", "pred_*.csv")
+    raw = read_named(spark, path, "1着確率", glob)
     missing = [h for h in schemas.PREDICTION_NEEDED if h not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -95,7 +95,7 @@ def read_predictions(spark: SparkSession, path: str, strict: bool = False) -> tu
         "race_id": race_id_of(key["year"], _venue_code(F.col("venue_name")), key["meeting"], key["day"], text.race_number("race_text")),
         "num": F.col("num").try_cast("double").cast("int"),
         **{p: F.col(p).try_cast("double") for p in ("p1", "p2", "p3")},
-        "frame": F.col("frame").try_cast("double").cast("int") if "frame" in known else F.lit(None).cast("int"),
+        "frame": F.col("frame").try_cast("double").cast("int") if "frame" in known.values() else F.lit(None).cast("int"),
     })
     reason = F.when(F.col("race_id").isNull(), "no usable contest identity")
     if strict:
@@ -104,9 +104,9 @@ def read_predictions(spark: SparkSession, path: str, strict: bool = False) -> tu
     return clean.drop("meeting_text", "venue_name", "race_text", "code"), rejects
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_results(spark: SparkSession, path: str, glob: str | None = "horse_racing_data_*.csv") -> tuple[DataFrame, DataFrame]:
     """SC04: result files; '1着' is finish 1, scratched entrants have no finish but count as starters."""
-    raw = read_named(spark, path, "着順", "horse_racing_data_*.csv")
+    raw = read_named(spark, path, "着順", glob)
     missing = [h for h in schemas.RESULT_NEEDED if h not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -126,11 +126,12 @@ def read_quotes(spark: SparkSession, path: str) -> DataFrame:
     """SC03: quote files; date, contest and kind come from the file name."""
     out = None
     for key, headers in schemas.QUOTE_HEADERS.items():
-        *legs, last = headers[:-2] + headers[-2:] if key != fixed.QUOTE_FILE_BOTH else headers
+        *legs, last = headers
         raw = read_named(spark, path, headers[0], f"odds_*_{key}.csv")
         if any(h not in raw.columns for h in headers):
             continue
-        def number(h):
+
+        def number(h: str) -> Column:
             return F.col(f"`{h}`").try_cast("double")
 
         if key == fixed.QUOTE_FILE_BOTH:
@@ -165,10 +166,12 @@ def peek_columns(spark: SparkSession, path: str, key: str, required: list[str])
     return spark.createDataFrame([(c, c in names) for c in required], "column string, present boolean")
 
 
-def read_ids_from_paths(spark: SparkSession, path: str, glob: str = "horse_racing_data_*.csv") -> DataFrame:
+def read_ids_from_paths(
+    spark: SparkSession, path: str, glob: str = "horse_racing_data_*.csv", pattern: str = PATTERNS["card_file"] + "$",
+) -> DataFrame:
     """SC08: contests named by card files, from the file listing alone."""
     files = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=True).load(path).select("path")
-    code = text.part("path", PATTERNS["card_file"] + "$")
+    code = text.part("path", pattern)
     return files.select(text.canonical_race_id(code).alias("race_id")).filter(F.col("race_id").isNotNull()).distinct().orderBy("race_id")
 
 
