@@ -55,8 +55,8 @@ _JUDGED = [*v.TICKETS_SQL, "numbered as (select *, cast(race_id % 14 as int) as
 
 @query("ag09_settlement_report", with_(*_JUDGED, """
 select kind, count(*) as points, cast(sum(case when hit then 1 else 0 end) as bigint) as hits, round(avg(case when hit then 100.0::double else 0 end), 6) + 0 as hit_rate,
- count(*) * 100 as bet, cast(floor(round(sum(case when hit then odds_lo * 100 else 0 end), 4)) as bigint) as ret,
- cast(floor(round(sum(case when hit then odds_lo * 100 else 0 end), 4)) as bigint) - count(*) * 100 as profit, round(sum(case when hit then odds_lo * 100 else 0 end) / count(*), 6) + 0 as roi
+ count(*) * 100 as bet, cast(floor(round(sum(case when hit then round(odds_lo * 100, 6) else 0 end), 4)) as bigint) as ret,
+ cast(floor(round(sum(case when hit then round(odds_lo * 100, 6) else 0 end), 4)) as bigint) - count(*) * 100 as profit, round(sum(case when hit then round(odds_lo * 100, 6) else 0 end) / count(*), 6) + 0 as roi
 from judged where hit is not null group by rollup(kind)"""))
 def ag09(spark, sf):
     report = settle.settlement_report(judged_tickets(spark, sf))
@@ -66,7 +66,7 @@ def ag09(spark, sf):
 _GRID = _JUDGED + ["mp(min_chance) as (select unnest([" + ", ".join(f"{t}::double" for t in fixed.CHANCE_GRID) + "]))",
     "mv(min_value) as (select unnest([" + ", ".join(f"{t}::double" for t in fixed.VALUE_GRID) + "]))",
     """grid as (select min_chance, min_value, kind, case when race_no between 1 and 12 then race_no else 0 end as race_no, count(*) as points,
- cast(sum(case when hit then 1 else 0 end) as bigint) as hits, sum(case when hit then odds_lo * 100 else 0 end) as paid
+ cast(sum(case when hit then 1 else 0 end) as bigint) as hits, sum(case when hit then round(odds_lo * 100, 6) else 0 end) as paid
  from judged, mp, mv where hit is not null and chance >= min_chance and value >= min_value group by 1, 2, 3, 4)"""]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import fixed
 from furlong.functions.columns import cell_of
-from furlong.operators.settle import whole_units
+from furlong.operators.settle import payout, whole_units
 
 LEVELS = {"all": [], "kind": ["kind"], "race_no": ["race_no"], "both": ["kind", "race_no"]}
 
@@ -21,7 +21,7 @@ def cells(judged: DataFrame, stake: int = fixed.STAKE) -> DataFrame:
     """AG10b: points, hits and returns per highest cell, kind and race number."""
     binned = judged.filter(F.col("hit").isNotNull()).select(
         "kind", "race_no", "hit",
-        F.when(F.col("hit"), F.col("odds_lo") * stake).otherwise(0.0).alias("paid"),
+        payout(F.col("hit"), F.col("odds_lo"), stake).alias("paid"),
         cell_of(F.col("chance"), fixed.CHANCE_GRID).alias("i"), cell_of(F.col("value"), fixed.VALUE_GRID).alias("j"))
     return binned.filter((F.col("i") > 0) & (F.col("j") > 0)).groupBy("kind", "race_no", "i", "j").agg(
         F.count(F.lit(1)).alias("points"), F.sum(F.col("hit").cast("long")).alias("hits"), F.sum("paid").alias("paid"))

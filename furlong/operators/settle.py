@@ -56,14 +56,19 @@ def kind_order(kind: Column | str) -> Column:
     return F.array_position(F.array(*[F.lit(k) for k in fixed.KINDS]), kind).cast("int")
 
 
+def payout(hit: Column, odds: Column, stake: int) -> Column:
+    """What a judged ticket pays at its quote; rounding noise of the product must not add up."""
+    return F.when(hit, F.round(odds * stake, 6)).otherwise(0.0)
+
+
 def whole_units(amount: Column) -> Column:
-    """Money is cut to whole units, after the rounding noise of summed quotes is gone."""
+    """Money is cut to whole units, after the rounding noise of the sum is gone."""
     return F.floor(F.round(amount, 6))
 
 
 def settlement_report(judged: DataFrame, stake: int = fixed.STAKE) -> DataFrame:
     """AG09: totals per kind and over all (kind NULL); tickets without a result are not counted."""
-    paid = F.when(F.col("hit"), F.col("odds_lo") * stake).otherwise(0.0)
+    paid = payout(F.col("hit"), F.col("odds_lo"), stake)
     summed = judged.filter(F.col("hit").isNotNull()).rollup("kind").agg(
         F.count(F.lit(1)).alias("points"), F.sum(F.col("hit").cast("long")).alias("hits"), F.sum(paid).alias("_ret"))
     bet, whole = F.col("points") * stake, whole_units(F.col("_ret"))
