@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from furlong.functions import fixed
 from furlong.functions.columns import finite
 from furlong.operators import chances
-from furlong.operators.groups import Hot, by_group
+from furlong.operators.groups import Hot, by_group, find_hot
 from furlong.session import cut
 
 ENTRANT = chances.LEG_FIELDS + ["p1", "p2", "p3"]
@@ -30,17 +30,40 @@ def leg_ok(entrants: DataFrame) -> DataFrame:
     return entrants.withColumns({f"ok{k}": F.col(f"p{k}") >= enough for k in (1, 2, 3)})
 
 
-def join_legs(quotes: DataFrame, entrants: DataFrame, n: int) -> DataFrame:
+def join_legs(quotes: DataFrame, entrants: DataFrame, n: int, hot: Hot | None = None) -> DataFrame:
     """JN03, JN04, JN05: quotes with ``n`` legs and the entrant of every leg as columns a, b, c.
 
-    The join key is (contest, number), so a contest with very many quotes is spread by its legs.
-    Entrants no ticket can use are left out first; repeated legs and unknown numbers drop the quote.
+    Contests of ordinary size bring their entrants as one short map, so a quote is shuffled once
+    whatever its number of legs.  Wide fields and contests with very many quotes are joined leg by
+    leg on (contest, number), which spreads them.  Entrants no ticket can use are left out first;
+    repeated legs and unknown numbers drop the quote.
     """
+    hot = hot or find_hot(quotes, "race_id")
+    quotes = quotes.filter((F.size("legs") == n) & (F.size(F.array_distinct("legs")) == n))
     usable = entrants.filter(F.greatest("p1", "p2", "p3") >= fixed.LEG_CHANCE)
-    legs = usable.select("race_id", "num", F.struct(*ENTRANT).alias("leg"))
-    out = quotes.filter((F.size("legs") == n) & (F.size(F.array_distinct("legs")) == n))
+    legs = usable.select("race_id", "num", "heads", F.struct(*ENTRANT).alias("leg"))
+    short, wide = legs.filter(F.col("heads") <= chances.SMALL), legs.filter(F.col("heads") > chances.SMALL)
+    parts = [_legs_by_map(hot.cold(quotes), short, n)]
+    if hot.table is not None:
+        parts.append(_legs_by_join(hot.rows(quotes), short, n))
+    if not wide.isEmpty():
+        parts.append(_legs_by_join(quotes, wide, n))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _legs_by_map(quotes: DataFrame, legs: DataFrame, n: int) -> DataFrame:
+    fields = legs.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("num", "leg"))).alias("_field"))
+    joined = quotes.join(fields, "race_id")
     for i, name in enumerate("abc"[:n]):
-        one = legs.withColumnsRenamed({"num": "_n", "leg": name})
+        joined = joined.withColumn(name, F.try_element_at("_field", F.get("legs", F.lit(i))))
+    known = reduce(lambda x, y: x & y, [F.col(name).isNotNull() for name in "abc"[:n]])
+    return joined.drop("_field").filter(known)
+
+
+def _legs_by_join(quotes: DataFrame, legs: DataFrame, n: int) -> DataFrame:
+    out = quotes
+    for i, name in enumerate("abc"[:n]):
+        one = legs.select("race_id", F.col("num").alias("_n"), F.col("leg").alias(name))
         out = out.withColumn("_n", F.get("legs", F.lit(i))).join(one, ["race_id", "_n"]).drop("_n")
     return out
 
@@ -98,11 +121,9 @@ def frame_quotes(quotes: DataFrame, entrants: DataFrame, method: str = "order")
 def priced(
     entries: DataFrame, quotes: DataFrame, hot: Hot, method: str = "order", kinds: list[str] | None = None,
 ) -> DataFrame:
-    """Every quote whose legs may be used, with its chance; SE02: one list from the kinds by number of legs.
-
-    A quote is shuffled once per leg and not at all for legs it does not have.
-    """
+    """Every quote whose legs may be used, with its chance; SE02: one list from the kinds by number of legs."""
     entrants = entrant_table(entries, hot)
+    many = find_hot(quotes, "race_id")
     kind, a, b, c = (F.col(n) for n in ("kind", "a", "b", "c"))
     runners = [
         (["win", "place"], 1, single_chance(kind, a)),
@@ -114,7 +135,7 @@ def priced(
     for group, n, (may, chance) in runners:
         mine = [k for k in group if k in wanted]
         if mine:
-            joined = join_legs(quotes.filter(kind.isin(mine)), entrants, n)
+            joined = join_legs(quotes.filter(kind.isin(mine)), entrants, n, many)
             lists.append(joined.filter(may).select(*quotes.columns, chance.alias("chance")))
     if "frame" in wanted:
         lists.append(frame_quotes(quotes.filter(kind == "frame"), entrants, method))
