@@ -61,7 +61,7 @@ def _kind(name: str):
     sql = with_(*v.TICKETS_SQL, f"select race_id, array_to_string(legs, '-') as legs, round(odds_lo, 6) as odds_lo, round(chance, 9) + 0 as chance from usable where kind = '{name}'")
 
     def make(spark, sf):
-        out = tk.priced(v.scored(spark, sf), v.quotes(v.field(spark, sf)), v.hot_races(spark, sf), kinds=[name])
+        out = tk.priced(v.scored(spark, sf), v.quotes(v.field(spark, sf)), v.hot_races(spark, sf), kinds=[name], many=v.hot_races(spark, sf))
         return out.select("race_id", v.leg_string().alias("legs"), v.r6("odds_lo").alias("odds_lo"), v.r6("chance", 9).alias("chance"))
 
     return sql, make
@@ -92,7 +92,7 @@ ind as (
 @query("pl08_independent_chances", with_(v.FIELD_SQL, v.CHANCES_SQL, v.QUOTES_SQL, _INDEPENDENT,
        "select race_id, kind, array_to_string(legs, '-') as legs, round(chance, 8) + 0 as chance from ind"))
 def pl08(spark, sf):
-    out = tk.priced(v.scored(spark, sf), v.quoted(spark, sf), v.hot_races(spark, sf), "independent")
+    out = tk.priced(v.scored(spark, sf), v.quoted(spark, sf), v.hot_races(spark, sf), "independent", many=v.hot_races(spark, sf))
     return out.select("race_id", "kind", v.leg_string().alias("legs"), v.r6("chance", 8).alias("chance"))
 
 
@@ -139,7 +139,7 @@ def jn08(spark, sf):
 @query("fl03_valid_tickets", with_(*v.TICKETS_SQL, """
 select kind, count(*) as quotes, cast(sum(case when chance between 0.1 and 1 and chance * odds_lo >= 2.4 then 1 else 0 end) as bigint) as kept from usable group by kind"""))
 def fl03(spark, sf):
-    found = tk.priced(v.scored(spark, sf), v.quoted(spark, sf), v.hot_races(spark, sf))
+    found = tk.priced(v.scored(spark, sf), v.quoted(spark, sf), v.hot_races(spark, sf), many=v.hot_races(spark, sf))
     good = F.col("chance").between(fixed.LEG_CHANCE, 1.0) & (F.col("chance") * F.col("odds_lo") >= 2.4)
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("quotes"), F.sum(good.cast("long")).alias("kept"))
 
@@ -169,7 +169,7 @@ def _legs_joined(kind: str, n: int):
     def make(spark, sf):
         hot = v.hot_races(spark, sf)
         quoted = v.quotes(v.field(spark, sf)).filter(F.col("kind") == kind)
-        joined = tk.join_legs(quoted, tk.entrant_table(v.scored(spark, sf), hot), n)
+        joined = tk.join_legs(quoted, tk.entrant_table(v.scored(spark, sf), hot), n, hot)
         out = [c for i, x in enumerate(names) for c in (
             F.get("legs", F.lit(i)).alias(f"num_{x}"), v.r6(F.col(x)["p1"], 9).alias(f"p_{x}"))]
         return joined.select("race_id", *out)

@@ -30,7 +30,7 @@ def results(spark, sf):
 select kind, array_to_string(legs, '-') as legs, race_id, case when hit is null then -1 when hit then 1 else 0 end as hit from judged"""))
 def pl12(spark, sf):
     """Every quote judged; -1 where the contest has fewer than three finishers."""
-    judged = settle.judge(v.quotes(v.field(spark, sf)), results(spark, sf), v.hot_races(spark, sf))
+    judged = settle.judge(v.quotes(v.field(spark, sf)), results(spark, sf), v.hot_races(spark, sf), v.hot_races(spark, sf))
     return judged.select("kind", v.leg_string().alias("legs"), "race_id", F.coalesce(F.col("hit").cast("int"), F.lit(-1)).alias("hit"))
 
 
@@ -40,14 +40,14 @@ left join (select race_id from field where surface = 'R' group by race_id) t on
 def jn07(spark, sf):
     """Results of some contests are missing; tickets without one are counted, not dropped."""
     known = results(spark, sf).join(v.field(spark, sf).filter(F.col("surface") == "R").select("race_id").distinct(), "race_id", "left_semi")
-    judged = settle.judge(v.quotes(v.field(spark, sf)), known, v.hot_races(spark, sf))
+    judged = settle.judge(v.quotes(v.field(spark, sf)), known, v.hot_races(spark, sf), v.hot_races(spark, sf))
     return judged.groupBy("kind").agg(
         F.count(F.lit(1)).alias("tickets"), F.count("starters").alias("matched"), F.count_if(F.col("starters").isNull()).alias("unmatched"))
 
 
 def judged_tickets(spark, sf):
     found = v.tickets(spark, sf).withColumn("race_no", (F.col("race_id") % 14).cast("int"))
-    return settle.judge(found, results(spark, sf), v.hot_races(spark, sf))
+    return settle.judge(found, results(spark, sf), v.hot_races(spark, sf), v.hot_races(spark, sf))
 
 
 _JUDGED = [*v.TICKETS_SQL, "numbered as (select *, cast(race_id % 14 as int) as race_no from tickets)", _TOP_SQL.format(source="numbered")]
@@ -56,7 +56,7 @@ _JUDGED = [*v.TICKETS_SQL, "numbered as (select *, cast(race_id % 14 as int) as
 @query("ag09_settlement_report", with_(*_JUDGED, """
 select kind, count(*) as points, cast(sum(case when hit then 1 else 0 end) as bigint) as hits, round(avg(case when hit then 100.0::double else 0 end), 6) + 0 as hit_rate,
  count(*) * 100 as bet, cast(floor(round(sum(case when hit then round(odds_lo * 100, 6) else 0 end), 4)) as bigint) as ret,
- cast(floor(round(sum(case when hit then round(odds_lo * 100, 6) else 0 end), 4)) as bigint) - count(*) * 100 as profit, round(sum(case when hit then round(odds_lo * 100, 6) else 0 end) / count(*), 6) + 0 as roi
+ cast(floor(round(sum(case when hit then round(odds_lo * 100, 6) else 0 end), 4)) as bigint) - count(*) * 100 as profit, round(sum(case when hit then round(odds_lo * 100, 6) else 0 end) / (count(*) * 100)::double * 100, 6) + 0 as roi
 from judged where hit is not null group by rollup(kind)"""))
 def ag09(spark, sf):
     report = settle.settlement_report(judged_tickets(spark, sf))
@@ -83,7 +83,7 @@ _LEVELS = " union all ".join(
     for level, keys in grid.LEVELS.items())
 _GRID_FULL = _GRID + [f"levels as ({_LEVELS})"]
 _GRID_COLUMNS = """level, min_chance, min_value, kind, race_no, cast(p as bigint) as points, cast(h as bigint) as hits, round(h / p::double * 100, 6) + 0 as hit_rate, cast(p * 100 as bigint) as bet,
- cast(floor(round(m, 4)) as bigint) as ret, cast(floor(round(m, 4)) - p * 100 as bigint) as profit, round(m / p, 6) + 0 as roi"""
+ cast(floor(round(m, 4)) as bigint) as ret, cast(floor(round(m, 4)) - p * 100 as bigint) as profit, round(m / (p * 100)::double * 100, 6) + 0 as roi"""
 
 
 def _shown_grid(table):
@@ -98,7 +98,7 @@ def ag10(spark, sf):
 _PIVOT = ", ".join(f"round(avg(case when min_value = {t} then {{0}} end), 6) + 0 as {grid.value_column(t)}" for t in fixed.VALUE_GRID)
 
 
-@query("ag11_roi_matrix", with_(*_GRID_FULL, f"select kind, min_chance, {_PIVOT.format('m / p')} from levels where level = 'kind' group by kind, min_chance"))
+@query("ag11_roi_matrix", with_(*_GRID_FULL, f"select kind, min_chance, {_PIVOT.format('m / (p * 100)::double * 100')} from levels where level = 'kind' group by kind, min_chance"))
 def ag11(spark, sf):
     table = grid.threshold_grid(judged_tickets(spark, sf)).filter(F.col("level") == "kind")
     out = grid.matrix(table, "roi", ["kind"])
@@ -111,7 +111,7 @@ def ag11_points(spark, sf):
     return out.select("min_chance", *[v.r6(c).alias(c) for c in out.columns[1:]])
 
 
-@query("so05_best_cells", with_(*_GRID_FULL, f"""select 'roi' as by_what, {_GRID_COLUMNS} from (select * from levels where level = 'all' and p >= 30 order by m / p desc, min_chance, min_value limit 10)
+@query("so05_best_cells", with_(*_GRID_FULL, f"""select 'roi' as by_what, {_GRID_COLUMNS} from (select * from levels where level = 'all' and p >= 30 order by m / (p * 100)::double * 100 desc, min_chance, min_value limit 10)
 union all select 'profit', {_GRID_COLUMNS} from (select * from levels where level = 'all' and p >= 30 order by floor(round(m, 4)) - p * 100 desc, min_chance, min_value limit 10)"""))
 def so05(spark, sf):
     table = v.cut(grid.threshold_grid(judged_tickets(spark, sf)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.operators.groups import Hot, by_group, find_hot
+from furlong.operators.groups import Hot, by_group, find_hot, lookup
 from furlong.session import cut
 
 _profiles: dict[tuple, Hot] = {}
@@ -77,7 +77,9 @@ def contest(spark: SparkSession, sf: str) -> DataFrame:
     )
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("horse"), F.col("p_brand").alias("trainer"))
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("jockey"), F.col("s_nationkey").alias("venue"))
-    return field(spark, sf).join(orders, "race_id").join(parts, "horse").join(suppliers, "jockey")
+    rows = lookup(field(spark, sf), orders, ["race_id"], hot_races(spark, sf), "inner")
+    rows = lookup(rows, parts, ["horse"], hot(spark, sf, "lineitem", "l_partkey", "horse"), "inner")
+    return lookup(rows, suppliers, ["jockey"], hot(spark, sf, "lineitem", "l_suppkey", "jockey"), "inner")
 
 
 CONTEST_SQL = FIELD_SQL + """, contest as (
@@ -251,4 +253,5 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 def tickets(spark: SparkSession, sf: str, min_value: float = 1.0) -> DataFrame:
     from furlong.operators.tickets import propose
 
-    return propose(scored(spark, sf), quoted(spark, sf), hot_races(spark, sf), min_value)
+    hot = hot_races(spark, sf)
+    return propose(scored(spark, sf), quoted(spark, sf), hot, min_value, many=hot)

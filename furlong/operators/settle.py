@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.functions import fixed
-from furlong.operators.groups import Hot, by_group, lookup
+from furlong.operators.groups import Hot, by_group, find_hot, lookup
 
 
 def race_results(entries: DataFrame, hot: Hot) -> DataFrame:
@@ -38,9 +38,12 @@ def is_hit(kind: Column, legs: Column, top: Column, frames: Column, finish: Colu
     )
 
 
-def judge(tickets: DataFrame, entries: DataFrame, hot: Hot) -> DataFrame:
-    """JN07 and PL12: tickets with ``hit``; NULL where the contest has no usable result."""
-    known = lookup(tickets, race_results(entries, hot), ["race_id"], hot)
+def judge(tickets: DataFrame, entries: DataFrame, hot: Hot, many: Hot | None = None) -> DataFrame:
+    """JN07 and PL12: tickets with ``hit``; NULL where the contest has no usable result.
+
+    ``hot`` are the contests with very many entrants, ``many`` those with very many tickets.
+    """
+    known = lookup(tickets, race_results(entries, hot), ["race_id"], many or find_hot(tickets, "race_id"))
     finishes = entries.select("race_id", F.col("num").alias("_leg"), F.col("finish").alias("_finish"))
     place = known.filter(F.col("kind") == "place").withColumn("_leg", F.get("legs", F.lit(0)))
     place = place.join(finishes, ["race_id", "_leg"], "left").drop("_leg")
@@ -82,8 +85,9 @@ def first_payouts(payouts: DataFrame) -> DataFrame:
     return payouts.groupBy("race_id", "kind", "legs").agg(F.min_by("per100", "seq").alias("per100"))
 
 
-def settle(tickets: DataFrame, payouts: DataFrame, hot: Hot, stake: Column | int = fixed.STAKE) -> DataFrame:
+def settle(tickets: DataFrame, payouts: DataFrame, many: Hot | None = None, stake: Column | int = fixed.STAKE) -> DataFrame:
     """JN10 and PL13: ``ret`` is NULL while the kind has no payouts, 0 without a match, else whole units."""
+    hot = many or find_hot(tickets, "race_id")
     known = payouts.select("race_id", "kind").distinct().withColumn("_known", F.lit(True))
     out = lookup(tickets, known, ["race_id", "kind"], hot, fan=len(fixed.KINDS))
     out = lookup(out, first_payouts(payouts), ["race_id", "kind", "legs"], hot, fan=None)

@@ -120,10 +120,14 @@ def frame_quotes(quotes: DataFrame, entrants: DataFrame, method: str = "order")
 
 def priced(
     entries: DataFrame, quotes: DataFrame, hot: Hot, method: str = "order", kinds: list[str] | None = None,
+    many: Hot | None = None,
 ) -> DataFrame:
-    """Every quote whose legs may be used, with its chance; SE02: one list from the kinds by number of legs."""
+    """Every quote whose legs may be used, with its chance; SE02: one list from the kinds by number of legs.
+
+    ``hot`` are the contests with very many entrants, ``many`` those with very many quotes.
+    """
     entrants = entrant_table(entries, hot)
-    many = find_hot(quotes, "race_id")
+    many = many or find_hot(quotes, "race_id")
     kind, a, b, c = (F.col(n) for n in ("kind", "a", "b", "c"))
     runners = [
         (["win", "place"], 1, single_chance(kind, a)),
@@ -166,10 +170,10 @@ def by_rules(df: DataFrame, rules: dict | None = None) -> DataFrame:
 
 def propose(
     entries: DataFrame, quotes: DataFrame, hot: Hot, min_value: float = fixed.DEFAULT_MIN_VALUE,
-    method: str = "order", rules: dict | None = None,
+    method: str = "order", rules: dict | None = None, many: Hot | None = None,
 ) -> DataFrame:
     """PL09: tickets worth buying.  Entries need num, frame, p1, p2, p3; quotes kind, legs, odds_lo."""
-    out = valid(priced(entries, quotes, hot, method), min_value)
+    out = valid(priced(entries, quotes, hot, method, many=many), min_value)
     out = by_rules(out, rules) if rules else out
     note = F.when(F.col("kind") == "place", "lower quote").when(F.col("kind") == "wide", "lower quote")
     return out.withColumn("note", note)

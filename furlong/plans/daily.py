@@ -49,7 +49,7 @@ def ledger_tables(contests: DataFrame, payouts: DataFrame, mode: str = "actual",
         for s, c in (("bought", "tickets"), ("notified", "notified"))
     ]
     rows = ledger.in_mode(both[0].unionByName(both[1]), mode, stake)
-    settled = settle.settle(rows, payouts, find_hot(rows, "race_id"), F.col("stake"))
+    settled = settle.settle(rows, payouts, stake=F.col("stake"))
     return settled.withColumnRenamed("race_date", "bet_date")
 
 
