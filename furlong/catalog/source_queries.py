@@ -80,6 +80,18 @@ def sc03(spark, sf):
     return back.select("race_id", "kind", v.leg_string().alias("legs"), (F.year("race_date") - 2000).alias("yr"), v.r6("odds_lo").alias("odds_lo"))
 
 
+@query("sk02_write_quotes", with_(FIELD, v.QUOTES_SQL, """select cast(race_id % 5 + 2000 as int) as yr, kind, count(*) as quotes, round(sum(case when kind in ('place', 'wide') and race_id % 5 < 2 then odds_lo * 2 else odds_lo end), 4) + 0 as odds from quotes group by 1, 2"""))
+def sk02(spark, sf):
+    """A later snapshot of two kinds for two of the five dates; all other partitions keep the first one."""
+    path = scratch_path(spark, "quotes")
+    rows = v.quoted(spark, sf).withColumn("race_date", F.make_date((F.col("race_id") % 5 + 2000).cast("int"), F.lit(1), F.lit(1)))
+    sinks.write_quotes(rows, path)
+    later = rows.filter(F.col("kind").isin("place", "wide") & (F.year("race_date") < 2002))
+    sinks.write_quotes(later.withColumn("odds_lo", F.col("odds_lo") * 2), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.year("race_date").alias("yr"), "kind").agg(F.count(F.lit(1)).alias("quotes"), v.r6(F.sum("odds_lo"), 4).alias("odds"))
+
+
 _STATES = """docs as (select event_id, user_id, lpad(cast(event_id as varchar), 12, '0') as race_id, event_id % 6 as shape, user_id % 12 + 1 as a from events)"""
 
 
