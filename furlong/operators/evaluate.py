@@ -9,6 +9,8 @@ from furlong.functions import fixed
 from furlong.functions.columns import bin_of, brier, finite, linear_edges, logloss
 from furlong.operators import chances as pl
 from furlong.operators.groups import Hot, by_group, lookup
+from furlong.operators.relative import zscore
+from furlong.session import cut
 
 
 def _finish_facts() -> list[Column]:
@@ -211,8 +213,6 @@ def blend(rows: DataFrame, hot: Hot, score: str, other: str, weight: float, win_
 
 
 def with_zscores(rows: DataFrame, hot: Hot, score: str, other: str, win_chances: bool = False) -> DataFrame:
-    from furlong.operators.relative import zscore
-
     rows = rows.withColumn("_other", log_odds(F.col(other)) if win_chances else F.col(other))
     return by_group(rows, hot, lambda df, g: zscore(zscore(df, g, score, "_z"), g, "_other", "_zo")).drop("_other")
 
@@ -245,7 +245,7 @@ def combinations(rows: DataFrame, hot: Hot, top_n: int = 6) -> DataFrame:
     one = F.struct("num", *pl.LEG_FIELDS, "p1", "p2", "p3")
     races = chosen.groupBy("race_id", "top1", "top2", "top3").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("p1")).alias("o"), F.col("num").alias("n"), one.alias("leg")))).alias("_legs"))
-    picks = races.withColumn("_legs", F.transform("_legs", lambda x: x["leg"]))
+    picks = cut(races.withColumn("_legs", F.transform("_legs", lambda x: x["leg"])))  # one short row per contest, read twice
     pair = picks.select("race_id", "top1", "top2", "top3", "_legs", F.posexplode("_legs").alias("i", "a"))
     pair = pair.select("*", F.posexplode("_legs").alias("j", "b")).filter(F.col("i") != F.col("j"))
     triple = pair.select("*", F.posexplode("_legs").alias("k", "c")).filter((F.col("k") != F.col("i")) & (F.col("k") != F.col("j")))

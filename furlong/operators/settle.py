@@ -45,13 +45,10 @@ def judge(tickets: DataFrame, entries: DataFrame, hot: Hot, many: Hot | None = N
     """
     known = lookup(tickets, race_results(entries, hot), ["race_id"], many or find_hot(tickets, "race_id"))
     finishes = entries.select("race_id", F.col("num").alias("_leg"), F.col("finish").alias("_finish"))
-    place = known.filter(F.col("kind") == "place").withColumn("_leg", F.get("legs", F.lit(0)))
-    place = place.join(finishes, ["race_id", "_leg"], "left").drop("_leg")
-    rest = known.filter(F.col("kind") != "place").withColumn("_finish", F.lit(None).cast("int"))
+    known = known.withColumn("_leg", F.get("legs", F.lit(0))).join(finishes, ["race_id", "_leg"], "left")
     hit = is_hit(F.col("kind"), F.col("legs"), F.col("top"), F.col("top_frames"), F.col("_finish"), F.col("starters"))
-    both = place.unionByName(rest)
-    return both.withColumn("hit", F.when(F.coalesce(F.col("ranked") >= 3, F.lit(False)), hit)).drop(
-        "_finish", "top", "top_frames", "ranked")
+    return known.withColumn("hit", F.when(F.coalesce(F.col("ranked") >= 3, F.lit(False)), hit)).drop(
+        "_leg", "_finish", "top", "top_frames", "ranked")
 
 
 def kind_order(kind: Column | str) -> Column:
