@@ -115,7 +115,12 @@ def frame_quotes(quotes: DataFrame, entrants: DataFrame, method: str = "order")
     for i, name in enumerate(("f", "h")):
         one = frames.select("race_id", F.col("frame").alias(f"_f{i}"), F.struct(*fields).alias(name))
         out = out.withColumn(f"_f{i}", F.get("legs", F.lit(i))).join(one, ["race_id", f"_f{i}"], how)
-    return out.select(*quotes.columns, chance.alias("chance"))
+    return out.select(*quotes.columns, _once(chance).alias("chance"))
+
+
+def _once(value: Column) -> Column:
+    """Evaluate a long expression once per row: later filters read the result instead of repeating it."""
+    return F.explode(F.array(value))
 
 
 def priced(
@@ -140,7 +145,7 @@ def priced(
         mine = [k for k in group if k in wanted]
         if mine:
             joined = join_legs(quotes.filter(kind.isin(mine)), entrants, n, many)
-            lists.append(joined.filter(may).select(*quotes.columns, chance.alias("chance")))
+            lists.append(joined.filter(may).select(*quotes.columns, _once(chance).alias("chance")))
     if "frame" in wanted:
         lists.append(frame_quotes(quotes.filter(kind == "frame"), entrants, method))
     return reduce(DataFrame.unionByName, lists)
