@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import best_fit, mix_histogram, simhash_trie
-from furlong.llm.frames import documents
+from furlong.llm import best_fit, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, target_ratio, toxicity
+from furlong.llm.frames import documents, held_out, labels, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,37 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity_noisy_or")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and its worst sentence."""
+    docs, apart = documents(spark, sf_dir), held_out(0, 5)
+    model = toxicity.train(docs, labels(spark, sf_dir), "toxic", ~apart)
+    return toxicity.score(docs, model, ["doc_id"]).withColumns({"held_out": apart, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+@query("op4_rule_ensemble")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the compiled rules."""
+    apart = held_out(2, 4)
+    stats = stored(rule_ensemble.with_statistics(documents(spark, sf_dir)), "statistics")
+    model = rule_ensemble.fit(stats, labels(spark, sf_dir), "quality", ~apart)
+    return stats.select("doc_id", apart.alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op6_target_ratio")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; the trusted documents are those labelled of quality 1."""
+    docs = documents(spark, sf_dir)
+    ratios = target_ratio.count(docs, labels(spark, sf_dir).filter("quality = 1"))
+    return target_ratio.judge(docs, ratios, ["doc_id"])
+
+
+@query("op7_prefix_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return prefix_hash.compare(documents(spark, sf_dir))
+
+
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of all documents packed into sequences of 2048."""
