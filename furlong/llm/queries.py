@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import best_fit, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, target_ratio, toxicity
+from furlong.llm import best_fit, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, target_ratio, toxicity
 from furlong.llm.frames import documents, held_out, labels, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id"]).withColumns({"held_out": apart, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
+@query("op3_line_neighbourhood", r"""
+with lines as (
+  select doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from (select doc_id, unnest(range(len(parts))) as line_no, unnest(parts) as line from (select doc_id, string_split(text, chr(10)) as parts from documents))),
+worded as (select * from lines where len(words) > 0),
+firsts as (select array_to_string(words, ' ') as w, any_value(words) as words, min((doc_id, line_no)) as place from worded group by 1),
+spots as (select w, place, words, len(words) as n, unnest(range(len(words) + 1)) as p from firsts where len(words) >= 5),
+variants as (
+  select w, place, n - 1 as m, p, 'd' as kind, array_to_string(list_concat(words[1:p], words[p + 2:]), ' ') as v from spots where p < n
+  union all select w, place, n, p, 'd', w from spots
+  union all select w, place, n, p, 'r', array_to_string(list_concat(words[1:p], words[p + 2:]), ' ') from spots where p < n),
+near as (
+  select distinct a.w from variants a join (select m, p, kind, v, min(place) as place from variants group by all) b
+  on a.m = b.m and a.p = b.p and a.kind = b.kind and a.v = b.v and b.place < a.place),
+gone as (
+  select l.doc_id, l.line_no from worded l join firsts f on array_to_string(l.words, ' ') = f.w left join near n on f.w = n.w
+  where n.w is not null or (l.doc_id, l.line_no) <> f.place),
+kept as (
+  select l.doc_id, string_agg(l.line, chr(10) order by l.line_no) filter (where g.line_no is null) as text, count(*) filter (where len(l.words) > 0) as n_lines, count(g.line_no) as n_removed
+  from lines l left join gone g on l.doc_id = g.doc_id and l.line_no = g.line_no group by l.doc_id)
+select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_removed, 0)::bigint as n_removed,
+  case when d.text is not null then md5(coalesce(k.text, '')) end as kept_md5
+from documents d left join kept k on d.doc_id = k.doc_id
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and the digest of what is kept of every document."""
+    found = line_dedup.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 @query("op4_rule_ensemble")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the compiled rules."""
