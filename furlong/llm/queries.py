@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import best_fit, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, target_ratio, toxicity
+from furlong.llm import best_fit, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, target_ratio, toxicity
 from furlong.llm.frames import documents, held_out, labels, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", apart.alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+@query("op5_suffix_groups", r"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+strings as (
+  select doc_id, i, md5(substr(x, 2 * i + 1, 400)) as s from (select doc_id, x, unnest(range(len(x) // 2 - 199)) as i from texts)),
+again as (select s from strings group by s having count(*) > 1),
+starts as (
+  select doc_id, i, max(i + 200) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as upto from strings where s in (from again)),
+runs as (
+  select doc_id, min(i) as a, max(i) + 200 as b from (
+    select *, sum((upto is null or i > upto)::int) over (partition by doc_id order by i) as run from starts) group by doc_id, run),
+gaps as (
+  select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as before, row_number() over (partition by doc_id order by a desc) = 1 as final from runs),
+cut as (
+  select t.doc_id, any_value(len(t.x) // 2) as n_bytes, coalesce(sum(g.b - g.a), 0) as n_removed, count(g.a) as n_spans,
+    case when count(g.a) = 0 then any_value(t.x)
+      else string_agg(substr(t.x, 2 * g.before + 1, 2 * (g.a - g.before)), '' order by g.a) || any_value(substr(t.x, 2 * g.b + 1)) filter (where g.final) end as kept
+  from texts t left join gaps g on t.doc_id = g.doc_id group by t.doc_id)
+select doc_id, n_bytes::bigint as n_bytes, n_removed::bigint as n_removed, n_spans::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from cut
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 200-byte strings."""
+    return suffix_groups.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 @query("op6_target_ratio")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; the trusted documents are those labelled of quality 1."""

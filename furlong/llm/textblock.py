@@ -41,7 +41,7 @@ class Block:
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """The rows of a batch in slices of about ``limit`` bytes of text."""
-    array = batch.column(column).fill_null("").cast(pa.large_binary())
+    array = batch.column(column).cast(pa.large_binary()).fill_null(b"")
     if not len(array):
         return
     off = np.frombuffer(array.buffers()[1], np.int64)[array.offset:array.offset + len(array) + 1]
