@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import best_fit, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, target_ratio, toxicity
+from furlong.llm import best_fit, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, toxicity
 from furlong.llm.frames import documents, held_out, labels, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id"]).withColumns({"held_out": apart, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
+@query("op2_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    found = surrogates.with_surrogates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.withColumnsRenamed({"_n_mentions": "n_mentions", "_n_entities": "n_entities"})
+
+
 @query("op3_line_neighbourhood", r"""
 with lines as (
   select doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
