@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], added: tuple[str, ...] = ()) -> DataFrame:
+    """``work`` on ``docs`` whose columns other than doc_id, text and source have names that no operator uses.
+
+    The result has the columns of ``docs`` under their own names, then the ``added`` ones; a column of ``docs`` with the name of an added one gives way.
+    """
+    columns = [c for c in docs.columns if c not in added]
+    inner = [c if c in ("doc_id", "text", "source") else f"_extra{k}" for k, c in enumerate(columns)]
+    done = work(docs.select(*columns).toDF(*inner))
+    return done.select(*inner, *added).toDF(*columns, *added)
+
+
 def text_key() -> Column:
     """With doc_id it tells rows apart; rows that agree in both have the same results."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.frames import salted_join, stored, text_key
+from furlong.llm.frames import salted_join, shielded, stored, text_key
 
 LEAST = 5
 PARTS = 16
@@ -158,7 +158,11 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` with the kept lines in ``text``, plus _n_lines and _n_removed."""
+    """``docs`` with the kept lines in ``text``, plus n_lines and n_removed."""
+    return shielded(docs, lambda d: _rewritten(d, least), ("n_lines", "n_removed"))
+
+
+def _rewritten(docs: DataFrame, least: int) -> DataFrame:
     gone = repeated_lines(docs, least).groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("_gone"))  # lines of one text
     gone = gone.withColumnsRenamed({"doc_id": "_gone_doc", "key": "_gone_key"})
     rows = docs.withColumn("_key", text_key()).join(
@@ -168,5 +172,5 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     counted = F.size(F.filter("_all", has_word))
     return rows.withColumn("_all", lines).withColumns({
         "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        "_n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(counted).cast("long"),
-        "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).select(*docs.columns, "_n_lines", "_n_removed")
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(counted).cast("long"),
+        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).select(*docs.columns, "n_lines", "n_removed")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.frames import WORD, salted_join, stored
+from furlong.llm.frames import WORD, salted_join, shielded, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -94,6 +94,14 @@ def thresholds(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "passes", (F.col("_low") + nearer.cast("long")).alias("threshold"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them."""
+    def copies(inner: DataFrame) -> DataFrame:
+        return mix(inner, weights, share, most).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+
+    return shielded(docs, copies)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """All rows of ``docs`` with _size, _source_size, _target and _copies, how often the mix takes the row."""
     sized = docs.withColumns({"_size": words(F.col("text")), "_hash": id_hash(F.col("doc_id"))})

@@ -35,8 +35,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_surrogates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data."""
-    found = surrogates.with_surrogates(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.withColumnsRenamed({"_n_mentions": "n_mentions", "_n_entities": "n_entities"})
+    return surrogates.with_surrogates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 @query("op3_line_neighbourhood", r"""
@@ -66,7 +65,7 @@ from documents d left join kept k on d.doc_id = k.doc_id
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed lines and the digest of what is kept of every document."""
     found = line_dedup.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 @query("op4_rule_ensemble")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.frames import salted_join, stored, text_key
+from furlong.llm.frames import salted_join, shielded, stored, text_key
 from furlong.llm.textblock import blocks
 
 BITS = 64
@@ -275,6 +275,10 @@ def groups(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> Dat
 
 def keep_first(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id; of rows with this id one, by the hash of its text."""
+    return shielded(docs, lambda d: _firsts(d, budget, shingle))
+
+
+def _firsts(docs: DataFrame, budget: int, shingle: int) -> DataFrame:
     found = labelled(docs, budget, shingle)
     kept = found.filter((F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furlong.llm.frames import salted_join, stored, text_key
+from furlong.llm.frames import salted_join, shielded, stored, text_key
 
 KEY = b"change me for every release"
 TYPES = ["mail", "phone", "address", "account", "key", "given_f", "given_m", "surname"]
@@ -246,7 +246,11 @@ def drawn_again(found: DataFrame, key: bytes) -> DataFrame:
 
 
 def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, plus _n_mentions and _n_entities."""
+    """``docs`` with surrogates in ``text``, plus n_mentions and n_entities."""
+    return shielded(docs, lambda d: _rewritten(d, key), ("n_mentions", "n_entities"))
+
+
+def _rewritten(docs: DataFrame, key: bytes) -> DataFrame:
     rows = docs.withColumn("_key", text_key())
     found = stored(entities(docs.select("doc_id", text_key().alias("key"), "text")), "mentions")
     late = stored(drawn_again(found, key), "late")
@@ -268,7 +272,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                     out.append(value)
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(mentions, pa.int64()), pa.array(distinct, pa.int64())], [*batch.schema.names[:-1], "_n_mentions", "_n_entities"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(mentions, pa.int64()), pa.array(distinct, pa.int64())], [*batch.schema.names[:-1], "n_mentions", "n_entities"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_mentions", T.LongType()), T.StructField("_n_entities", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_mentions", T.LongType()), T.StructField("n_entities", T.LongType())])
     return met.mapInArrow(run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furlong.llm.frames import shielded
 from furlong.llm.textblock import LOWER, Block, Rolling, blocks, code_points, spans
 
 BUCKETS = 1 << 18
@@ -156,6 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str, learn: Column, sample
         (np.frombuffer(r["found"], np.int32), np.frombuffer(r["sentence"], np.int32), r["_label"], totals[r["_label"]] / seen[r["_label"]]) for r in rows])
 
 
+def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``most``."""
+    return shielded(docs, lambda d: score(d, model, d.columns).filter(F.col("score") < most))
+
+
 def score(docs: DataFrame, model: Model, kept: list[str]) -> DataFrame:
     """``kept`` columns of ``docs`` (with text) plus score, n_offending, and worst_start and worst_length in code points.
 
