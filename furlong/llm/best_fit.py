@@ -19,6 +19,9 @@ table gives no piece.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,15 +31,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.llm.frames import stored
-from furlong.llm.textblock import WHITE, Rolling, blocks, spans
+from furlong.llm.textblock import LOWER, WHITE, Block, Rolling, blocks, mixed, spans
 
 ROOM = 2048
 CLOSE = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task remembers; beyond it the memory starts anew.
-KNOWN = 200_000
+#: Units whose ids a worker remembers; beyond it the memory starts anew.
+KNOWN = 2_000_000
 SALTS = 256
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Byte-level vocabularies write the bytes that have no printable Latin-1 character as the characters from 256 on.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
 
 def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -45,65 +54,119 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 # ---------------------------------------------------------------- tokens
-class Words:
-    """Ids of texts, word by word: the vocabulary never crosses white space, so each distinct word is encoded once."""
+class Units:
+    """Ids of texts by units that the vocabulary never crosses, so each distinct unit is encoded once.
+
+    White space always ends a unit.  Words of ASCII and Latin-1 letters, without an apostrophe or the string of a special token, are also cut between letters and
+    other characters, and compared in lower case, as the vocabulary does; all other words are one unit.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys, and where their ids are listed
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.sizes = np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.filled = 0
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            at, n = len(self.place), len(found.ids)
-            if at == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * at), np.resize(self.sizes, 2 * at)
-            while self.filled + n > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.filled:self.filled + n] = found.ids
-            self.starts[at], self.sizes[at] = self.filled, n
-            self.filled += n
-            self.place[key] = at
-
-    def block(self, block) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block, each text closed by ``CLOSE``, and the offsets of the texts."""
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted keys, -1 for new ones."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[at] == keys, self.places[at], -1) if len(self.keys) else np.full(len(keys), -1)
+
+    def _encoded(self, unit: bytes) -> list[int]:
+        """Plain letters are one word of the model; everything else takes the whole way."""
+        if _PLAIN.fullmatch(unit):
+            return [t.id for t in self.tokenizer.model.tokenize(unit.decode().lower().encode().decode("latin-1").translate(_BYTES))]
+        return self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids
+
+    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+        found = [self._encoded(unit) for unit in units]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(sizes.sum())
+        while self.filled + total > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.filled:self.filled + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+        places = np.arange(len(self.starts), len(self.starts) + len(keys))
+        self.starts = np.concatenate([self.starts, self.filled + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.filled += total
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.places = np.insert(self.keys, at, keys), np.insert(self.places, at, places)
+
+    def _cut(self, block: Block) -> tuple[np.ndarray, ...]:
+        """Starts, ends, text numbers and keys of the units."""
+        data = block.data
         starts, ends, doc = spans(block, WHITE)
-        keys = Rolling(block.data).of(starts, ends)
+        high = data >= 0x80
+        after = np.zeros(len(data), bool)  # second byte of a character from U+00C0 to U+00FF
+        after[1:] = (data[:-1] == 0xC3) & high[1:]
+        odd = (data == 0x27) | (high & ~after & (data != 0xC3)) | (after & ((data == 0x97) | (data == 0xB7)))
+        raw = data.tobytes()
+        marked = [m.start() for t in self.special for m in re.finditer(re.escape(t), raw)]
+        odd[marked] = True
+        sums = np.concatenate([[0], np.cumsum(odd)])
+        plain = sums[ends] == sums[starts]
+        letter = _LETTER[data]
+        turn = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        word = np.searchsorted(starts, turn, "right") - 1
+        turn = turn[(word >= 0) & (turn > starts[word]) & (turn < ends[word]) & plain[word]] if len(starts) else turn[:0]
+        low = LOWER[data]
+        low[after & (data < 0x9F) & (data != 0x97)] += 0x20
+        cut = np.sort(np.concatenate([starts, turn]))
+        end = np.sort(np.concatenate([ends, turn]))
+        keys = Rolling(low).of(cut, end)
+        if marked:  # the case of special tokens matters
+            whole = np.unique(np.searchsorted(cut, marked, "right") - 1)
+            keys[whole] = mixed(Rolling(data).of(cut[whole], end[whole]) + np.uint64(1))
+        return cut, end, np.searchsorted(block.off, cut, "right") - 1, keys
+
+    def block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block, each text closed by ``CLOSE``, and the offsets of the texts."""
+        starts, ends, doc, keys = self._cut(block)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > KNOWN:
-            self._clear()
-        listed = distinct.tolist()
-        new = [k for k, key in enumerate(listed) if key not in self.place]
-        if new:
+        at = self._known(distinct)
+        if (new := np.flatnonzero(at < 0)).size:
+            if len(self.keys) + len(new) > KNOWN:
+                self._clear()
+                new = np.arange(len(distinct))
             raw = block.data.tobytes()
-            self._learn([listed[k] for k in new], [raw[starts[first[k]]:ends[first[k]]].decode() for k in new])
-        at = np.fromiter((self.place[key] for key in listed), np.int64, len(listed))[back]
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = self._known(distinct)
+        at = at[back]
         size = self.sizes[at]
-        n_ids = np.bincount(doc, size, len(block)).astype(np.int64) + 1
-        off = np.concatenate([[0], np.cumsum(n_ids)])
+        off = np.concatenate([[0], np.cumsum(np.bincount(doc, size, len(block)).astype(np.int64) + 1)])
         out = np.full(off[-1], CLOSE, np.uint32)
-        place = np.cumsum(size) - size + doc  # one closing id for each earlier text
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(place, size) + inner] = self.ids[np.repeat(self.starts[at], size) + inner]
+        before = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(before, size)
+        out[np.repeat(before + doc, size) + inner] = self.ids[np.repeat(self.starts[at], size) + inner]  # one closing id for each earlier text
         return out, off
 
 
+_units: dict[str, Units] = {}
+
+
+def _of_worker(path: str) -> Units:
+    """The units that this worker's earlier tasks have met stay known."""
+    if path not in _units:
+        _units[path] = Units(path)
+    return _units[path]
+
+
 def pieces(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        units = _of_worker(path)
         for batch in batches:
             for rows, block in blocks(batch, "text", 1 << 20):
-                ids, off = words.block(block)
+                ids, off = units.block(block)
                 size = np.diff(off)
                 count = -(-size // room)
                 doc = np.repeat(np.arange(len(size)), count)
