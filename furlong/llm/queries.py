@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from furlong.llm import best_fit, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, toxicity
 from furlong.llm.frames import documents, held_out, labels, stored
+from furlong.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,7 +18,12 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return f
