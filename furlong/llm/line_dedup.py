@@ -51,7 +51,7 @@ def _place() -> Column:
 
 
 def _identity(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("h"), F.xxhash64(F.lit("again"), F.reverse(words)).alias("g")]
+    return [F.xxhash64(words).alias("h"), F.hash(words).alias("g")]
 
 
 def _parts(words: Column, n: Column, pieces: int) -> Column:
@@ -123,13 +123,13 @@ def one_edit(a: Column, b: Column) -> Column:
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, key, line_no) of every line that goes."""
     found = _lines(docs).withColumn("n", F.size("words"))
-    held = stored(found.select(*_identity(F.col("words")), "n", "doc_id", "key", "line_no"), "lines")
+    keys = F.when(F.col("n") >= least, F.transform(_parts(F.col("words"), F.col("n"), 2), lambda k: F.xxhash64(k["m"], k["piece"], k["code"])))
+    held = stored(found.select(*_identity(F.col("words")), "n", "doc_id", "key", "line_no", keys.alias("codes")), "lines")
     distinct = stored(held.groupBy("h", "g", "n").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies")), "distinct")
 
-    # halves are compared for all distinct lines: their keys come with a second look at the texts, one line for each place
+    # halves are compared for all distinct lines
     ids = ["doc_id", "key", "line_no"]
-    keys = F.when(F.col("n") >= least, F.transform(_parts(F.col("words"), F.col("n"), 2), lambda k: F.xxhash64(k["m"], k["piece"], k["code"])))
-    halves = found.select(F.xxhash64("words").alias("h"), F.explode(keys).alias("code")).distinct()
+    halves = held.select("h", F.explode("codes").alias("code")).distinct()
     alive = stored(_shared(stored(halves, "halves"), ["code"]).select("h").distinct(), "alive")
 
     firsts = distinct.join(alive, "h", "left_semi").select("h", "n", "place")
