@@ -152,13 +152,12 @@ def ag21(spark, sf):
 
 
 _Z = """z as (select race_id, num, finish, score, (score - avg(score) over w) / (stddev_pop(score) over w + 1e-9) as za, (carried - avg(carried) over w) / (stddev_pop(carried) over w + 1e-9) as zb
- from field where race_id in (select race_id from field group by race_id having count(*) > 1) window w as (partition by race_id))"""
+ from field window w as (partition by race_id))"""
 
 
 @query("pl11_blend", with_(FIELD, _Z, "select race_id, num, round(za * 0.7 + zb * 0.3, 4) + 0 as mixed from z"))
 def pl11(spark, sf):
-    """Contests of one entrant have no spread and only rounding noise for a score; pairs and more are shown."""
-    rows = v.field(spark, sf).filter(F.col("heads") > 1)
+    rows = v.field(spark, sf)
     return ev.blend(rows, v.hot_races(spark, sf), "score", "carried", 0.3).select("race_id", "num", v.r6("mixed", 4).alias("mixed"))
 
 
@@ -169,5 +168,5 @@ def pl11(spark, sf):
  from (select finish, row_number() over (partition by race_id order by za * (1 - {w!r}) + zb * {w!r} desc, num) as place from z) where place = 1"""
     for i, w in enumerate(fixed.BLEND_GRIDS["other"], 1)])))
 def ag22(spark, sf):
-    rows = v.field(spark, sf).filter(F.col("heads") > 1)
+    rows = v.field(spark, sf)
     return _shown_hits(ev.blend_search(rows, v.hot_races(spark, sf), "score", "carried", fixed.BLEND_GRIDS["other"]))

@@ -31,13 +31,14 @@ def ag15(spark, sf):
     return _shown(lg.by_day(v.ledger(spark, sf)), "bet_date", "cumulative_profit")
 
 
-@query("wn12_running_profit", with_(LEDGER, """days as (select bet_date, kind, sum(coalesce(ret, 0)) as won from ledger where kind = 'view' group by 1, 2)""",
-       "select bet_date, cast(won as bigint) as won, cast(sum(won) over (order by bet_date rows between unbounded preceding and current row) as bigint) as total from days"))
+@query("wn12_running_profit", with_(LEDGER, """days as (select bet_date, sum(coalesce(ret, 0) - case when ret is null then 0 else stake end) as profit from ledger group by 1)""",
+       "select bet_date, cast(profit as bigint) as profit, cast(sum(profit) over (order by bet_date rows between unbounded preceding and current row) as bigint) as total from days"))
 def wn12(spark, sf):
     from furlong.operators.relative import running_total
 
-    days = v.ledger(spark, sf).filter(F.col("kind") == "view").groupBy("bet_date").agg(F.sum(F.coalesce("ret", F.lit(0))).alias("won"))
-    return running_total(days, "won", "total")
+    profit = F.coalesce("ret", F.lit(0)) - F.when(F.col("ret").isNull(), 0).otherwise(F.col("stake"))
+    days = v.ledger(spark, sf).groupBy("bet_date").agg(F.sum(profit).cast("long").alias("profit"))
+    return running_total(days, "profit", "total")
 
 
 @query("ag16_ledger_by_kind", with_(LEDGER, f"select kind, {_T} from ledger group by kind"))

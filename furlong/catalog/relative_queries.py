@@ -74,12 +74,10 @@ def wn06(spark, sf):
 
 
 @query("wn08_zscore", with_(FIELD, """select race_id, num,
- round((score - avg(score) over w) / (stddev_pop(score) over w + 1e-9), 4) + 0 as z from field
- where race_id in (select race_id from field group by race_id having count(*) > 1) window w as (partition by race_id)"""))
+ round((score - avg(score) over w) / (stddev_pop(score) over w + 1e-9), 4) + 0 as z from field window w as (partition by race_id)"""))
 def wn08(spark, sf):
-    """A single entrant has no spread; its score is 0 up to rounding noise over 1e-9, so pairs and more are shown."""
     out = _grouped(spark, sf, lambda df, g: rel.zscore(df, g, "score", "z"))
-    return out.filter(F.col("heads") > 1).select("race_id", "num", v.r6("z", 4).alias("z"))
+    return out.select("race_id", "num", v.r6("z", 4).alias("z"))
 
 
 @query("wn09_class_of_race", with_(FIELD, """med as (select race_id, median(floor(rate * 50)) as m from field group by race_id)""", """
@@ -311,9 +309,9 @@ def se05(spark, sf):
 
 @query("se06_leg_sets", with_(FIELD, v.QUOTES_SQL, """
 select q.race_id, q.kind, array_to_string(q.legs, '-') as legs, list_sort(q.legs) = [1, 2, 3] as equal, len(list_filter(q.legs, x -> x > 3)) = 0 as inside
-from quotes q where q.kind in ('trio', 'trifecta', 'quinella')""".replace("x -> x > 3", "lambda x: x > 3")))
+from quotes q""".replace("x -> x > 3", "lambda x: x > 3")))
 def se06(spark, sf):
-    rows = v.quotes(v.field(spark, sf)).filter(F.col("kind").isin("trio", "trifecta", "quinella"))
+    rows = v.quotes(v.field(spark, sf))
     first = F.array(*[F.lit(i) for i in (1, 2, 3)])
     return rows.select(
         "race_id", "kind", v.leg_string().alias("legs"), (F.array_sort("legs") == first).alias("equal"),

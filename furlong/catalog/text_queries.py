@@ -94,13 +94,17 @@ def nj09(spark, sf):
     return _f(spark, sf).select("race_id", "num", text.style_level(pick(styles, F.col("jockey"))).alias("style"), text.going(pick(goings, F.col("horse"))).alias("going"))
 
 
-_NAMES = ["春G1", "GII記念", "G2杯", "夏Ｇ3", "オープン", "1600万下", "2勝クラス", "500万", "未勝利", "新馬", "特別", "ＧⅢ"]
-_LEVELS = [8, 8, 7, 5, 5, 4, 3, 2, 1, 0, 5, 6]
+#: Every spelling of every class, and names without one.
+_NAMES = [
+    "春G1", "GI賞", "杯GⅠ", "天皇賞ＧＩ", "GII記念", "GIII記念", "G2杯", "GⅡ", "春ＧⅡ", "G3", "GⅢ杯", "ＧⅢ", "オープン", "夏OP", "リステッド", "春 L", "1600万下", "3勝クラス",
+    "1000万", "2勝クラス", "500万", "1勝", "未勝利", "新馬", "特別", "夏Ｇ3", "Large",
+]
+_LEVELS = [8, 8, 8, 8, 8, 8, 7, 7, 7, 6, 6, 6, 5, 5, 5, 5, 4, 4, 3, 3, 2, 2, 1, 0, 5, 5, 5]
 
 
-@query("nj11_race_class", with_(FIELD, "select race_id, num, cast(case horse % 13 " + " ".join(f"when {k} then {n}" for k, n in enumerate(_LEVELS)) + " else 5 end as double) as level from field"))
+@query("nj11_race_class", with_(FIELD, "select race_id, num, cast(case horse % 28 " + " ".join(f"when {k} then {n}" for k, n in enumerate(_LEVELS)) + " else 5 end as double) as level from field"))
 def nj11(spark, sf):
-    name = F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("horse") % 13).cast("int"))
+    name = F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("horse") % 28).cast("int"))
     return _f(spark, sf).select("race_id", "num", text.race_class(name).alias("level"))
 
 
@@ -149,12 +153,11 @@ def nj17(spark, sf):
     return _f(spark, sf).select("race_id", "num", text.time_finish(shown).alias("x")).select("race_id", "num", "x.*")
 
 
-@query("nj18_days_since", with_(CONTEST, """select race_id, num, cast(case when num % 8 = 0 then null else jockey % 300 + 1 end as int) as days from contest
-where not (month(race_date - cast(jockey % 300 + 1 as int)) = 2 and day(race_date - cast(jockey % 300 + 1 as int)) = 29)"""))
+@query("nj18_days_since", with_(CONTEST, """select race_id, num, cast(case when num % 8 = 0 then null else jockey % 300 + 1 end as int) as days from contest"""))
 def nj18(spark, sf):
-    """Dates written without the year; the 29th of February may have none in the year before."""
+    """Dates written without the year, the 29th of February too."""
     back = F.date_sub("race_date", (F.col("jockey") % 300 + 1).cast("int"))
-    rows = v.contest(spark, sf).withColumn("back", back).filter(~((F.month("back") == 2) & (F.dayofmonth("back") == 29)))
+    rows = v.contest(spark, sf).withColumn("back", back)
     shown = F.when(F.col("num") % 8 == 0, "02/30").otherwise(F.concat_ws("/", F.month("back").cast("string"), F.dayofmonth("back").cast("string")))
     return rows.select("race_id", "num", text.days_since("race_date", shown).alias("days"))
 
@@ -258,10 +261,10 @@ def nj31(spark, sf):
     return out.select("event_id", "x.stake", "x.stated")
 
 
-@query("nj32_ticket_lines", with_(FIELD, v.QUOTES_SQL, """select race_id, kind, array_to_string(legs, '-') as legs from quotes where kind in ('win', 'exacta') and legs[1] <= 2"""))
+@query("nj32_ticket_lines", with_(FIELD, v.QUOTES_SQL, """select race_id, kind, array_to_string(legs, '-') as legs from quotes where legs[1] <= 2"""))
 def nj32(spark, sf):
-    """Two messages per entrant, of which the first was sent when the number is at most two."""
-    rows = v.quotes(v.field(spark, sf)).filter(F.col("kind").isin("win", "exacta"))
+    """Two messages per quote, of which the first was sent when the first number is at most two."""
+    rows = v.quotes(v.field(spark, sf))
     label = text.mapped(F.col("kind"), fixed.KIND_LABELS)
     line = F.concat(label, F.lit(" "), text.leg_text("kind", "legs"), F.lit(" | 確率 12.00% | オッズ 5 | 期待値 1.2"))
     sent = F.when(F.get("legs", F.lit(0)) <= 2, 1).otherwise(0)

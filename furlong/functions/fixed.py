@@ -51,7 +51,7 @@ STYLE_UNKNOWN = "不明"
 ALLOWANCE_MARKS = "▲☆△★◇"
 CLASS_NAMES = ["新馬", "未勝利", "1勝", "2勝", "3勝", "OP", "G3", "G2", "G1"]
 CLASS_PATTERNS = [
-    (r"G1|GI|GⅠ|ＧⅠ", "G1"),
+    (r"G1|GI|GⅠ|ＧＩ", "G1"),
     (r"G2|GII|GⅡ|ＧⅡ", "G2"),
     (r"G3|GIII|GⅢ|ＧⅢ", "G3"),
     (r"オープン|OP|リステッド|L\b", "OP"),

@@ -177,7 +177,7 @@ def time_finish(c: Column | str) -> Column:
     after = F.regexp_extract(joined, PATTERNS["clock"] + "(.*)$", 2)
     spoken = F.size(words) > 1
     time = F.when(spoken, F.element_at(words, 1)).otherwise(F.coalesce(clock, joined))
-    tail = F.when(spoken, F.array_join(F.slice(words, 2, 10_000), "")).otherwise(after)
+    tail = F.when(spoken, F.array_join(F.slice(words, 2, F.size(words)), "")).otherwise(after)
     gone = text.rlike(PATTERNS["abandoned"])
     return F.struct(
         F.when(gone, text).otherwise(F.nullif(nfkc(time), F.lit(""))).alias("time"),

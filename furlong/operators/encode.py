@@ -68,7 +68,7 @@ def out_of_fold(
     table = _rates(per_key.select(*keys, F.inline(F.array(*options))), least).select(
         *keys, "_fold", *[F.col(n).alias(f"{prefix}_{n}") for n in ("runs", "win_rate", "top3_rate")])
     marked = entries.withColumn("_fold", F.when(train, F.col(fold)).otherwise(F.lit(-1)).cast("int"))
-    return lookup(marked, table, [*keys, "_fold"], hot, fan=folds + 1).drop("_fold")
+    return lookup(marked, table, [*keys, "_fold"], hot).drop("_fold")
 
 
 def _fold_total(name: str, fold: str, f: int) -> Column:

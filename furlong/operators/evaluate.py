@@ -197,6 +197,15 @@ def best_temperature(table: DataFrame) -> tuple[float, float]:
     return row["temperature"], row["loss"]
 
 
+def checked(value: Column, fits: Column, message: str) -> Column:
+    """The value; a row that does not fit stops the job.  NULL is let through."""
+    return F.when(value.isNull() | fits, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), value.cast("string"))).cast("double"))
+
+
+def finite(value: Column) -> Column:
+    return checked(value, F.abs(value) < float("inf"), "scores must be finite")  # NaN is larger than all numbers
+
+
 def log_odds(chance: Column) -> Column:
     p = F.least(F.greatest(chance, F.lit(1e-9)), F.lit(1 - 1e-9))
     return F.log(p / (1 - p))
@@ -213,7 +222,8 @@ def blend(rows: DataFrame, hot: Hot, score: str, other: str, weight: float, win_
 
 
 def with_zscores(rows: DataFrame, hot: Hot, score: str, other: str, win_chances: bool = False) -> DataFrame:
-    rows = rows.withColumn("_other", log_odds(F.col(other)) if win_chances else F.col(other))
+    chance = checked(F.col(other), F.col(other).between(0, 1), "win chances must lie in 0..1")
+    rows = rows.withColumns({"_other": log_odds(chance) if win_chances else finite(F.col(other)), score: finite(F.col(score))})
     return by_group(rows, hot, lambda df, g: zscore(zscore(df, g, score, "_z"), g, "_other", "_zo")).drop("_other")
 
 

@@ -4,7 +4,7 @@ A pipeline is written once against the small interface below and may run in two
 
 * ``Windowed``   - groups of ordinary size: window functions, all passes share one exchange;
 * ``Aggregated`` - the few large groups: partial aggregates before the shuffle, the group
-  results (at most ``HOT_KEYS`` rows) broadcast back, order statistics by range partitioning.
+  results joined back by salted keys, order statistics by range partitioning.
 
 ``by_group`` sends every row through exactly one of the two and unions the results.
 """
@@ -18,16 +18,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furlong.session import cut
+from furlong.session import cut, scratch_path
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
+#: Tasks over which the rows of a large group are dealt when they meet a table with one row per key.
+SALTS = 32
 HOT_ROWS_KEY = "spark.furlong.hotRows"
 
 
 @dataclass(frozen=True)
 class Hot:
-    """The large groups of a table: at most ``HOT_KEYS`` keys, or no table at all."""
+    """The keys of all groups beyond the row limit, a table in the shared folder, or no table at all."""
 
     keys: tuple[str, ...]
     table: DataFrame | None = None
@@ -39,23 +40,29 @@ class Hot:
         return df.limit(0) if self.table is None else self._match(df, "left_semi")
 
     def _match(self, df: DataFrame, how: str) -> DataFrame:
-        marked = F.broadcast(self.table.select(*[F.col(k).alias(f"_hot_{k}") for k in self.keys]))
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in self.keys])
-        return df.join(marked, same, how)
+        return spread_join(df, self.table.select(*self.keys), self.keys, how)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """Null-safe join of many rows with a small table of one row per key: the rows of a key are dealt over ``SALTS`` tasks.
+
+    Spark broadcasts the table where its size is known to be under the session's threshold; nothing here asks for it.
+    """
+    hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind]  # maps have no hash
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
+    named = table.withColumnsRenamed({k: f"_key_{k}" for k in keys}).withColumn("_key_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_salt") == F.col("_key_salt"))
+    return salted.join(named, same, how).drop("_salt", "_key_salt", *[f"_key_{k}" for k in keys])
 
 
 def find_hot(df: DataFrame, *keys: str, rows: int | None = None) -> Hot:
-    """One pass over the key columns; a group beyond the kept keys has at most 1/HOT_KEYS of all rows."""
+    """One pass over the key columns, counted before the shuffle."""
     limit = rows or int(df.sparkSession.conf.get(HOT_ROWS_KEY, str(HOT_ROWS)))
-    large = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .orderBy(F.col("_rows").desc()).limit(HOT_KEYS).select(*keys)
-    )
-    found = large.collect()
-    if not found:
-        return Hot(tuple(keys))
-    return Hot(tuple(keys), df.sparkSession.createDataFrame(found, large.schema))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select(*keys)
+    path = scratch_path(df.sparkSession, "hot")
+    large.write.parquet(path)
+    kept = df.sparkSession.read.schema(large.schema).parquet(path)
+    return Hot(tuple(keys)) if kept.isEmpty() else Hot(tuple(keys), kept)
 
 
 class Windowed:
@@ -167,17 +174,12 @@ def by_group(df: DataFrame, hot: Hot, pipeline: Pipeline) -> DataFrame:
     return usual.unionByName(pipeline(hot.rows(df), Aggregated(hot.keys)))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Hot, how: str = "left", fan: int | None = 1) -> DataFrame:
-    """Join rows to a table with one row per key; large keys use the few table rows they need.
-
-    ``fan`` bounds the table rows per hot key, so at most ``fan * HOT_KEYS`` rows are broadcast;
-    with ``None`` the remaining key columns spread the hot rows and nothing is broadcast.
-    """
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Hot, how: str = "left") -> DataFrame:
+    """Join rows to a table with one row per key; the rows of large keys are dealt over several tasks."""
     usual = hot.cold(rows).join(table, keys, how)
     if hot.table is None:
         return usual
-    few = hot.rows(table)
-    return usual.unionByName(hot.rows(rows).join(F.broadcast(few) if fan else few, keys, how))
+    return usual.unionByName(spread_join(hot.rows(rows), hot.rows(table), tuple(keys), how))
 
 
 def _array_of(df: DataFrame, fields: list[str]) -> str:
@@ -186,6 +188,4 @@ def _array_of(df: DataFrame, fields: list[str]) -> str:
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    named = stats.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    return df.join(F.broadcast(named), same).drop(*[f"_key_{k}" for k in keys])
+    return spread_join(df, stats, keys, "inner")

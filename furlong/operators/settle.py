@@ -86,8 +86,8 @@ def settle(tickets: DataFrame, payouts: DataFrame, many: Hot | None = None, stak
     """JN10 and PL13: ``ret`` is NULL while the kind has no payouts, 0 without a match, else whole units."""
     hot = many or find_hot(tickets, "race_id")
     known = payouts.select("race_id", "kind").distinct().withColumn("_known", F.lit(True))
-    out = lookup(tickets, known, ["race_id", "kind"], hot, fan=len(fixed.KINDS))
-    out = lookup(out, first_payouts(payouts), ["race_id", "kind", "legs"], hot, fan=None)
+    out = lookup(tickets, known, ["race_id", "kind"], hot)
+    out = lookup(out, first_payouts(payouts), ["race_id", "kind", "legs"], hot)
     unit = F.lit(stake) if isinstance(stake, int) else stake
     won = F.coalesce(F.floor(F.col("per100") * unit / 100), F.lit(0))
     return out.withColumn("ret", F.when(F.col("_known"), won).cast("long")).drop("_known", "per100")

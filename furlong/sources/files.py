@@ -1,4 +1,4 @@
-"""Files to tables.  Every reader plans a scan; nothing but file headers is looked at beforehand."""
+"""Files to tables.  Every reader plans a scan; before it, header lines are looked at, by a pass over the files' text."""
 
 from __future__ import annotations
 
@@ -13,26 +13,29 @@ from furlong import schemas
 from furlong.functions import fixed, text
 from furlong.functions.fixed import PATTERNS
 from furlong.operators.evaluate import split_rejects
+from furlong.operators.groups import spread_join
+from furlong.session import cut
 
-MAX_HEADERS = 1000
 
+def _layouts(spark: SparkSession, path: str, key: str, glob: str | None) -> tuple[list[str], DataFrame, bool]:
+    """The distinct header lines that name the key column, (file, header) of all files, and whether all have the same header.
 
-def _headers(spark: SparkSession, path: str, key: str, glob: str | None) -> list[tuple[str, list[str]]]:
-    """The distinct header lines that name the key column, with the folders or files that have them."""
+    A header is the first line of its file that is not blank: of the lines of the block that starts the file, the one that is read first.  Only header lines, which are
+    schema information, come to the driver; file names stay in the table.
+    """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    named = lines.filter(F.col("value").rlike(f'(^|,|\\uFEFF)"?{key}"?(,|$)')).distinct()
-    kinds = named.groupBy("value").agg(F.count(F.lit(1)).alias("files")).limit(MAX_HEADERS + 1).collect()
-    if len(kinds) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers below {path}")
-    if len(kinds) == 1:
-        total = reader.format("binaryFile").load(path).select("path").count()
-        if total == kinds[0]["files"]:
-            return [(kinds[0]["value"], [path])]
-    # file names only, which the planner holds as well
-    return [(k["value"], [r["file"] for r in named.filter(F.col("value") == k["value"]).select("file").collect()]) for k in kinds]
+    lines = reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("read"))
+    first = cut(lines.filter((F.col("start") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "read").alias("header")))
+    layouts = [r["header"] for r in first.select("header").distinct().collect()]
+    named = sorted(line for line in layouts if key in _names(line))
+    return named, first, len(layouts) == 1
+
+
+def _names(line: str) -> list[str]:
+    return next(csv.reader(io.StringIO(line.lstrip("\ufeff"))))
 
 
 def read_named(spark: SparkSession, path: str, key: str, glob: str | None = None) -> DataFrame:
@@ -41,15 +44,18 @@ def read_named(spark: SparkSession, path: str, key: str, glob: str | None = None
     Files without the key column are left out, columns a file lacks are NULL, broken lines are
     kept in ``_broken``.  Files with equal headers share one scan.
     """
+    layouts, headers, alike = _layouts(spark, path, key, glob)
     out = None
-    for line, places in _headers(spark, path, key, glob):
-        names = next(csv.reader(io.StringIO(line.lstrip("﻿"))))
-        fields = [T.StructField(n, T.StringType()) for n in names] + [T.StructField("_broken", T.StringType())]
+    for line in layouts:
+        fields = [T.StructField(n, T.StringType()) for n in _names(line)] + [T.StructField("_broken", T.StringType())]
         reader = spark.read.schema(T.StructType(fields)).options(
             header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", recursiveFileLookup=True, escape='"')
         if glob:
             reader = reader.option("pathGlobFilter", glob)
-        one = reader.csv(places).withColumn("file", F.col("_metadata.file_name"))
+        one = reader.csv(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"))
+        if not alike:
+            one = spread_join(one, headers.filter(F.col("header") == line).select(F.col("file").alias("_path")), ("_path",), "left_semi")
+        one = one.drop("_path")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in (key, "_broken", "file")]))
@@ -160,9 +166,7 @@ def read_quotes(spark: SparkSession, path: str) -> DataFrame:
 
 def peek_columns(spark: SparkSession, path: str, key: str, required: list[str]) -> DataFrame:
     """SC07: per required column whether the files below the path have it; headers only."""
-    names: set[str] = set()
-    for line, _ in _headers(spark, path, key, None):
-        names |= set(next(csv.reader(io.StringIO(line.lstrip("﻿")))))
+    names = {name for line in _layouts(spark, path, key, None)[0] for name in _names(line)}
     return spark.createDataFrame([(c, c in names) for c in required], "column string, present boolean")
 
 

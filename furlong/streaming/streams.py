@@ -6,12 +6,14 @@ that has arrived and stops, keeping state in its checkpoint, so the next run goe
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,10 +22,14 @@ RESULTS_AFTER = "20 minutes"
 GIVE_UP = "60 minutes"
 
 
-def latest_quotes(quotes: DataFrame) -> DataFrame:
-    """ST01: the newest quote per ticket; run in update mode."""
+def latest_quotes(quotes: DataFrame, late: str = "1 day") -> DataFrame:
+    """ST01: the newest quote per ticket and day; run in update mode.
+
+    State goes when the watermark has passed the day, so it holds the tickets of a few days; ``latest_results`` takes the newest over all days.
+    """
     newest = F.max_by(F.struct("odds_lo", "odds_hi", "fetched_at"), "fetched_at")
-    return quotes.groupBy("race_id", "kind", "legs").agg(newest.alias("q")).select("race_id", "kind", "legs", "q.*")
+    days = quotes.withWatermark("fetched_at", late).groupBy(F.window("fetched_at", "1 day"), "race_id", "kind", "legs")
+    return days.agg(newest.alias("q")).select("race_id", "kind", "legs", "q.*")
 
 
 def due_races(schedule: DataFrame, clock: DataFrame) -> DataFrame:
@@ -39,24 +45,31 @@ def due_races(schedule: DataFrame, clock: DataFrame) -> DataFrame:
     return ticks.join(spread, "_minute").filter(due).drop("_minute")
 
 
-def tickets_once(proposals: DataFrame) -> DataFrame:
-    """ST03: one proposal per contest, also after a restart from the checkpoint."""
-    return proposals.dropDuplicates(["race_id"])
+def tickets_once(proposals: DataFrame, time: str = "ts", within: str = "2 days") -> DataFrame:
+    """ST03: one proposal per contest, also after a restart from the checkpoint.
+
+    The proposals of a contest lie within ``within`` of each other; after that its state goes.
+    """
+    return proposals.withWatermark(time, within).dropDuplicatesWithinWatermark(["race_id"])
 
 
 def settle_stream(tickets: DataFrame, payouts: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """ST04: tickets with the payouts that arrive within the waiting time; without one they come out as missing.
+    """ST04: every ticket once, with its return; ``ret`` is NULL if no payouts of its kind arrive within the waiting time.
 
-    ``tickets(race_id, kind, start, ...)``, ``payouts(race_id, kind, paid_at, per100)``.
+    ``tickets(race_id, kind, legs, stake, start, ...)``, ``payouts(race_id, kind, paid_at, entries)`` with the entries (legs, per100) of a
+    contest and kind in their order.  The first payouts of a contest and kind count, and of its entries the first with the ticket's legs.
     """
-    left = tickets.withWatermark("start", late).alias("t")
-    right = payouts.withWatermark("paid_at", late).withColumnsRenamed({"race_id": "_race", "kind": "_kind"}).alias("p")
+    left = tickets.withWatermark("start", late)
+    first = payouts.withWatermark("paid_at", late).dropDuplicatesWithinWatermark(["race_id", "kind"])
+    right = first.withColumnsRenamed({"race_id": "_race", "kind": "_kind", "entries": "_entries"})
     inside = (
         (F.col("race_id") == F.col("_race")) & (F.col("kind") == F.col("_kind"))
         & (F.col("paid_at") >= F.col("start") + F.expr(f"interval {RESULTS_AFTER}"))
         & (F.col("paid_at") <= F.col("start") + F.expr(f"interval {GIVE_UP}"))
     )
-    return left.join(right, inside, "leftOuter").drop("_race", "_kind")
+    match = F.get(F.filter("_entries", lambda e: e["legs"] == F.col("legs")), F.lit(0))["per100"]
+    ret = F.when(F.col("_entries").isNotNull(), F.coalesce(F.floor(match * F.col("stake") / 100), F.lit(0))).cast("long")
+    return left.join(right, inside, "leftOuter").withColumn("ret", ret).drop("_race", "_kind", "_entries")
 
 
 def daily_ledger(tickets: DataFrame, late: str = "1 day", time: str = "ts") -> DataFrame:
@@ -119,7 +132,8 @@ def lifecycle(events: DataFrame) -> DataFrame:
     """ST06: proposed, purchased, settled - each passed on once, when the steps before it have been seen too.
 
     Only the first time of a step counts, so every Arrow batch is cut to one row per contest and
-    step before the shuffle; state per contest is three times and a counter.
+    step before the shuffle; state per contest is three times and a counter.  State that expires needs
+    processing time, with which a run over what has arrived never ends, so it stays.
     """
     schema = T.StructType([T.StructField("race_id", T.LongType()), T.StructField("step", T.StringType()), T.StructField("at", T.TimestampType())])
     return events.select("race_id", "step", "at").mapInPandas(_first_times(), schema).groupBy("race_id").transformWithStateInPandas(
@@ -135,13 +149,45 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> dict:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    dropped = 0
-    for progress in run.recentProgress:
-        for operator in progress["stateOperators"]:
-            dropped += operator["numRowsDroppedByWatermark"]
-    return {"dropped": dropped}
+    seen = _Dropped()
+    stream.sparkSession.streams.addListener(seen)
+    try:
+        run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        run.awaitTermination()
+        seen.ended(str(run.runId))
+    finally:
+        stream.sparkSession.streams.removeListener(seen)
+    return {"dropped": seen.rows.get(str(run.runId), 0)}
+
+
+class _Dropped(StreamingQueryListener):
+    """Rows that came too late, over all batches of a run, however many."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.over: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + late
+
+    def onQueryTerminated(self, event) -> None:
+        with self.news:
+            self.over.add(str(event.runId))
+            self.news.notify_all()
+
+    def ended(self, run: str) -> None:
+        """Events come in order, so after the last one all progress has been seen."""
+        with self.news:
+            self.news.wait_for(lambda: run in self.over, timeout=60)
 
 
 def results(spark, path: str, schema: T.StructType) -> DataFrame:
@@ -150,7 +196,7 @@ def results(spark, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(fields).parquet(f"{path}/out")
 
 
-def latest_results(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The last version of every key of an update-mode stream."""
+def latest_results(rows: DataFrame, keys: list[str], time: str = "fetched_at") -> DataFrame:
+    """The newest row of every key of an update-mode stream, of equal times the last version."""
     values = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(time, "batch")).alias("v")).select(*keys, "v.*")

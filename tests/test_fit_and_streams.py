@@ -83,6 +83,10 @@ def test_blend_per_contest_and_weights(spark):
     assert [r["mixed"] for r in evaluate.blend(df, HOT, "s", "o", 0.0).orderBy("race_id", "num").collect()] == [r[2] for r in rows]
     with pytest.raises(ValueError):
         evaluate.blend(df, HOT, "s", "o", 1.5)
+    for bad in (float("nan"), float("inf"), -0.1, 1.1):
+        odd = df.withColumn("o", F.when(F.col("num") == 1, bad).otherwise(F.col("o")))
+        with pytest.raises(Exception, match="0..1|finite"):
+            evaluate.blend(odd, HOT, "s", "o", 0.4, True).collect()
     table = evaluate.blend_search(df, HOT, "s", "o", [0.5, 0.9], True)
     assert evaluate.select_blend(table).count() == 1
 
@@ -112,8 +116,9 @@ def test_due_window_edges(spark):
 
 
 def test_tickets_once_survives_a_restart(spark, tmp_path):
-    schema = "race_id long, v int"
-    for part in ([(1, 1), (1, 2), (2, 1)], [(2, 9), (3, 1)]):
+    schema = "race_id long, v int, ts timestamp"
+    day = dt.datetime(2026, 9, 6)
+    for part in ([(1, 1, day), (1, 2, day), (2, 1, day)], [(2, 9, day), (3, 1, day)]):
         spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = st.tickets_once(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
         st.drain(stream, str(tmp_path))
@@ -121,6 +126,23 @@ def test_tickets_once_survives_a_restart(spark, tmp_path):
     assert {r["race_id"]: r["count"] for r in got} == {1: 1, 2: 1, 3: 1}
 
 
+def test_settled_stream_gives_every_ticket_once(spark, tmp_path):
+    """The first payouts of a contest count, and of those the first with the legs; without payouts the return stays unknown."""
+    start, far = dt.datetime(2026, 9, 6, 15), dt.datetime(2030, 1, 1)
+    minute = dt.timedelta(minutes=1)
+    tickets = [(1, 7, [1, 2], 100, start, None, None), (2, 7, [2, 3], 100, start, None, None), (3, 7, [9, 9], 200, start, None, None), (4, 8, [1, 2], 100, start, None, None), (0, 0, [1], 100, far, None, None)]
+    paid = [(0, 7, None, None, None, start + 25 * minute, [([1, 2], 310), ([1, 2], 999), ([2, 3], 1055)]), (0, 7, None, None, None, start + 30 * minute, [([1, 2], 5)]),
+            (0, 8, None, None, None, start + 70 * minute, [([1, 2], 5)]), (0, 0, None, None, None, far, [([1], 1)])]
+    schema = "id long, race_id long, legs array<int>, stake int, start timestamp, paid_at timestamp, entries array<struct<legs: array<int>, per100: long>>"
+    spark.createDataFrame(tickets + paid, schema).write.parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("kind", F.lit("wide"))
+    stream = st.settle_stream(
+        feed.filter("paid_at is null").select("id", "race_id", "kind", "legs", "stake", "start"), feed.filter("paid_at is not null").select("race_id", "kind", "paid_at", "entries"))
+    st.drain(stream, str(tmp_path))
+    got = {r["id"]: r["ret"] for r in st.results(spark, str(tmp_path), stream.schema).collect()}
+    assert got == {1: 310, 2: 1055, 3: 0, 4: None}
+
+
 def test_validity(spark):
     rows = [(1, n, n, 0.25, 0.5, 0.75) for n in range(1, 5)] + [(2, n, min(n, 3), 0.25, 0.5, 0.75) for n in range(1, 5)]
     rows += [(3, n, n, 0.2, 0.5, 0.75) for n in range(1, 5)] + [(4, 1, n, 0.25, 0.5, 0.75) for n in range(1, 5)] + [(5, n, n, 0.25, 0.2, 0.75) for n in range(1, 5)]

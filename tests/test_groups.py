@@ -120,9 +120,8 @@ def test_groups_do_not_leak(spark, skewed):
     assert sorted(map(repr, alone.collect())) == sorted(map(repr, among.collect()))
 
 
-def test_hot_keys_are_bounded(spark, monkeypatch, skewed):
-    from furlong.operators import groups
-
-    monkeypatch.setattr(groups, "HOT_KEYS", 3)
+def test_every_large_group_is_found(spark, skewed):
+    sizes = {r["race_id"]: r["count"] for r in skewed.groupBy("race_id").count().collect()}
     hot = find_hot(skewed, "race_id", rows=1)
-    assert hot.table.count() == 3
+    assert {r["race_id"] for r in hot.table.collect()} == {k for k, n in sizes.items() if n > 1}
+    assert hot.rows(skewed).count() + hot.cold(skewed).count() == skewed.count()
