@@ -37,7 +37,7 @@ ROOM = 2048
 CLOSE = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Units whose ids a worker remembers; beyond it the memory starts anew.
-KNOWN = 2_000_000
+KNOWN = 600_000
 SALTS = 256
 
 _LETTER = np.zeros(256, bool)

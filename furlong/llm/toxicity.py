@@ -29,7 +29,7 @@ from furlong.llm.textblock import LOWER, Block, Rolling, blocks, code_points, sp
 
 BUCKETS = 1 << 18
 GRAM = 5
-SAMPLE = 2000
+SAMPLE = 1500
 #: A feature that fewer sampled documents have says nothing; its weight stays 0.
 LEAST = 3
 EPOCHS = 120
