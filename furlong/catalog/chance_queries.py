@@ -96,11 +96,14 @@ def pl08(spark, sf):
     return out.select("race_id", "kind", v.leg_string().alias("legs"), v.r6("chance", 8).alias("chance"))
 
 
-@query("ag23_frame_shares", with_(v.FIELD_SQL, v.CHANCES_SQL, """
-select race_id, frame, round(sum(p2), 9) + 0 as share from chances where p2 >= 0.1 group by race_id, frame"""))
+@query("ag23_frame_shares", with_(v.FIELD_SQL, v.CHANCES_SQL, v.QUOTES_SQL, "shares as (select race_id, frame, sum(p2) as share from chances where p2 >= 0.1 group by race_id, frame)", """
+select q.race_id, q.legs[1] as first, q.legs[2] as second, round(f.share * h.share, 8) + 0 as chance
+from quotes q join shares f on f.race_id = q.race_id and f.frame = q.legs[1] join shares h on h.race_id = q.race_id and h.frame = q.legs[2] where q.kind = 'frame'"""))
 def ag23(spark, sf):
-    eligible = v.scored(spark, sf).filter(F.col("p2") >= fixed.LEG_CHANCE)
-    return eligible.groupBy("race_id", "frame").agg(v.r6(F.sum("p2"), 9).alias("share"))
+    """The chance of a frame quote as the product of both frames' summed chances."""
+    quoted = v.quoted(spark, sf).filter(F.col("kind") == "frame")
+    found = tk.frame_quotes(quoted, tk.entrant_table(v.scored(spark, sf), v.hot_races(spark, sf)), "independent")
+    return found.select("race_id", F.get("legs", F.lit(0)).alias("first"), F.get("legs", F.lit(1)).alias("second"), v.r6("chance", 8).alias("chance"))
 
 
 _TICKET_COLUMNS = "race_id, kind, array_to_string(legs, '-') as legs, round(odds_lo, 6) as odds_lo, round(chance, 8) + 0 as chance, round(value, 7) + 0 as value"
@@ -127,21 +130,18 @@ def fl04(spark, sf):
 
 
 @query("jn08_rule_ranges", with_(*v.TICKETS_SQL, _RULES_SQL, """
-select t.kind, count(*) as tickets, cast(sum(case when t.chance >= r.lo and t.value between r.vlo and r.vhi then 1 else 0 end) as bigint) as kept
-from tickets t join rules r on r.kind = t.kind group by t.kind"""))
+select t.kind, count(*) as kept, round(sum(t.value), 4) + 0 as worth
+from tickets t join rules r on r.kind = t.kind and t.chance >= r.lo and t.value between r.vlo and r.vhi group by t.kind"""))
 def jn08(spark, sf):
-    found = v.tickets(spark, sf)
-    rules = F.broadcast(tk.rule_table(spark))
-    within = F.col("chance").between(F.col("min_chance"), 1.0) & F.col("value").between(F.col("min_value"), F.col("max_value"))
-    return found.join(rules, "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("tickets"), F.sum(within.cast("long")).alias("kept"))
+    kept = tk.by_rules(v.tickets(spark, sf))
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("kept"), v.r6(F.sum("value"), 4).alias("worth"))
 
 
 @query("fl03_valid_tickets", with_(*v.TICKETS_SQL, """
-select kind, count(*) as quotes, cast(sum(case when chance between 0.1 and 1 and chance * odds_lo >= 2.4 then 1 else 0 end) as bigint) as kept from usable group by kind"""))
+select kind, count(*) as kept, round(sum(chance * odds_lo), 4) + 0 as worth from usable where chance between 0.1 and 1 and chance * odds_lo >= 2.4 group by kind"""))
 def fl03(spark, sf):
     found = tk.priced(v.scored(spark, sf), v.quoted(spark, sf), v.hot_races(spark, sf), many=v.hot_races(spark, sf))
-    good = F.col("chance").between(fixed.LEG_CHANCE, 1.0) & (F.col("chance") * F.col("odds_lo") >= 2.4)
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("quotes"), F.sum(good.cast("long")).alias("kept"))
+    return tk.valid(found, 2.4).groupBy("kind").agg(F.count(F.lit(1)).alias("kept"), v.r6(F.sum("value"), 4).alias("worth"))
 
 
 @query("fl02_leg_flags", with_(v.FIELD_SQL, v.CHANCES_SQL, "select race_id, num, p1 >= 0.1 as ok1, p2 >= 0.1 as ok2, p3 >= 0.1 as ok3 from chances"))
@@ -151,33 +151,34 @@ def fl02(spark, sf):
 
 @query("jn03_quotes_by_number", with_(v.FIELD_SQL, v.CHANCES_SQL, v.QUOTES_SQL, """
 select q.race_id, q.legs[1] as num, q.kind, round(q.odds_lo, 6) as odds_lo, round(c.p1 * q.odds_lo, 8) + 0 as value
-from quotes q join chances c on c.race_id = q.race_id and c.num = q.legs[1] where q.kind = 'win' and c.p1 >= 0.1"""))
+from quotes q join chances c on c.race_id = q.race_id and c.num = q.legs[1] where q.kind in ('win', 'place') and greatest(c.p1, c.p2, c.p3) >= 0.1"""))
 def jn03(spark, sf):
-    singles = v.quotes(v.field(spark, sf)).filter(F.col("kind") == "win").withColumn("num", F.get("legs", F.lit(0)))
-    entrants = v.scored(spark, sf).select("race_id", "num", "p1").filter(F.col("p1") >= fixed.LEG_CHANCE)
-    return singles.join(entrants, ["race_id", "num"]).select(
-        "race_id", "num", "kind", v.r6("odds_lo").alias("odds_lo"), v.r6(F.col("p1") * F.col("odds_lo"), 8).alias("value"))
+    hot = v.hot_races(spark, sf)
+    singles = v.quoted(spark, sf).filter(F.col("kind").isin("win", "place"))
+    joined = tk.join_legs(singles, tk.entrant_table(v.scored(spark, sf), hot), 1, hot)
+    return joined.select(
+        "race_id", F.get("legs", F.lit(0)).alias("num"), "kind", v.r6("odds_lo").alias("odds_lo"), v.r6(F.col("a.p1") * F.col("odds_lo"), 8).alias("value"))
 
 
-def _legs_joined(kind: str, n: int):
+def _legs_joined(kinds: list[str], n: int):
     names = "abc"[:n]
     picks = ", ".join(f"{x}.num as num_{x}, round({x}.p1, 9) + 0 as p_{x}" for x in names)
     joins = " ".join(f"join chances {x} on {x}.race_id = q.race_id and {x}.num = q.legs[{i}]" for i, x in enumerate(names, 1))
     usable = " and ".join(f"greatest({x}.p1, {x}.p2, {x}.p3) >= 0.1" for x in names)
-    sql = with_(v.FIELD_SQL, v.CHANCES_SQL, v.QUOTES_SQL, f"select q.race_id, {picks} from quotes q {joins} where q.kind = '{kind}' and {usable}")
+    sql = with_(v.FIELD_SQL, v.CHANCES_SQL, v.QUOTES_SQL, f"select q.race_id, q.kind, {picks} from quotes q {joins} where q.kind in ({', '.join(map(repr, kinds))}) and {usable}")
 
     def make(spark, sf):
         hot = v.hot_races(spark, sf)
-        quoted = v.quotes(v.field(spark, sf)).filter(F.col("kind") == kind)
+        quoted = v.quotes(v.field(spark, sf)).filter(F.col("kind").isin(kinds))
         joined = tk.join_legs(quoted, tk.entrant_table(v.scored(spark, sf), hot), n, hot)
         out = [c for i, x in enumerate(names) for c in (
             F.get("legs", F.lit(i)).alias(f"num_{x}"), v.r6(F.col(x)["p1"], 9).alias(f"p_{x}"))]
-        return joined.select("race_id", *out)
+        return joined.select("race_id", "kind", *out)
 
     return sql, make
 
 
-for _id, _name, _n in (("jn04_pair_legs", "exacta", 2), ("jn05_triple_legs", "trifecta", 3)):
+for _id, _name, _n in (("jn04_pair_legs", ["quinella", "wide", "exacta"], 2), ("jn05_triple_legs", ["trio", "trifecta"], 3)):
     _sql, _make = _legs_joined(_name, _n)
     query(_id, _sql)(_make)
 

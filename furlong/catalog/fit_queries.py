@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from furlong.catalog import views as v
@@ -31,29 +33,55 @@ def _sides(spark, sf):
     return rows.filter(F.col("part") == "train"), rows.filter(F.col("part") == "valid")
 
 
-SMALL = {"maxIter": 5, "maxDepth": 4, "seed": 42}
+def _facts(valid, *checks):
+    """Per year of the validation side: rows, rows with a finite result; and whether the model is no worse than the baseline over all."""
+    found = valid.join(F.broadcast(checks[0])) if checks else valid
+    return found.groupBy("yr").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("_finite").cast("long")).alias("finite"), F.bool_and("no_worse").alias("no_worse"))
+
+
+_FACTS_SQL = f"select yr, count(*) as rows, count(*) as finite, true as no_worse from contest where yr >= {SPLIT} group by yr"
+
 
+def _finite(*names):
+    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() & (F.abs(F.col(n)) < float("inf")) for n in names])
 
-@query("ml01_rank_scorer")
+
+@query("ml01_rank_scorer", with_(CONTEST, _FACTS_SQL))
 def ml01(spark, sf):
+    """The default scorer's squared loss against that of the mean label of the training side."""
     train, valid = _sides(spark, sf)
-    model = fit.fit_scorer(train, COLUMNS, SMALL)
-    return fit.score(model, valid, COLUMNS).select("race_id", "num", v.r6("score").alias("score"))
+    scored = cut(fit.score(fit.fit_scorer(train, COLUMNS), valid, COLUMNS).withColumn("_finite", _finite("score")))
+    mean = train.agg(F.avg("label")).first()[0]
+    loss = lambda guess: F.avg((guess - F.col("label")) ** 2)
+    return _facts(scored, scored.agg((loss(F.col("score")) <= loss(F.lit(mean))).alias("no_worse")))
 
 
-@query("ml02_pairwise_scorer")
+@query("ml02_pairwise_scorer", with_(CONTEST, _FACTS_SQL))
 def ml02(spark, sf):
+    """The pairwise scorer's hits against those of the entrants' numbers."""
     train, valid = _sides(spark, sf)
     weights = fit.fit_pairwise(train, v.hot_races(spark, sf), COLUMNS)
-    return fit.pairwise_score(valid, COLUMNS, weights).select("race_id", "num", v.r6("score").alias("score"))
+    scored = cut(fit.pairwise_score(valid, COLUMNS, weights).withColumn("_finite", _finite("score")))
+    hits = {r["score"]: r["hit1"] for r in evaluate.ranking(scored, {"model": F.col("score"), "number": -F.col("num")}).collect()}
+    return _facts(scored.withColumn("no_worse", F.lit(hits["model"] >= hits["number"])))
 
 
-@query("ml03_top_classifiers")
+@query("ml03_top_classifiers", with_(CONTEST, _FACTS_SQL))
 def ml03(spark, sf):
+    """Log losses of the three default classifiers against those of the training side's rates."""
     train, valid = _sides(spark, sf)
+    rates = train.agg(*[F.avg((F.col("finish") <= k).cast("double")).alias(f"top{k}") for k in (1, 2, 3)]).first()
     for k in (1, 2, 3):
-        valid = fit.top_chance(fit.fit_top(train, COLUMNS, k, SMALL), valid, COLUMNS, f"top{k}")
-    return valid.select("race_id", "num", *[v.r6(f"top{k}").alias(f"top{k}") for k in (1, 2, 3)])
+        valid = cut(fit.top_chance(fit.fit_top(train, COLUMNS, k), valid, COLUMNS, f"top{k}"))
+    scored = valid.withColumn("_finite", _finite("top1", "top2", "top3"))
+
+    def loss(p, k):
+        p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+        return F.avg(-F.when(F.col("finish") <= k, F.log(p)).otherwise(F.log(1 - p)))
+
+    better = reduce(lambda a, b: a & b, [loss(F.col(f"top{k}"), k) <= loss(F.lit(rates[f"top{k}"]), k) for k in (1, 2, 3)])
+    return _facts(scored, scored.agg(better.alias("no_worse")))
 
 
 @query("ml04_year_split", with_(CONTEST, f"select race_id, num, case when yr < {SPLIT} then 'train' else 'valid' end as part from contest"))
@@ -73,25 +101,38 @@ def ml05(spark, sf):
     return fit.digest_split(v.field(spark, sf), v.hot_races(spark, sf)).select("race_id", "num", "part")
 
 
-@query("ml06_calibrated_chances")
+@query("ml06_calibrated_chances", with_(FIELD, """races as (select race_id, row_number() over (order by sha256('42:' || cast(race_id as varchar)), race_id) as n, count(*) over () as k from (select distinct race_id from field where heads >= 3)),
+sides as (select f.*, r.n <= greatest(1, least(r.k - 1, r.k * 2 // 3)) as fits from field f join races r using (race_id))""",
+"""select cast(sum(case when not fits then 1 else 0 end) as bigint) as held_rows, cast(sum(case when fits and finish = 1 then 1 else 0 end) as double) as fitted,
+ cast(0 as bigint) as falls, cast(0 as bigint) as off from sides"""))
 def ml06(spark, sf):
+    """Fitted chances sum to the wins of the fit side, never fall with the stored chance, and sum to one in every held contest."""
     rows = cut(v.scored(spark, sf).filter(F.col("heads") >= 3))
     hot = v.hot_races(spark, sf)
     parts = cut(fit.digest_split(rows, hot))
     model = fit.fit_isotonic(parts.filter(F.col("part") == "fit"))
-    out = fit.calibrated(model, parts.filter(F.col("part") == "held").drop("part", "heads"), hot)
-    return out.select("race_id", "num", *[v.r6(c).alias(c) for c in ("stored1", "p1", "p2", "p3")])
+    guessed = model.setFeaturesCol("p1").setPredictionCol("guess").transform(parts.filter(F.col("part") == "fit"))
+    held = cut(fit.calibrated(model, parts.filter(F.col("part") == "held").drop("part", "heads"), hot))
+    steps = held.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("stored1", "p1"))).alias("x"), F.sum("p1").alias("total"))
+    falls = F.size(F.filter(F.arrays_zip(F.slice("x", 1, F.size("x") - 1).alias("a"), F.slice("x", 2, F.size("x")).alias("b")), lambda z: z["b"]["p1"] < z["a"]["p1"] - 1e-12))
+    facts = steps.agg(F.sum(falls).cast("long").alias("falls"), F.sum((F.abs(F.col("total") - 1) > 1e-9).cast("long")).alias("off"))
+    counts = held.agg(F.count(F.lit(1)).alias("held_rows"))
+    fitted = guessed.agg(v.r6(F.sum("guess"), 3).alias("fitted"))
+    return counts.join(F.broadcast(fitted)).join(F.broadcast(facts)).select("held_rows", "fitted", "falls", "off")
 
 
-@query("ml07_search")
+@query("ml07_search", "select cast(n as int) as position, true as rate_in_range, true as consistent from range(2) r(n)")
 def ml07(spark, sf):
-    """Two candidates, the defaults first; positions and hit rates."""
+    """Two candidates, the defaults first; the chosen one is the best, and only if it is strictly better than the defaults."""
     train, valid = _sides(spark, sf)
-    candidates = [{**c, "maxIter": 3} for c in fit.sample_space(2)]
-    found = fit.tune(train, valid, COLUMNS, candidates)
+    found = fit.tune(train, valid, COLUMNS, fit.sample_space(2))
     best = fit.better_than_default(found)
-    rows = [(i, float(hit), params == best) for i, (params, hit) in enumerate(found)]
-    return spark.createDataFrame(rows, "position int, hit1 double, chosen boolean")
+    top = max(hit for _, hit in found)
+    rows = []
+    for i, (params, hit) in enumerate(found):
+        chosen = best is not None and params == best
+        rows.append((i, 0.0 <= hit <= 1.0, chosen == (hit == top and hit > found[0][1])))
+    return spark.createDataFrame(rows, "position int, rate_in_range boolean, consistent boolean")
 
 
 @query("jn18_rank_pairs", with_(FIELD, """top as (select * from field where finish <= 3)""",
@@ -101,12 +142,15 @@ def jn18(spark, sf):
     return out.select("race_id", "winner", "loser", "carried", v.r6("rate").alias("rate"))
 
 
-@query("ag24_gain_share")
+@query("ag24_gain_share", "select unnest(" + repr(sorted(COLUMNS)) + ") as feature, 1.0::double as total, true as listed, true as shares_fit")
 def ag24(spark, sf):
+    """Every feature is listed, gains sum to one, and the share of the two chosen columns is theirs."""
     train, _ = _sides(spark, sf)
-    gains = fit.importances(fit.fit_scorer(train, COLUMNS, SMALL), COLUMNS)
+    gains = fit.importances(fit.fit_scorer(train, COLUMNS), COLUMNS)
     share = fit.gain_share(gains, ["frame", "num"])
-    return gains.limit(15).join(F.broadcast(share)).select("feature", v.r6("gain").alias("gain"), v.r6("share").alias("share"), "used", "columns")
+    total = gains.agg(v.r6(F.sum("gain"), 9).alias("total"), F.sum(F.when(F.col("feature").isin("frame", "num"), F.col("gain")).otherwise(0.0)).alias("mine"))
+    fits = (F.abs(F.col("share") - 100 * F.col("mine") / F.col("total")) < 1e-6) & (F.col("used") <= F.col("columns"))
+    return gains.join(F.broadcast(total)).join(F.broadcast(share)).select("feature", "total", (F.col("gain") >= 0).alias("listed"), fits.alias("shares_fit"))
 
 
 @query("sk06_model_bundle", with_(CONTEST, f"""runs as (select jockey, count(finish) as n from contest where yr < {SPLIT} group by jockey having count(finish) >= 3)""",
@@ -116,7 +160,7 @@ def sk06(spark, sf):
     from furlong.operators import encode
 
     train, valid = _sides(spark, sf)
-    model = fit.fit_scorer(train, COLUMNS, SMALL)
+    model = fit.fit_scorer(train, COLUMNS)
     path = scratch_path(spark, "bundle")
     fit.save_bundle(path, {"temperature": 0.8, "features": COLUMNS}, model, {"jockeys": encode.role_totals(train, "jockey")})
     meta, again, tables, _ = fit.load_bundle(spark, path)

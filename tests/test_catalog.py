@@ -56,8 +56,7 @@ def test_query(spark, sf, duck, name):
 
 def test_registry():
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) > 150
-    assert {n for n in QUERIES if n not in ORACLE} == {
-        "ml01_rank_scorer", "ml02_pairwise_scorer", "ml03_top_classifiers", "ml06_calibrated_chances", "ml07_search", "ag24_gain_share"}
+    assert all(n in ORACLE for n in QUERIES if n != "pipeline" and not n.startswith("op"))
 
 
 def test_entry(spark):
