@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where the session names none."""
+    """The folder every executor can reach: the checkpoint folder, or a part of the warehouse where the session names none."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    made = tempfile.mkdtemp(prefix="furlong-")
+    made = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_furlong"
     spark.sparkContext.setCheckpointDir(made)
     return made
 
