@@ -43,12 +43,14 @@ def judge(tickets: DataFrame, entries: DataFrame, hot: Hot, many: Hot | None = N
 
     ``hot`` are the contests with very many entrants, ``many`` those with very many tickets.
     """
-    known = lookup(tickets, race_results(entries, hot), ["race_id"], many or find_hot(tickets, "race_id"))
-    finishes = entries.select("race_id", F.col("num").alias("_leg"), F.col("finish").alias("_finish"))
-    known = known.withColumn("_leg", F.get("legs", F.lit(0))).join(finishes, ["race_id", "_leg"], "left")
-    hit = is_hit(F.col("kind"), F.col("legs"), F.col("top"), F.col("top_frames"), F.col("_finish"), F.col("starters"))
+    # the placed entrants of a contest are a handful, dead heats included
+    placed = entries.filter(F.col("finish") <= 3).groupBy("race_id").agg(F.collect_list(F.struct("num", "finish")).alias("_placed"))
+    results = race_results(entries, hot).join(placed, "race_id", "left")
+    known = lookup(tickets, results, ["race_id"], many or find_hot(tickets, "race_id"))
+    finish = F.get(F.filter("_placed", lambda x: x["num"] == F.get("legs", F.lit(0))), F.lit(0))["finish"]
+    hit = is_hit(F.col("kind"), F.col("legs"), F.col("top"), F.col("top_frames"), finish, F.col("starters"))
     return known.withColumn("hit", F.when(F.coalesce(F.col("ranked") >= 3, F.lit(False)), hit)).drop(
-        "_leg", "_finish", "top", "top_frames", "ranked")
+        "_placed", "top", "top_frames", "ranked")
 
 
 def kind_order(kind: Column | str) -> Column:
@@ -85,12 +87,13 @@ def first_payouts(payouts: DataFrame) -> DataFrame:
 def settle(tickets: DataFrame, payouts: DataFrame, many: Hot | None = None, stake: Column | int = fixed.STAKE) -> DataFrame:
     """JN10 and PL13: ``ret`` is NULL while the kind has no payouts, 0 without a match, else whole units."""
     hot = many or find_hot(tickets, "race_id")
-    known = payouts.select("race_id", "kind").distinct().withColumn("_known", F.lit(True))
-    out = lookup(tickets, known, ["race_id", "kind"], hot)
-    out = lookup(out, first_payouts(payouts), ["race_id", "kind", "legs"], hot)
+    # the payouts of a contest and kind are a short list
+    listed = first_payouts(payouts).groupBy("race_id", "kind").agg(F.collect_list(F.struct("legs", "per100")).alias("_paid"))
+    out = lookup(tickets, listed, ["race_id", "kind"], hot)
+    per100 = F.get(F.filter("_paid", lambda p: p["legs"] == F.col("legs")), F.lit(0))["per100"]
     unit = F.lit(stake) if isinstance(stake, int) else stake
-    won = F.coalesce(F.floor(F.col("per100") * unit / 100), F.lit(0))
-    return out.withColumn("ret", F.when(F.col("_known"), won).cast("long")).drop("_known", "per100")
+    won = F.coalesce(F.floor(per100 * unit / 100), F.lit(0))
+    return out.withColumn("ret", F.when(F.col("_paid").isNotNull(), won).cast("long")).drop("_paid")
 
 
 def day_summary(settled: DataFrame, races: DataFrame, payouts: DataFrame, stake: int = fixed.STAKE) -> DataFrame:

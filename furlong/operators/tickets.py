@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from furlong.functions import fixed
 from furlong.functions.columns import finite
 from furlong.operators import chances
-from furlong.operators.groups import Hot, by_group, find_hot
+from furlong.operators.groups import Hot, by_group, find_hot, lookup
 from furlong.session import cut
 
 ENTRANT = chances.LEG_FIELDS + ["p1", "p2", "p3"]
@@ -101,21 +101,20 @@ def triple_chance(kind: Column, a: Column, b: Column, c: Column, method: str) ->
     return may, chance
 
 
-def frame_quotes(quotes: DataFrame, entrants: DataFrame, method: str = "order") -> DataFrame:
-    """PL07 and AG23: frame quotes with their chance; frames are joined by (contest, frame)."""
+def frame_quotes(quotes: DataFrame, entrants: DataFrame, method: str = "order", many: Hot | None = None) -> DataFrame:
+    """PL07 and AG23: frame quotes with their chance; a contest brings its frames, at most eight, as one map."""
     if method == "independent":
         eligible = entrants.filter((F.col("p2") >= fixed.LEG_CHANCE) & F.col("frame").isNotNull())
         frames = eligible.groupBy("race_id", "frame").agg(F.sum("p2").alias("share"))
-        chance, how = F.col("f")["share"] * F.col("h")["share"], "inner"
+        chance = F.col("f")["share"] * F.col("h")["share"]
     else:
         frames = chances.frame_strengths(entrants)
-        chance, how = chances.frame_pair(F.col("f"), F.col("h"), F.get("legs", F.lit(0)) == F.get("legs", F.lit(1))), "inner"
+        chance = chances.frame_pair(F.col("f"), F.col("h"), F.get("legs", F.lit(0)) == F.get("legs", F.lit(1)))
     fields = [c for c in frames.columns if c not in ("race_id", "frame")]
-    out = quotes
-    for i, name in enumerate(("f", "h")):
-        one = frames.select("race_id", F.col("frame").alias(f"_f{i}"), F.struct(*fields).alias(name))
-        out = out.withColumn(f"_f{i}", F.get("legs", F.lit(i))).join(one, ["race_id", f"_f{i}"], how)
-    return out.select(*quotes.columns, _once(chance).alias("chance"))
+    framed = frames.groupBy("race_id").agg(F.map_from_entries(F.collect_list(F.struct("frame", F.struct(*fields)))).alias("_frames"))
+    out = lookup(quotes, framed, ["race_id"], many or find_hot(quotes, "race_id"), "inner")
+    out = out.withColumns({name: F.try_element_at("_frames", F.get("legs", F.lit(i))) for i, name in enumerate("fh")})
+    return out.filter(F.col("f").isNotNull() & F.col("h").isNotNull()).select(*quotes.columns, _once(chance).alias("chance"))
 
 
 def _once(value: Column) -> Column:
@@ -147,7 +146,7 @@ def priced(
             joined = join_legs(quotes.filter(kind.isin(mine)), entrants, n, many)
             lists.append(joined.filter(may).select(*quotes.columns, _once(chance).alias("chance")))
     if "frame" in wanted:
-        lists.append(frame_quotes(quotes.filter(kind == "frame"), entrants, method))
+        lists.append(frame_quotes(quotes.filter(kind == "frame"), entrants, method, many))
     return reduce(DataFrame.unionByName, lists)
 
 
