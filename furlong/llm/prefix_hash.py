@@ -145,9 +145,15 @@ def in_order(docs: DataFrame) -> DataFrame:
     shares = [k / (STRETCHES * n) for k in range(1, STRETCHES * n)]
     cuts = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts")).first()["cuts"] or []
     kind = dict(docs.dtypes)["doc_id"]
-    bounds = F.lit(sorted(set(cuts))).cast(f"array<{kind}>") if cuts else F.array().cast(f"array<{kind}>")
-    later = F.size(F.filter(bounds, lambda b: b > F.col("doc_id")))
-    rows = docs.select("doc_id", text_key().alias("key"), "text").withColumn("stretch", F.when(F.col("doc_id").isNull(), F.lit(len(shares) + 1)).otherwise(later))
+    bounds = np.array(sorted(set(cuts)), np.int64)
+
+    @F.arrow_udf("int")
+    def stretch(ids: pa.Array) -> pa.Array:
+        """How many bounds are above the id; null ids come after all others."""
+        above = len(bounds) - np.searchsorted(bounds, ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, above), pa.int32())
+
+    rows = docs.select("doc_id", text_key().alias("key"), "text").withColumn("stretch", stretch("doc_id"))
     heads = _heads(rows.select("stretch", "doc_id", "key"))
     targets = [heads[k - 1][0] for k in range(len(heads))]  # of the first, the last
     table = spark.createDataFrame([(t, h[1], h[2]) for t, h in zip(targets, heads, strict=True)], f"_target int, _head {kind}, _key long")
