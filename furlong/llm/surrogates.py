@@ -100,7 +100,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in _PERSON.finditer(text):
             words = re.split(r"[ -]", m["name"])
             for k, word in enumerate(words):
-                tokens.setdefault(word, given_type(word, "m" if m["m"] else "f" if m["f"] else "") if k == 0 and len(words) > 1 else "surname")
+                kind = given_type(word, "m" if m["m"] else "f" if m["f"] else "") if k == 0 and len(words) > 1 else "surname"
+                for spelling in (word, word.upper()):
+                    tokens.setdefault(spelling, kind)
         if tokens:  # parts of a name that stand elsewhere in the document belong to it
             either = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})(?!\w)")
             found += [(m.start(), m.end(), tokens[m.group()], m.group().lower()) for m in either.finditer(text)]
