@@ -331,3 +331,85 @@ def ud06_single(spark, sf):
     html = rows.groupBy(F.col("race_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("num", row.alias("r")))).alias("rs")).select(
         "page_id", F.concat(F.lit('<table class="basic tanpuku">'), F.array_join(F.transform("rs", lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
     return pages.single_quotes_from_cells(pages.extract_cells(html))
+
+
+def put_files(spark, folder: str, rows) -> None:
+    """Small files under given names, one per (name, text), through the file system of the shared folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in rows.toLocalIterator():
+        out = system.create(hadoop.Path(f"{folder}/{row['name']}"))
+        out.write(bytearray(row["text"].encode()))
+        out.close()
+
+
+def _twelve(c):
+    return F.lpad(c.cast("string"), 12, "0")
+
+
+@query("sc03_read_quote_files", """with c as (select s_suppkey as k, '2024' || lpad(cast(s_suppkey % 10 + 1 as varchar), 2, '0') || lpad(cast(s_suppkey // 10 % 9 + 1 as varchar), 2, '0')
+ || lpad(cast(s_suppkey // 90 % 9 + 1 as varchar), 2, '0') || lpad(cast(s_suppkey % 12 + 1 as varchar), 2, '0') as race_id from supplier)
+select race_id, 'win' as kind, '1' as legs, k % 50 + 1.5::double as odds_lo, k % 50 + 1.5::double as odds_hi from c
+union all select race_id, 'win', '2', k % 50 + 2.5, k % 50 + 2.5 from c
+union all select race_id, 'place', '1', 1.25, 1.75 from c union all select race_id, 'place', '2', 2.25, 2.75 from c
+union all select race_id, 'frame', '1-2', k % 7 + 1.5, k % 7 + 1.5 from c
+union all select race_id, 'quinella', '1-2', k % 9 + 2.5, k % 9 + 2.5 from c
+union all select race_id, 'wide', '1-2', k % 5 + 1.25, k % 5 + 1.75 from c
+union all select race_id, 'exacta', '2-1', k % 30 + 3.5, k % 30 + 3.5 from c
+union all select race_id, 'trio', '1-2-3', k % 80 + 10.5, k % 80 + 10.5 from c
+union all select race_id, 'trifecta', '3-1-2', k % 90 + 20.5, k % 90 + 20.5 from c""")
+def sc03_files(spark, sf):
+    """One file per contest and kind, of all kinds, named and laid out as they arrive."""
+    k = F.col("s_suppkey")
+    contests = v.table(spark, sf, "supplier").select(k, F.concat(
+        F.lit("odds_202401"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("_"), text.mapped((k % 10 + 1).cast("int"), fixed.VENUE_NAMES),
+        (F.floor(k / 10) % 9 + 1).cast("string"), F.lit("回"), (F.floor(k / 90) % 9 + 1).cast("string"), F.lit("日_"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("R_")).alias("base"))
+
+    def odds(modulus, more):
+        return (k % modulus + F.lit(more)).cast("string")
+
+    lines = {
+        "tanpuku": [("1,", odds(50, 1.5), ",1.25,1.75"), ("2,", odds(50, 2.5), ",2.25,2.75"), ("x,", F.lit("3"), ",1,2")],
+        "wakuren": [("1,2,", odds(7, 1.5), "")], "umaren": [("1,2,", odds(9, 2.5), "")],
+        "wide": [("1,2,", F.concat(odds(5, 1.25), F.lit("-"), odds(5, 1.75)), "")], "umatan": [("2,1,", odds(30, 3.5), "")],
+        "fuku3": [("1,2,3,", odds(80, 10.5), "")], "tan3": [("3,1,2,", odds(90, 20.5), "")]}
+    files_ = []
+    for key, rows in lines.items():
+        body = F.concat_ws("\n", F.lit(",".join(schemas.QUOTE_HEADERS[key])), *[F.concat(F.lit(a), b, F.lit(c)) for a, b, c in rows], F.lit(""))
+        files_.append(F.struct(F.concat("base", F.lit(f"{key}.csv")).alias("name"), body.alias("text")))
+    path = scratch_path(spark, "quote-files")
+    put_files(spark, path, contests.select(F.inline(F.array(*files_))))
+    return files.read_quotes(spark, path).select("race_id", "kind", v.leg_string().alias("legs"), "odds_lo", "odds_hi")
+
+
+@query("sc05_read_state_files", """select lpad(cast(s_suppkey as varchar), 12, '0') as race_id, case s_suppkey % 3 when 1 then 'no start time' when 2 then 'not a state document' end as reason,
+ cast(case when s_suppkey % 3 = 0 then 1 end as int) as tickets, cast(case when s_suppkey % 3 = 0 then 100 * (s_suppkey % 4 + 1) end as bigint) as unit from supplier""")
+def sc05_files(spark, sf):
+    """One document per contest; a third has no start time, a third is not JSON, and a file of another name is not read."""
+    k = F.col("s_suppkey")
+    good = F.concat(
+        F.lit('{"messages": ["東京 11R 杯 発走 2024/01/05 15:30 JST\\n単勝 3 馬 | 確率 12.00% | オッズ 5 | 期待値 1.2"], "sent": 1, "done": true, "auto_bet_result": "IPATで 1点 '),
+        (100 * (k % 4 + 1)).cast("string"), F.lit('円を自動購入しました"}'))
+    shown = F.when(k % 3 == 0, good).when(k % 3 == 1, F.lit('{"messages": ["x"], "sent": 1, "done": true}')).otherwise("{broken")
+    path = scratch_path(spark, "state-files")
+    rows = v.table(spark, sf, "supplier").select(F.concat(_twelve(k), F.lit(".json")).alias("name"), shown.alias("text"))
+    other = rows.limit(1).select(F.lit("schedule.json").alias("name"), F.lit("{}").alias("text"))
+    put_files(spark, path, rows.unionByName(other))
+    clean, rejects = files.read_state_log(spark, path)
+    read = clean.select("race_id", F.lit(None).cast("string").alias("reason"), F.size("tickets").alias("tickets"), "unit")
+    return read.unionByName(rejects, allowMissingColumns=True)
+
+
+@query("sc06_read_payout_files", """with c as (select lpad(cast(s_suppkey as varchar), 12, '0') as race_id, s_suppkey as k from supplier where s_suppkey % 4 <> 0 and s_suppkey % 5 <> 0)
+select race_id, 'win' as kind, cast(0 as int) as seq, '2' as legs, cast(k % 90 * 10 + 110 as bigint) as per100 from c
+union all select race_id, 'wide', 0, '1-2', k % 70 * 10 + 150 from c union all select race_id, 'wide', 1, '2-3', 990 from c""")
+def sc06_files(spark, sf):
+    """One document per contest; one in four is named after another contest, one in five has a negative amount."""
+    k = F.col("s_suppkey")
+    own = F.when(k % 4 == 0, F.lit("1")).otherwise(_twelve(k))
+    amount = F.when(k % 5 == 0, F.lit("-1")).otherwise((k % 90 * 10 + 110).cast("string"))
+    shown = F.concat(
+        F.lit('{"race_id": "'), own, F.lit('", "payouts": {"単勝": [[[2], '), amount, F.lit(']], "ワイド": [[[1, 2], '), (k % 70 * 10 + 150).cast("string"), F.lit('], [[2, 3], 990]]}}'))
+    path = scratch_path(spark, "payout-files")
+    put_files(spark, path, v.table(spark, sf, "supplier").select(F.concat(_twelve(k), F.lit(".json")).alias("name"), shown.alias("text")))
+    return files.read_payouts(spark, path).select("race_id", "kind", "seq", v.leg_string().alias("legs"), "per100")
