@@ -199,10 +199,11 @@ def best_temperature(table: DataFrame) -> tuple[float, float]:
 
 def checked(value: Column, fits: Column, message: str) -> Column:
     """The value; a row that does not fit stops the job.  NULL is let through."""
+    value = value.cast("double")
     return F.when(value.isNull() | fits, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), value.cast("string"))).cast("double"))
 
 
-def finite(value: Column) -> Column:
+def finite_score(value: Column) -> Column:
     return checked(value, F.abs(value) < float("inf"), "scores must be finite")  # NaN is larger than all numbers
 
 
@@ -223,7 +224,7 @@ def blend(rows: DataFrame, hot: Hot, score: str, other: str, weight: float, win_
 
 def with_zscores(rows: DataFrame, hot: Hot, score: str, other: str, win_chances: bool = False) -> DataFrame:
     chance = checked(F.col(other), F.col(other).between(0, 1), "win chances must lie in 0..1")
-    rows = rows.withColumns({"_other": log_odds(chance) if win_chances else finite(F.col(other)), score: finite(F.col(score))})
+    rows = rows.withColumns({"_other": log_odds(chance) if win_chances else finite_score(F.col(other)), score: finite_score(F.col(score))})
     return by_group(rows, hot, lambda df, g: zscore(zscore(df, g, score, "_z"), g, "_other", "_zo")).drop("_other")
 
 
@@ -234,6 +235,18 @@ def blend_search(rows: DataFrame, hot: Hot, score: str, other: str, weights: lis
     return ranking(table, {"0": F.col(score)} | mixes)
 
 
+def blend_candidates(rows: DataFrame, hot: Hot, score: str, others: dict[str, tuple[str, list[float], bool]]) -> DataFrame:
+    """AG22 over several candidates: hit rates of the score alone (position 0) and of every weight of every other score.
+
+    ``others`` names (column, weights, whether it is a win chance).  The result's ``score`` is "name:weight".
+    """
+    mixes = {"0": F.col(score)}
+    for name, (column, weights, win_chances) in others.items():
+        rows = with_zscores(rows, hot, score, column, win_chances).withColumnsRenamed({"_z": f"_z_{name}", "_zo": f"_zo_{name}"})
+        mixes |= {f"{name}:{w!r}": F.col(f"_z_{name}") * (1 - w) + F.col(f"_zo_{name}") * w for w in weights}
+    return ranking(rows, mixes)
+
+
 def select_blend(table: DataFrame) -> DataFrame:
     """The first weight with the highest hit rate; the score alone unless strictly better."""
     return table.orderBy(F.col("hit1").desc(), "position").limit(1)

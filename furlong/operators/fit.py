@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +57,13 @@ def score(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFra
     return model.transform(filled(rows, features)).drop("features", *made)
 
 
+def fit_other(rows: DataFrame, features: list[str], params: dict | None = None) -> PipelineModel:
+    """PL11: a second scorer of another kind, a random forest on the rank label."""
+    wanted = {"numTrees": 40, "maxDepth": 7, "minInstancesPerNode": DEFAULTS["minInstancesPerNode"], "seed": DEFAULTS["seed"], **(params or {})}
+    forest = RandomForestRegressor(featuresCol="features", labelCol="label", predictionCol="score", **wanted)
+    return Pipeline(stages=[_assembler(features), forest]).fit(filled(rows, features))
+
+
 def fit_top(rows: DataFrame, features: list[str], k: int, params: dict | None = None) -> PipelineModel:
     """ML03: boosted trees for "finishes in the first k"."""
     tree = GBTClassifier(featuresCol="features", labelCol="top", **{**DEFAULTS, **(params or {})})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furlong.operators import chances, encode, evaluate, features, fit
 from furlong.operators.groups import by_group, find_hot
 from furlong.operators.normalize import normalize_entries
-from furlong.plans.train import CATEGORIES, ROLE_CONDITIONS
+from furlong.plans.train import CATEGORIES, ROLE_CONDITIONS, with_blend
 from furlong.session import cut
 from furlong.sources.files import read_entries
 from furlong.sources.sinks import write_predictions
@@ -30,7 +30,7 @@ def identified(bronze: DataFrame) -> DataFrame:
 
 def predicted(spark: SparkSession, entries: DataFrame, bundle: str) -> DataFrame:
     """Features, lookups, score, chances and ranks for typed entries."""
-    meta, model, tables, _ = fit.load_bundle(spark, bundle)
+    meta, model, tables, extra = fit.load_bundle(spark, bundle)
     entries = cut(entries)
     race_hot = find_hot(entries, "race_id")
     bands = {k: tuple(b) for k, b in meta["bands"].items()}
@@ -42,7 +42,14 @@ def predicted(spark: SparkSession, entries: DataFrame, bundle: str) -> DataFrame
         entries.select(F.col(c).cast("string").alias("_value")), "_value") for c in CATEGORIES})
     missing = [c for c in meta["features"] if c not in rows.columns]
     rows = rows.withColumns({c: F.lit(None).cast("double") for c in missing}) if missing else rows
-    scored = cut(fit.score(model, rows, meta["features"]).select("race_id", "num", "frame", "name", "jockey", "score"))
+    chosen = next(iter(extra), "")
+    if chosen == "other":
+        rows = fit.score(extra["other"], rows, meta["features"]).withColumnRenamed("score", "other")
+    elif chosen == "win":
+        rows = fit.top_chance(extra["win"], rows, meta["features"], "win")
+    needed = ["race_id", "num", "frame", "name", "jockey", "score", *extra]
+    scored = cut(fit.score(model, rows, meta["features"]).select(*needed))
+    scored = cut(with_blend(scored, race_hot, chosen, meta.get(f"{chosen}_weight", 0.0)).drop(*extra)) if chosen else scored
 
     def finish(df, g):
         df = chances.top_three(df, g, "score", meta["temperature"])

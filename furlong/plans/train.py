@@ -1,6 +1,6 @@
 """Training job: cards to a model bundle.
 
-scan -> typed entries -> training rows -> features -> out-of-fold statistics -> scorer -> temperature -> bundle
+scan -> typed entries -> training rows -> features -> out-of-fold statistics -> scorers -> blend -> temperature -> bundle
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from furlong.functions import fixed
 from furlong.operators import encode, evaluate, features, fit
-from furlong.operators.groups import Hot, find_hot
+from furlong.operators.chances import softmax
+from furlong.operators.groups import Hot, by_group, find_hot
 from furlong.operators.normalize import normalize_entries
 from furlong.session import cut
 from furlong.sources.files import career_bands, read_entries
@@ -31,6 +32,29 @@ class TrainConfig:
     use_pace: bool = False
     drop_career: bool = False
     params: dict = field(default_factory=dict)
+    other_params: dict = field(default_factory=dict)
+
+
+def with_blend(scored: DataFrame, hot: Hot, chosen: str, weight: float) -> DataFrame:
+    """PL11: ``score`` mixed with the chosen candidate's column; without one it stays."""
+    if not chosen:
+        return scored
+    return evaluate.blend(scored, hot, "score", chosen, weight, win_chances=chosen == "win", name="score")
+
+
+def choose_blend(scored: DataFrame, hot: Hot) -> tuple[str, float, dict]:
+    """AG22: the candidate and weight that beat the scorer alone on (score, other, win), or none; and the measures of the choice."""
+    candidates = {"other": ("other", fixed.BLEND_GRIDS["other"], False), "win": ("win", fixed.BLEND_GRIDS["win"], True)}
+    best = evaluate.select_blend(evaluate.blend_candidates(scored, hot, "score", candidates)).first().asDict()
+    name, _, weight = best["score"].partition(":")
+    return ("", 0.0, best) if best["score"] == "0" else (name, float(weight), best)
+
+
+def report(scored: DataFrame, hot: Hot, temperature: float) -> dict[str, list]:
+    """AG25 and FL12 on the validation side: simple rankings, and hits by confidence."""
+    simple = {"number": -F.col("num"), "score": F.col("score"), "other": F.col("other"), "win": F.col("win")}
+    chances = by_group(scored, hot, lambda df, g: softmax(df, g, "score", temperature, "p1"))
+    return {"baselines": [r.asDict() for r in evaluate.ranking(scored, simple).collect()], "confidence": [r.asDict() for r in evaluate.confidence(chances, "p1", hot).collect()]}
 
 
 def training_rows(entries: DataFrame, excluded_surface: str = fixed.STEEPLECHASE) -> DataFrame:
@@ -76,15 +100,23 @@ def train_job(spark: SparkSession, cards: str, bundle: str, cfg: TrainConfig | N
     parts = fit.year_split(made.withColumn("yr", F.col("year")), cfg.split_year)
     train, valid = (parts.filter(F.col("part") == side) for side in ("train", "valid"))
     columns = fit.numeric_features(made, NOT_FEATURES)
+    second = {"other": lambda rows: fit.fit_other(rows, columns, cfg.other_params), "win": lambda rows: fit.fit_top(rows, columns, 1, cfg.params)}
+    scored = fit.score(second["other"](train), valid, columns).withColumnRenamed("score", "other")
+    scored = fit.top_chance(second["win"](train), scored, columns, "win")
     model = fit.fit_scorer(train, columns, cfg.params)
-    scored = cut(fit.score(model, valid, columns).select("race_id", "num", "finish", "score"))
-    measured = evaluate.ranking(scored, {"score": F.col("score")}).first().asDict()
-    temperature, loss = evaluate.best_temperature(evaluate.temperature_losses(scored, race_hot))
+    scored = cut(fit.score(model, scored, columns).select("race_id", "num", "finish", "score", "other", "win"))
+    chosen, weight, measured = choose_blend(scored, race_hot)
+    mixed = cut(with_blend(scored, race_hot, chosen, weight))
+    temperature, loss = evaluate.best_temperature(evaluate.temperature_losses(mixed, race_hot))
     meta = {
         "temperature": temperature, "features": columns, "snapshot": snapshot, "use_pace": cfg.use_pace,
         "drop_career": cfg.drop_career or snapshot == "leak", "bands": {k: list(b) for k, b in bands.items()},
+        **({f"{chosen}_weight": weight} if chosen else {}),
     }
     tables = {"categories": maps, "pairs": encode.pair_totals(rows, "jockey", ROLE_CONDITIONS)}
     tables |= {role: encode.role_totals(rows, role) for role in ("jockey", "trainer")}
-    fit.save_bundle(bundle, meta, fit.fit_scorer(parts, columns, cfg.params), tables)
-    return {**measured, "temperature": temperature, "loss": loss, "snapshot": snapshot, "features": len(columns)}
+    extra = {chosen: second[chosen](parts)} if chosen else {}
+    fit.save_bundle(bundle, meta, fit.fit_scorer(parts, columns, cfg.params), tables, extra)
+    return {
+        **measured, "blend": chosen, "weight": weight, "temperature": temperature, "loss": loss, "snapshot": snapshot, "features": len(columns),
+        **report(mixed, race_hot, temperature)}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.operators import fit
+from furlong.operators.groups import Hot
 from furlong.plans import daily, predict, train
 from furlong.sources import files
 
@@ -48,7 +49,7 @@ def world(spark, tmp_path_factory):
                 write(base / "past", f"{year}0501{day:01d}{race:02d}".replace(f"01{day}", f"010{day}"), card(f"{year}05010{day}{race:02d}", 5 + salt % 4, salt))
     for race in (1, 2):
         write(base / "next", f"26050101{race:02d}", card(f"26050101{race:02d}", 8, 100 + race, with_result=False))
-    cfg = train.TrainConfig(split_year=2025, params={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 2})
+    cfg = train.TrainConfig(split_year=2025, params={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 2}, other_params={"numTrees": 3, "maxDepth": 3, "minInstancesPerNode": 2})
     measured = train.train_job(spark, str(base / "past"), str(base / "bundle"), cfg)
     predictions = predict.predict_job(spark, str(base / "next"), str(base / "bundle"), str(base / "predictions"))
     return base, measured, predictions
@@ -61,6 +62,37 @@ def test_training(spark, world):
     assert meta["features"] and not [c for c in meta["features"] if c in ("finish", "label")]
     assert {"jockey_runs", "jockey_surface_win_rate", "speed_mean", "sex_code"} <= set(meta["features"])
     assert set(tables) == {"categories", "pairs", "jockey", "trainer"}
+    assert {b["score"] for b in measured["baselines"]} == {"number", "score", "other", "win"} and measured["confidence"][0]["share"] == 1.0
+    assert (measured["blend"] == "") == (measured["weight"] == 0.0) and measured["hit1"] >= next(b["hit1"] for b in measured["baselines"] if b["score"] == "number") - 1
+
+
+def test_blend_is_chosen_only_if_strictly_better(spark):
+    """The other score finds the winners of contests 1 and 2, the own score that of contest 1; equal hits keep the own score."""
+    rows = [(g, n, 1 if n == 1 else 2, float(n if g == 2 else -n), float(-n) * 9) for g in (1, 2) for n in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "race_id long, num int, finish int, score double, other double").withColumn("win", F.lit(0.3))
+    name, weight, best = train.choose_blend(df, Hot(("race_id",)))
+    assert name == "other" and weight > 0.5 - 1e-9 and best["hit1"] == 1.0
+    assert train.choose_blend(df.withColumn("score", F.col("other")), Hot(("race_id",)))[:2] == ("", 0.0)
+
+
+@pytest.mark.parametrize("name", ["other", "win"])
+def test_prediction_uses_the_blend(spark, world, name):
+    base, _, predictions = world
+    meta, model, tables, _ = fit.load_bundle(spark, str(base / "bundle"))
+    plain = {k: v for k, v in meta.items() if not k.startswith(("has_", "other_", "win_", "tables", "version"))}
+    numbers = spark.createDataFrame([(n, 1 if n == 8 else 2, float(n)) for n in range(1, 9)] * 4, "num int, finish int, label double")
+    for c in meta["features"]:
+        if c not in numbers.columns:
+            numbers = numbers.withColumn(c, F.lit(0.0))
+    small = {"maxDepth": 3, "minInstancesPerNode": 1}
+    extra = fit.fit_other(numbers, meta["features"], {**small, "numTrees": 3}) if name == "other" else fit.fit_top(numbers, meta["features"], 1, {**small, "maxIter": 2})
+    fit.save_bundle(str(base / name), {**plain, f"{name}_weight": 0.9}, model, tables, {name: extra})
+    fit.save_bundle(str(base / "plain"), plain, model, tables)
+    mixed, alone = (
+        {(r["race_id"], r["num"]): r["p1"] for r in predict.predict_job(spark, str(base / "next"), str(base / b), str(base / f"out-{b}")).collect()} for b in (name, "plain"))
+    assert mixed.keys() == alone.keys() and any(abs(mixed[k] - alone[k]) > 1e-6 for k in alone)
+    for race in {k[0] for k in mixed}:
+        assert sum(p for k, p in mixed.items() if k[0] == race) == pytest.approx(1)
 
 
 def test_predictions(spark, world):
