@@ -33,7 +33,10 @@ SALTS = 16
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Cut at single spaces, which needs no pattern, after the other white space has become spaces."""
+    for other in ("\t", "\x0b", "\x0c", "\r", "\n"):
+        line = F.replace(line, F.lit(other), F.lit(" "))
+    return F.filter(F.split(line, " "), lambda w: w != "")
 
 
 def has_word(line: Column) -> Column:
@@ -54,6 +57,15 @@ def _identity(words: Column) -> list[Column]:
     return [F.xxhash64(words).alias("h"), F.hash(words).alias("g")]
 
 
+def _halves(words: Column, n: Column) -> Column:
+    """Keys of a line whose edit is in the second or the first half, for both lengths that the shorter line may have."""
+    codes = []
+    for m in (n, n - 1):
+        half = F.shiftright(m, 1)
+        codes += [F.xxhash64(F.lit(1), m, F.slice(words, F.lit(1), half)), F.xxhash64(F.lit(0), m, F.slice(words, n - (m - half) + 1, m - half))]
+    return F.array(*codes)
+
+
 def _parts(words: Column, n: Column, pieces: int) -> Column:
     """Keys of a line for every piece that the edit may be in: struct(m, piece, code), m being the words of the shorter line."""
 
@@ -123,7 +135,7 @@ def one_edit(a: Column, b: Column) -> Column:
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, key, line_no) of every line that goes."""
     found = _lines(docs).withColumn("n", F.size("words"))
-    keys = F.when(F.col("n") >= least, F.transform(_parts(F.col("words"), F.col("n"), 2), lambda k: F.xxhash64(k["m"], k["piece"], k["code"])))
+    keys = F.when(F.col("n") >= least, _halves(F.col("words"), F.col("n")))
     held = stored(found.select(*_identity(F.col("words")), "n", "doc_id", "key", "line_no", keys.alias("codes")), "lines")
     distinct = stored(held.groupBy("h", "g", "n").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies")), "distinct")
 
