@@ -137,12 +137,12 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = _lines(docs).withColumn("n", F.size("words"))
     keys = F.when(F.col("n") >= least, _halves(F.col("words"), F.col("n")))
     held = stored(found.select(*_identity(F.col("words")), "n", "doc_id", "key", "line_no", keys.alias("codes")), "lines")
-    distinct = stored(held.groupBy("h", "g", "n").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies")), "distinct")
+    distinct = stored(held.groupBy("h", "g", "n").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("codes").alias("codes")), "distinct")
 
     # halves are compared for all distinct lines
     ids = ["doc_id", "key", "line_no"]
-    halves = held.select("h", F.explode("codes").alias("code")).distinct()
-    alive = stored(_shared(stored(halves, "halves"), ["code"]).select("h").distinct(), "alive")
+    halves = distinct.select("h", F.explode("codes").alias("code"))
+    alive = stored(_shared(halves, ["code"]).select("h").distinct(), "alive")
 
     firsts = distinct.join(alive, "h", "left_semi").select("h", "n", "place")
     wanted = firsts.select("h", "n", "place", F.col("place.doc_id").alias("doc_id"), F.col("place.key").alias("key"), F.col("place.line_no").alias("line_no"))
