@@ -275,11 +275,11 @@ def groups(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> Dat
 
 def keep_first(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id; of rows with this id one, by the hash of its text."""
-    return shielded(docs, lambda d: _firsts(d, budget, shingle))
+    return shielded(docs, lambda d: first_rows(d, labelled(d, budget, shingle)))
 
 
-def _firsts(docs: DataFrame, budget: int, shingle: int) -> DataFrame:
-    found = labelled(docs, budget, shingle)
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each component of ``found`` (doc_id, key, first)."""
     kept = found.filter((F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
     kept = kept.select(name, F.col("key").alias("_key")).distinct()

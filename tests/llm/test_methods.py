@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from furlong.llm import best_fit, frames, grouping, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, text_stats, textblock, toxicity
 
 
@@ -422,6 +423,32 @@ def test_one_of_each_group_stays(spark):
     assert got == [(1, "A b c d"), (2, "x y z"), (6, None), (9, "q r s t u")]
 
 
+def test_near_texts_against_all_pairs(spark):
+    """The stage of the pipeline keeps one of every group that five-word similarities of 0.8 or more link."""
+    rng = random.Random(5)
+    rows = [(900, "one two three"), (901, "One two  three"), (902, "one two four"), (903, ""), (904, None), (905, "one two three four five"), (906, "one two three four five")]
+    for i in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice((9, 40, 90, 200)))]
+        for k in range(rng.randrange(1, 6)):
+            rows.append((10 * i + k, " ".join(words)))
+            words = list(words)
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10 ** 6)}"
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+    first = {i: i for i in sets}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            first[a] = first[b] = min(first[a], first[b])
+    assert 30 < len(near) and any(len(sets[a] & sets[b]) < 0.85 * len(sets[a] | sets[b]) for a, b in near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(i for i in first if first[i] == i)
+
+
 # ---------------------------------------------------------------- 10 mixing
 def level(sizes, weights=(5, 2, 1)):
     """Targets by cutting and sharing again until none is above."""
