@@ -50,7 +50,8 @@ ENDINGS = {
 }
 
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?$")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_LOCAL = _ALNUM | frozenset("._%+-")
 _DIGIT = re.compile(r"\d")
 _NUMBERS = re.compile(
     r"(?P<key>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
@@ -62,6 +63,8 @@ _CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ"
 _PERSON = re.compile(
     rf"(?<!\w)(?:(?P<m>{'|'.join(TITLES_M)})|(?P<f>{'|'.join(TITLES_F)})|{'|'.join(TITLES_N)})\.?\s+"
     rf"(?P<name>[{_CAPITAL}][^\W\d_]+(?:[ -][{_CAPITAL}][^\W\d_]+){{0,2}})")
+_KNOWN = re.compile(
+    rf"(?<!\w)(?P<name>(?:{'|'.join(w for n in [*GIVEN_F, *GIVEN_M] for w in (n.capitalize(), n.upper()))})(?:[ -][{_CAPITAL}][^\W\d_]+){{1,2}})")
 _TITLED = re.compile("|".join([*TITLES_M, *TITLES_F, *TITLES_N]))
 
 
@@ -80,14 +83,25 @@ def given_type(word: str, title: str) -> str:
     return "given_f" if low[-1] in "aаяηα" else "given_m"
 
 
+def _local_start(text: str, at: int) -> int:
+    """Where the local part that ends at ``at`` starts; ``at`` if there is none."""
+    if not at or text[at - 1] not in _ALNUM:
+        return at
+    start = at
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    while text[start] not in _ALNUM:
+        start += 1
+    return start
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of all mentions, in order and apart from each other."""
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        domain, local = _DOMAIN.match(text, at + 1), _LOCAL.search(text[max(0, at - 64):at])
-        if domain and local:
-            start = at - len(local.group())
+        domain = _DOMAIN.match(text, at + 1)
+        if domain and (start := _local_start(text, at)) < at:
             found.append((start, domain.end(), "mail", text[start:domain.end()].lower()))
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
@@ -95,17 +109,19 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             kind = m.lastgroup if m.lastgroup != "gap" else "account"
             bare = m.group() if kind == "address" else "".join(c for c in m.group().lower() if c.isalnum())
             found.append((m.start(), m.end(), kind, ("+" if m.group()[0] == "+" else "") + bare))
-    if _TITLED.search(text):
+    people = [(m["name"], "m" if m["m"] else "f" if m["f"] else "") for m in _PERSON.finditer(text)] if _TITLED.search(text) else []
+    people += [(m["name"], "") for m in _KNOWN.finditer(text)]  # a known given name needs no title
+    if people:
         tokens: dict[str, str] = {}
-        for m in _PERSON.finditer(text):
-            words = re.split(r"[ -]", m["name"])
+        for name, title in people:
+            words = re.split(r"[ -]", name)
             for k, word in enumerate(words):
-                kind = given_type(word, "m" if m["m"] else "f" if m["f"] else "") if k == 0 and len(words) > 1 else "surname"
+                kind = given_type(word, title) if k == 0 and len(words) > 1 else "surname"
                 for spelling in (word, word.upper()):
                     tokens.setdefault(spelling, kind)
-        if tokens:  # parts of a name that stand elsewhere in the document belong to it
-            either = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})(?!\w)")
-            found += [(m.start(), m.end(), tokens[m.group()], m.group().lower()) for m in either.finditer(text)]
+        # parts of a name that stand elsewhere in the document belong to it
+        either = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})(?!\w)")
+        found += [(m.start(), m.end(), tokens[m.group()], m.group().lower()) for m in either.finditer(text)]
     found.sort()
     apart: list[tuple[int, int, str, str]] = []
     for mention in found:

@@ -90,6 +90,14 @@ def test_mentions():
     assert surrogates.find("Version 4.0 of 2019-01-02, 3. items; a@b no, see. Mr. x") == []
 
 
+def test_people_without_titles_and_long_local_parts():
+    found = surrogates.find("Anna Schmidt wrote. Later SCHMIDT met ИВАН ПЕТРОВ; Anna alone, annas.")
+    assert [m[2:] for m in found] == [("given_f", "anna"), ("surname", "schmidt"), ("surname", "schmidt"), ("given_m", "иван"), ("surname", "петров"), ("given_f", "anna")]
+    assert surrogates.find("anna schmidt, Annabel Lee, Anna.") == []
+    local = "first." * 30 + "last"
+    assert surrogates.find(f"to -{local}@mail.example.com, -@x.org and a.@x.org") == [(4, 4 + len(local) + 17, "mail", f"{local}@mail.example.com")]
+
+
 def test_surrogates_keep_form():
     new, mentions, entities = surrogates.replaced(TEXT, b"k", {})
     assert (mentions, entities) == (15, 13)
