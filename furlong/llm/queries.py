@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import best_fit, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, toxicity
+from furlong.llm import best_fit, leak_scan, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, toxicity
 from furlong.llm.frames import documents, held_out, labels, stored
 from furlong.llm.ship import ship
 
@@ -173,3 +173,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_histogram.mix(docs).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+@query("op12_wu_manber", r"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+tests as (
+  select distinct item, least(len(w), 10) as n, array_to_string(w[p + 1:p + least(len(w), 10)], ' ') as s
+  from (select *, unnest(range(greatest(len(w) - 9, 1))) as p from items where len(w) > 0)),
+places as (
+  select r, p, n, array_to_string(w[p + 1:p + n], ' ') as s
+  from (select r, w, n, unnest(range(len(w) - n + 1)) as p from texts, (select distinct n from tests) where len(w) >= n)),
+found as (select p.r, p.p, p.n, t.item from places p join tests t on p.n = t.n and p.s = t.s),
+hit as (select r, count(distinct place) as n_hit from (select r, unnest(range(p, p + n)) as place from found) group by r),
+named as (select r, count(*) as n_items, string_agg(item, ',' order by encode(item)) as ids from (select distinct r, item from found) group by r)
+select t.doc_id, len(t.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(n.n_items, 0)::bigint as n_items,
+  sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from texts t left join hit h on t.r = h.r left join named n on t.r = n.r
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and benchmark items of every document that windows of the benchmark hit."""
+    found = leak_scan.mark(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
