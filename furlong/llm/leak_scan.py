@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.frames import salted_join, stored
-from furlong.llm.textblock import LOWER, Block, Rolling, blocks, spans
+from furlong.llm.textblock import LOWER, Block, Rolling, blocks, expanded, spans
 
 WINDOW = 10
 BLOCK = 2
@@ -70,11 +70,6 @@ def words(block: Block) -> Words:
     return Words(data, at, at + size, doc, Rolling(data))
 
 
-def expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places of the ranges of ``size`` places from ``start`` on, one range after the other."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
 def merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ranges [first, last) of every row with overlapping and adjacent ones joined, in order."""
     if not len(row):

@@ -3,11 +3,13 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from furlong.llm import token_align
 from furlong.llm.frames import documents
+from furlong.llm.textblock import Block
 
 DOCS = "doc_id long, text string, a int, pairs string, _row long, groups string"
 
@@ -87,20 +89,53 @@ def test_rare_pairs_by_a_shuffle(spark, sides, rows, frequent):
     assert got(frame(spark, rows), frequent=frequent) == plain(sides, rows)
 
 
-def test_windows_are_remembered(sides):
-    aligner = token_align.Aligner(token_align.ByteLevel(token_align.vocabulary(token_align.LEFT)), token_align.Pieces(token_align.vocabulary(token_align.RIGHT)))
-    aligner.block(["some words here and there"])
-    known = len(aligner.written)
-    counts, written, _ = aligner.block(["there and some words here and there", ""])
-    assert len(aligner.written) == known and counts[0].tolist() == [7, 0] and written[1] == ""
+def block_of(*texts):
+    raw = [t.encode() for t in texts]
+    return Block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+@pytest.fixture
+def aligner():
+    return token_align.Aligner(token_align.ByteLevel(token_align.vocabulary(token_align.LEFT)), token_align.Pieces(token_align.vocabulary(token_align.RIGHT)))
+
+
+def test_windows_are_remembered(aligner):
+    aligner.block(block_of("some words here and there"))
+    known = len(aligner.written), len(aligner.spelled) + 1  # the empty text is a unit without letters
+    counts, written, _ = aligner.block(block_of("there and some words here and there", ""))
+    assert (len(aligner.written), len(aligner.spelled)) == known and counts[0].tolist() == [7, 0] and written[1] == ""
     assert set(written[0].split(";")) <= {g for w in aligner.written for g in w.split(";")}
 
 
-def test_long_texts_have_equal_tokens(sides, spark, sf):
-    """Whole texts: the rank encoder gives the ids of the vocabulary's own library."""
-    texts = [r["text"] for r in documents(spark, sf).filter(F.length("text") > 0).limit(150).collect()]
-    mine = token_align.ByteLevel(token_align.vocabulary(token_align.LEFT)).encode(texts)
-    assert mine == [e.ids for e in sides[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+def test_memory_starts_anew(aligner, rows, monkeypatch):
+    monkeypatch.setattr(token_align, "KNOWN", 50)
+    texts = [t or "" for _, t in rows[:60]]
+    whole = aligner.block(block_of(*texts))
+    for k, t in enumerate(texts):
+        counts, written, _ = aligner.block(block_of(t))
+        assert [c[0] for c in counts] == [c[k] for c in whole[0]] and written[0] == whole[1][k]
+
+
+def test_large_groups_and_equal_hashes(aligner, rows, monkeypatch):
+    """The plain way for large groups, and hashes of one bit, give the same."""
+    block = block_of(*[t or "" for _, t in rows[:80]])
+    want = aligner.block(block)
+    aligner.forget_units()
+    aligner.forget_windows()
+    monkeypatch.setattr(token_align, "LARGE", 1)
+    real = token_align.Rolling.of
+    monkeypatch.setattr(token_align.Rolling, "of", lambda self, a, b: real(self, a, b) & np.uint64(1))
+    got = aligner.block(block)
+    assert got[1] == want[1] and all((a == b).all() for a, b in zip([*got[0], *got[2]], [*want[0], *want[2]], strict=True))
+
+
+def test_units_have_the_ids_of_whole_texts(sides, spark, sf, rows, aligner):
+    texts = [r["text"] for r in documents(spark, sf).filter(F.length("text") > 0).limit(150).collect()] + [t for _, t in rows if t]
+    a, text_a, b, text_b, good = aligner.encoded(block_of(*texts))
+    for k, e in enumerate(sides[0].encode_batch([" " + t for t in texts], add_special_tokens=False)):
+        if good[k]:
+            assert a[text_a == k].tolist() == e.ids and b[text_b == k].tolist() == sides[1].encode(texts[k])
+    assert good.mean() > 0.6
 
 
 def test_empty_table(spark, rows):
