@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import best_fit, leak_scan, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, token_align, toxicity
+from furlong.llm import best_fit, collocations, leak_scan, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, token_align, toxicity
 from furlong.llm.frames import documents, held_out, labels, stored
 from furlong.llm.ship import ship
 
@@ -211,3 +211,31 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     return token_align.counted(found.withColumn("groups_sha256", digest).drop("groups")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op11_suffix_phrases", r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+n_words as (select lang, sum(len(w))::bigint as n from words group by lang),
+phrases as (
+  select lang, m, array_to_string(w[p + 1:p + m], ' ') as phrase, count(*) as f
+  from (select lang, w, m, unnest(range(len(w) - m + 1)) as p from words, (select unnest(range(1, 5)) as m) where len(w) >= m) group by all having count(*) >= 30),
+parts as (select lang, m, phrase, f, string_split(phrase, ' ') as w from phrases),
+cuts as (
+  select c.lang, c.phrase, c.m, c.f as a, c.k, x.f as l, y.f as r, ((2000000::hugeint * c.f) // (x.f + y.f))::bigint as score
+  from (select *, unnest(range(1, m)) as k from parts where m > 1) c
+  join phrases x on c.lang = x.lang and x.phrase = array_to_string(c.w[1:c.k], ' ')
+  join phrases y on c.lang = y.lang and y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+scored as (select lang, phrase, m, a, l, r, score from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select lang, array_to_string(w[i + 1:i + s], ' ') as phrase, max(f) as most
+  from (select *, unnest(range(m - s + 1)) as i from (select *, unnest(range(2, m)) as s from parts where m > 2)) group by 1, 2),
+kept as (select s.* from scored s left join inside i on s.lang = i.lang and s.phrase = i.phrase where i.most is null or 100 * i.most::hugeint < 80 * s.a::hugeint),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept qualify rank <= 2000)
+select r.lang, r.rank::bigint as rank, r.phrase, r.a::bigint as a, r.l::bigint as l, r.r::bigint as r, n.n, r.score from ranked r join n_words n on r.lang = n.lang
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language whose words go together most."""
+    return collocations.collocations(documents(spark, sf_dir))
