@@ -4,11 +4,11 @@ Texts are cut into pieces at punctuation and line ends, pieces into words.  A su
 ``DEEPEST`` words.  The pointers of a set of suffixes are sorted word by word: a pivot splits them by their next word into smaller, equal
 and larger ones; the equal part shares one word more and is sorted on by the word after it.  Its size is the count of the phrase it shares.
 
-1. Every task sorts the suffixes of its blocks, which sums equal ones: one record a distinct suffix.  A first pass gives the counts of the single
-   words, and the leading pairs that hold a large part of some block.
-2. Records are routed over the cluster by their two leading words, so that all suffixes of a phrase meet.  Leading pairs that hold a large part of the records are
-   dealt by all their words instead: at most ``SHARES`` pairs, and each that has one record in 400 (one in ``SHARES`` / 4 of some block, summed, and what smaller parts hide).
-3. Every task sorts the records of its routes, a bounded number at a time, and abandons partitions below ``LEAST``.  Of dealt pairs, and of a route too long for
+1. Every task sorts the suffixes of its blocks, which sums equal ones: one record a distinct suffix, one a distinct word.
+2. Records are routed over the cluster by their two leading words, so that all suffixes of a phrase meet; those of one block and one bucket of routes travel in
+   one compressed packet.  Pairs of words that hold a large part of all places are dealt by all words of their records instead: at most ``SHARES`` pairs, and each
+   that has one place in 400 (a first pass sums the pairs with one in ``SHARES`` / 4 of some block, which hides less than that part).
+3. Every task sorts the records of its buckets, a bounded number at a time, and abandons partitions below ``LEAST``.  Of dealt pairs, and of a bucket too large for
    one go, it gives all partial sums, which one aggregate adds up.
 4. Phrases are scored by joins with the counts of their parts, and compared with the longer phrases that hold them.
 
@@ -37,7 +37,7 @@ TOP = 2000
 COVER = 80
 SCALE = 2_000_000
 SHARES = 2000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Records that are sorted at a time, and the size below which partitions are finished together by one sort.
 CHUNK = 400_000
 SMALL = 1 << 14
@@ -174,45 +174,64 @@ def words(block: Block, outside: np.ndarray, ends: np.ndarray, groups: np.ndarra
     return Words(data, at, at + size, number, room, group)
 
 
-def _languages(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct languages, their hashes, and the number of every row's language."""
     coded = batch.column("lang").dictionary_encode()
-    hashes = [int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "little") for s in coded.dictionary.to_pylist()]
-    return coded.dictionary, np.array(hashes, np.uint64), coded.indices.to_numpy().astype(np.int64)
+    names = coded.dictionary.to_pylist()
+    hashes = [int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "little") for s in names]
+    return names, np.array(hashes, np.uint64), coded.indices.to_numpy().astype(np.int64)
 
 
-def _leads(found: Words, rolling: Rolling, parts: Parts, hashes: np.ndarray) -> np.ndarray:
-    """Hashes of language and the two leading words."""
-    p = parts.pointer
-    return mixed(rolling.of(found.start[p], found.end[p + 1]) + hashes[found.group[p]])
+def _routes(found: Words, rolling: Rolling, pointers: np.ndarray, n: np.ndarray | int, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of language and the first ``n`` words."""
+    return mixed(rolling.of(found.start[pointers], found.end[pointers + n - 1]) + hashes[found.group[pointers]])
 
 
 # ---------------------------------------------------------------- Spark
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and the hashes of leading pairs with at least one in ``SHARES`` / 4 suffixes of a block."""
+    """Numbers of words by language, and the hashes of pairs of words with one place in ``SHARES`` / 4 of a block or more, with their places."""
     for batch in batches:
         for rows, block in blocks(batch, "text", BLOCK_BYTES):
             names, hashes, groups = _languages(rows)
             found = words(block, OUTSIDE, ENDS, groups)
-            pointers = np.arange(len(found.start))
-            _, last = quicksort(found.key, pointers, np.ones(len(pointers), np.int64))
-            single = np.unique(found.number, return_index=True, return_counts=True)
-            one = Parts(single[1], np.ones(len(single[1]), np.int64), single[2])
-            long = last.words > 1
-            records = Parts(last.pointer[long], last.words[long], last.weight[long])
-            lead, times = np.unique(_leads(found, Rolling(found.data), records, hashes), return_counts=True)
-            many = times * (SHARES // 4) >= len(records.pointer)
-            lead, times = lead[many].view(np.int64), times[many]
-            n, m = len(one.pointer), len(lead)
+            pointers = np.flatnonzero(found.room > 1)
+            lead, times = np.unique(_routes(found, Rolling(found.data), pointers, 2, hashes), return_counts=True)
+            many = times * (SHARES // 4) >= len(pointers)
+            lead, times = lead[many].view(np.int64).tolist(), times[many].tolist()
+            n = np.bincount(found.group, minlength=len(names)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([names.take(pa.array(found.group[one.pointer])), pa.nulls(m + 1, pa.string())]),
-                 pa.concat_arrays([found.phrases(one), pa.nulls(m + 1, pa.string())]),
-                 pa.array(np.concatenate([np.zeros(n, np.int64), lead, [0]])), pa.array(np.concatenate([one.weight, times, [len(records.pointer)]])),
-                 pa.array(["word"] * n + ["lead"] * m + ["all"])], ["lang", "phrase", "lead", "c", "kind"])
-
-
-def suffixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(route, dealt, lang, phrase, words, c): every distinct suffix of two words or more of every block."""
+                [pa.array(names + [None] * len(lead), pa.string()), pa.array([None] * len(names) + lead, pa.int64()), pa.array(n + times, pa.int64())],
+                ["lang", "lead", "c"])
+
+
+PACKETS = "bucket long, dealt boolean, n long, names array<string>, records binary"
+
+
+def _packed(found: Words, parts: Parts, names: list[str], bucket: np.ndarray, dealt: np.ndarray) -> pa.RecordBatch:
+    """One row for the records of each bucket: counts, numbers of languages and phrases, compressed together."""
+    order = np.lexsort((bucket, dealt))
+    parts = Parts(parts.pointer[order], parts.words[order], parts.weight[order])
+    bucket, dealt = bucket[order], dealt[order]
+    start = found.start[parts.pointer]
+    size = found.end[parts.pointer + parts.words - 1] + 1 - start
+    data = found.data[expanded(start, size)]
+    off = np.concatenate([[0], np.cumsum(size)])
+    data[off[1:] - 1] = 0x0A
+    heads = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (dealt[1:] != dealt[:-1])]) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(bucket))[:len(heads)]
+    weight, group = parts.weight.astype("<i8"), found.group[parts.pointer].astype("<i4")
+    records = [
+        pa.compress(weight[a:b].tobytes() + group[a:b].tobytes() + data[x:y].tobytes(), "zstd", asbytes=True)
+        for a, b, x, y in zip(heads.tolist(), ends.tolist(), off[heads].tolist(), off[ends].tolist(), strict=True)]
+    sizes = (ends - heads) * 12 + off[ends] - off[heads]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[heads]), pa.array(dealt[heads]), pa.array(ends - heads), pa.array([names] * len(heads), pa.list_(pa.string())),
+         pa.array([int(n).to_bytes(8, "little") + r for n, r in zip(sizes, records, strict=True)], pa.binary())],
+        ["bucket", "dealt", "n", "names", "records"])
+
+
+def suffixes(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """All distinct suffixes of two words or more, and all distinct words, of every block, in packets by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,84 +239,105 @@ def suffixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 names, hashes, groups = _languages(rows)
                 found = words(block, OUTSIDE, ENDS, groups)
                 pointers = np.arange(len(found.start))
-                _, last = quicksort(found.key, pointers, np.ones(len(pointers), np.int64))
-                long = last.words > 1
-                parts = Parts(last.pointer[long], last.words[long], last.weight[long])
+                equal, last = quicksort(found.key, pointers, np.ones(len(pointers), np.int64))
+                single, long = equal.words == 1, last.words > 1
                 rolling = Rolling(found.data)
-                route = _leads(found, rolling, parts, hashes)
+                route = _routes(found, rolling, last.pointer[long], 2, hashes)
                 dealt = np.isin(route, hot)
-                some = parts.pointer[dealt]
-                route[dealt] = mixed(route[dealt] + rolling.of(found.start[some], found.end[some + parts.words[dealt] - 1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(route.view(np.int64)), pa.array(dealt), names.take(pa.array(found.group[parts.pointer])), found.phrases(parts),
-                     pa.array(parts.weight)], ["route", "dealt", "lang", "phrase", "c"])
+                route[dealt] = _routes(found, rolling, last.pointer[long][dealt], last.words[long][dealt], hashes)
+                route = np.concatenate([_routes(found, rolling, equal.pointer[single], 1, hashes), route])
+                parts = Parts(*(np.concatenate([a[single], b[long]]) for a, b in zip(
+                    (equal.pointer, equal.words, equal.weight), (last.pointer, last.words, last.weight), strict=True)))
+                bucket = (route % np.uint64(buckets)).astype(np.int64)
+                yield _packed(found, parts, names, bucket, np.concatenate([np.zeros(int(single.sum()), bool), dealt]))
 
-    return docs.mapInArrow(run, "route long, dealt boolean, lang string, phrase string, c long")
+    return docs.mapInArrow(run, PACKETS)
 
 
-SPACE = np.zeros(256, bool)
-SPACE[0x20] = True
-NEVER = np.zeros(256, bool)
+BETWEEN = np.zeros(256, bool)
+BETWEEN[[0x20, 0x0A]] = True
+LINE_ENDS = np.zeros(256, bool)
+LINE_ENDS[0x0A] = True
 
 
-def _counted(table: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+def _counted(packets: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     """Counts of all phrases that begin the records; those below ``least`` are abandoned."""
-    for batch in table.combine_chunks().to_batches():
-        for rows, block in blocks(batch, "phrase", 1 << 30):
-            names, _, groups = _languages(rows)
-            found = words(block, SPACE, NEVER, groups)
-            heads = np.flatnonzero(np.r_[True, found.room[:-1] == 1])  # every record is one piece
-            equal, _ = quicksort(found.key, heads, rows.column("c").to_numpy(), least)
-            kept = (equal.words > 1) & (equal.weight >= least)
-            parts = Parts(equal.pointer[kept], equal.words[kept], equal.weight[kept])
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(found.group[parts.pointer])), found.phrases(parts), pa.array(parts.words, pa.int32()), pa.array(parts.weight)],
-                ["lang", "phrase", "words", "c"])
-
+    if not packets.num_rows:
+        return
+    known: dict[str, int] = {}
+    weights, groups, data = [], [], []
+    for n, names, records in zip(*(packets.column(c).to_pylist() for c in ("n", "names", "records")), strict=True):
+        raw = pa.decompress(records[8:], int.from_bytes(records[:8], "little"), "zstd", asbytes=True)
+        weights.append(np.frombuffer(raw, "<i8", n))
+        code = np.array([known.setdefault(name, len(known)) for name in names], np.int64)
+        groups.append(code[np.frombuffer(raw, "<i4", n, 8 * n)])
+        data.append(np.frombuffer(raw, np.uint8, offset=12 * n))
+    joined = np.concatenate(data)
+    off = np.concatenate([[0], np.flatnonzero(joined == 0x0A) + 1])
+    found = words(Block(joined, off), BETWEEN, LINE_ENDS, np.concatenate(groups))
+    heads = np.flatnonzero(np.r_[True, found.room[:-1] == 1])  # every record is one piece
+    weight, alone = np.concatenate(weights), found.room[heads] == 1
+    first, of = np.unique(found.number[heads[alone]], return_index=True, return_inverse=True)[1:]
+    single = Parts(heads[alone][first], np.ones(len(first), np.int64), np.bincount(of, weight[alone], len(first)).astype(np.int64))
+    equal, _ = quicksort(found.key, heads[~alone], weight[~alone], least)
+    names = pa.array(list(known), pa.string())
+    for parts, fewest in ((single, 1), (equal, 2)):
+        kept = (parts.words >= fewest) & (parts.weight >= least)
+        parts = Parts(parts.pointer[kept], parts.words[kept], parts.weight[kept])
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(found.group[parts.pointer])), found.phrases(parts), pa.array(parts.words, pa.int32()), pa.array(parts.weight)],
+            ["lang", "phrase", "words", "c"])
+
+
+def _sorted_buckets(least: int, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packets come by bucket; as many whole buckets as make up ``chunk`` records are sorted together."""
 
-def _sorted_routes(least: int, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        partial = None  # the route that a cut went through
+        records, partial = 0, None  # the bucket that a cut went through
 
-        def flush(table: pa.Table, cut: int | None) -> Iterator[pa.RecordBatch]:
-            route, dealt = table.column("route").to_numpy(), table.column("dealt").to_numpy()
-            open_ = dealt | np.isin(route, [r for r in (partial, cut) if r is not None])
+        def sort(table: pa.Table, cut: int | None) -> Iterator[pa.RecordBatch]:
+            open_ = table.column("dealt").to_numpy() | np.isin(table.column("bucket").to_numpy(), [b for b in (partial, cut) if b is not None])
             yield from _counted(table.filter(pa.array(~open_)), least)
             yield from _counted(table.filter(pa.array(open_)), 1)
 
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < chunk:
-                continue
-            table = pa.Table.from_batches(held)
-            route = table.column("route").to_numpy()
-            first = int(np.searchsorted(route, route[-1]))  # the last route may go on
-            cut = None if first else int(route[-1])
-            yield from flush(table.slice(0, first or len(route)), cut)
-            partial = cut
-            held = table.slice(first).to_batches() if first else []
+            for k in range(batch.num_rows):
+                held.append(batch.slice(k, 1))
+                records += held[-1].column("n")[0].as_py()
+                if records < chunk:
+                    continue
+                table = pa.Table.from_batches(held)
+                bucket = table.column("bucket").to_numpy()
+                first = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+                if not first and records < 2 * chunk:
+                    continue
+                cut = None if first else int(bucket[-1])
+                yield from sort(table.slice(0, first or len(bucket)), cut)
+                partial = cut
+                held = held[first:] if first else []
+                records = sum(b.column("n")[0].as_py() for b in held)
         if held:
-            yield from flush(pa.Table.from_batches(held), None)
+            yield from sort(pa.Table.from_batches(held), None)
 
     return run
 
 
 def counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, shares: int = SHARES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of up to ``DEEPEST`` words found ``least`` times or more, and (lang, n) of all words."""
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    first = stored(
-        rows.mapInArrow(_first_pass, "lang string, phrase string, lead long, c long, kind string").groupBy("kind", "lang", "phrase", "lead").agg(F.sum("c").alias("c")), "words")
-    single = first.filter("kind = 'word'")
-    total = first.filter("kind = 'all'").agg(F.sum("c").alias("c")).first()["c"] or 0
-    # the summed leads are below their true share by less than one in SHARES / 4
-    heavy = first.filter((F.col("kind") == "lead") & (F.col("c") * shares >= total)).select("lead").collect()  # at most ``shares``
+    first = stored(rows.mapInArrow(_first_pass, "lang string, lead long, c long").groupBy("lang", "lead").agg(F.sum("c").alias("c")), "leads")
+    sizes = first.filter(F.col("lead").isNull()).select("lang", F.col("c").alias("n"))
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # the sums hide less than one place in SHARES / 4 of a pair
+    heavy = first.filter(F.col("lead").isNotNull() & (F.col("c") * shares >= total)).select("lead").collect()  # at most ``shares``
     hot = np.array(sorted(r["lead"] for r in heavy), np.int64).view(np.uint64)
-    found = suffixes(rows, hot).repartition("route").sortWithinPartitions("route").mapInArrow(
-        _sorted_routes(least, chunk), "lang string, phrase string, words int, c long")
-    long = found.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-    short = single.filter(F.col("c") >= least).select("lang", "phrase", F.lit(1).alias("words"), F.col("c").alias("f"))
-    return stored(long.unionByName(short), "phrases"), single.groupBy("lang").agg(F.sum("c").alias("n"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk))
+    found = suffixes(rows, hot, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _sorted_buckets(least, chunk), "lang string, phrase string, words int, c long")
+    phrases = found.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+    return stored(phrases, "phrases"), sizes
 
 
 def scored(phrases: DataFrame) -> DataFrame:
