@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from furlong.catalog import views as v
 from furlong.catalog.registry import query, with_
 from furlong.catalog.relative_queries import hot_horses, lag_sql
-from furlong.operators import evaluate, features, fit
+from furlong.operators import boost, evaluate, features, fit, isotonic
 from furlong.operators.groups import by_group
 from furlong.session import cut, scratch_path
 
@@ -84,6 +84,65 @@ def ml03(spark, sf):
     return _facts(scored, scored.agg(better.alias("no_worse")))
 
 
+FAST = {"maxDepth": 3, "stepSize": 0.3}
+_FOLD_SQL = "cast(cast('0x' || substr(sha256(cast(race_id as varchar)), 1, 8) as bigint) % 3 as int)"
+
+
+@query("ml01_early_stopping", with_(CONTEST, f"select {_FOLD_SQL} as fold, count(*) as rows, count(*) as finite, true as stopped, true as lowest, true as more from contest group by 1"))
+def ml01_stopping(spark, sf):
+    """Rows of every fold with their out-of-fold scores; the fold's fit stops before the limit, at its lowest loss, and the last fit has a tenth more rounds than the mean."""
+    rows = cut(fit.label_rows(v.contest(spark, sf).withColumnRenamed("score", "score0"), v.hot_races(spark, sf)).withColumn("fold", fit.race_fold(F.col("race_id"), 3)))
+    scored, found = boost.out_of_fold(rows, [0, 1, 2], ["carried", "num", "score0"], {**FAST, "maxIter": 30}, 0.02)
+    final = boost.final_rounds(found)
+    mean = sum(s.rounds for s in found) / 3
+    facts = {"stopped": [s.rounds < 30 for s in found], "lowest": [s.losses[s.rounds - 1] <= min(s.losses) for s in found], "more": [final == max(int(mean * 1.1), 5)] * 3}
+    named = {name: F.element_at(F.array(*map(F.lit, values)), F.col("fold") + 1) for name, values in facts.items()}
+    return scored.withColumn("_finite", _finite("score")).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("_finite").cast("long")).alias("finite")).withColumns(named)
+
+
+@query("ml03_early_stopping", with_(CONTEST, f"select yr, count(*) as rows, cast(sum(case when finish <= 3 then 1 else 0 end) as bigint) as top, true as stopped, true as lowest from contest where yr >= {SPLIT} group by yr"))
+def ml03_stopping(spark, sf):
+    """The classifier of "in the first three" stops by the log loss of the later years."""
+    rows = cut(learning_rows(spark, sf))
+    found = boost.fit_stopping(rows, F.col("part") == "valid", COLUMNS, {**FAST, "maxIter": 30}, 3, 0.02)
+    scored = fit.top_chance(found.model, rows.filter("part = 'valid'"), COLUMNS, "top3")
+    return scored.filter("top3 between 0 and 1").groupBy("yr").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("finish") <= 3).alias("top")).withColumns(
+        {"stopped": F.lit(found.rounds < 30), "lowest": F.lit(found.losses[found.rounds - 1] <= min(found.losses))})
+
+
+_PAIRS_SQL = """pairs as (
+ select t.race_id, t.num as winner, f.num as loser, 1 / (1 + exp(-(f.carried - t.carried) / 10)) as p, ln(1 + exp((f.carried - t.carried) / 10)) as loss
+ from field t join field f on t.race_id = f.race_id and t.finish < f.finish where t.finish <= 3)"""
+
+
+@query("ml02_pair_gradients", with_(FIELD, _PAIRS_SQL, """
+sides as (select race_id, winner as num, p as g, p * (1 - p) as h, 0.0 as loss, 0 as n from pairs union all select race_id, loser, -p, p * (1 - p), loss, 1 from pairs)""", """
+select f.race_id, f.num, round(coalesce(sum(g), 0), 6) + 0 as grad, round(coalesce(sum(h), 0), 6) + 0 as hess, round(coalesce(sum(s.loss), 0), 6) + 0 as loss, cast(coalesce(sum(n), 0) as bigint) as pairs
+from field f left join sides s on f.race_id = s.race_id and f.num = s.num group by f.race_id, f.num"""))
+def ml02_gradients(spark, sf):
+    """Slopes and curvatures of the pairwise loss against the three best finishers, at scores of a tenth of the weight."""
+    hot = v.hot_races(spark, sf)
+    rows = v.field(spark, sf).withColumn("score", F.col("carried") / 10)
+    out = boost.with_gradients(boost.placed(rows, hot, 3), hot, 3)
+    return out.select("race_id", "num", *[v.r6(c).alias(c) for c in ("grad", "hess", "loss")], "pairs")
+
+
+@query("ml02_boosted_pairs", with_(CONTEST, f"""pairs as (
+ select case when a.yr < {SPLIT} then 'train' else 'valid' end as side, count(*) as pairs from contest a join contest b on a.race_id = b.race_id and a.finish < b.finish where a.finish <= 8 group by 1)""", """
+select side, cast(n as int) as round, pairs, case when n = 0 then round(pairs * ln(2.0), 3) + 0 end as loss, true as falls from pairs, range(5) r(n)"""))
+def ml02_boosted(spark, sf):
+    """Pairs of both sides and the loss before the first tree, and whether each of four trees lowers it."""
+    rows = cut(learning_rows(spark, sf))
+    _, measured = boost.fit_pairs(rows, v.hot_races(spark, sf), ["carried", "num", "score0"], F.col("part") == "valid", 4, params={"maxDepth": 3})
+    out = []
+    for side in ("train", "valid"):
+        for i, m in enumerate(measured):
+            loss = m[f"{side}_loss"]
+            out.append((side, i, int(m[f"{side}_pairs"]), round(loss, 3) if i == 0 else None, i == 0 or loss < measured[i - 1][f"{side}_loss"]))
+    return spark.createDataFrame(out, "side string, round int, pairs long, loss double, falls boolean")
+
+
 @query("ml04_year_split", with_(CONTEST, f"select race_id, num, case when yr < {SPLIT} then 'train' else 'valid' end as part from contest"))
 def ml04(spark, sf):
     return fit.year_split(v.contest(spark, sf), SPLIT).select("race_id", "num", "part")
@@ -121,6 +180,36 @@ def ml06(spark, sf):
     return counts.join(F.broadcast(fitted)).join(F.broadcast(facts)).select("held_rows", "fitted", "falls", "off")
 
 
+@query("ml06_isotonic_steps", with_(FIELD, """points as (select carried::double as x, avg(case when finish = 1 then 1.0 else 0.0 end) as y, count(*)::double as w from field group by 1),
+ends as (select a.x as low, b.x as high, sum(c.y * c.w) / sum(c.w) as mean from points a join points b on a.x <= b.x join points c on c.x between a.x and b.x group by 1, 2),
+least as (select p.x, e.low, min(e.mean) as m from points p join ends e on e.low <= p.x and e.high >= p.x group by 1, 2),
+steps as (select x, max(m) as value from least group by x)""", """
+select x, round(value, 6) + 0 as value from steps"""))
+def ml06_steps(spark, sf):
+    """The fitted chance of winning at every weight, against the largest of least means."""
+    steps = isotonic.fitted(isotonic.points(v.field(spark, sf), F.col("carried"), F.col("finish") == 1), 6)
+    xs = v.field(spark, sf).select(F.col("carried").cast("double").alias("x")).distinct()
+    return xs.join(steps, F.col("x").between(F.col("low"), F.col("high"))).select("x", v.r6("value").alias("value"))
+
+
+@query("ml07_halving", with_(CONTEST, """placed as (select race_id, cast('0x' || substr(sha256('42/' || cast(race_id as varchar)), 1, 8) as bigint) / 4294967296.0 as place from (select distinct race_id from contest))""", """
+select cast(n as int) as rung, 16 >> n as candidates, count_if(place < power(0.5, 3 - n)) as contests, true as best_kept from placed, range(4) r(n) group by n"""))
+def ml07_halving(spark, sf):
+    """Candidates and contests of every rung, and whether the kept half is its best."""
+    rows = cut(learning_rows(spark, sf))
+    small = [{**c, "maxIter": 2 + i % 2, "maxDepth": 2 + i % 2} for i, c in enumerate(fit.sample_space(16))]
+    found = boost.halving(rows, ["carried", "num", "score0"], small)
+    out = []
+    for rung in range(4):
+        here = [r for r in found if r["rung"] == rung]
+        worst = min((r["rate"], -r["candidate"]) for r in here if r["kept"])
+        out.append((rung, len(here), here[0]["share"], all((r["rate"], -r["candidate"]) <= worst for r in here if not r["kept"])))
+    rungs = spark.createDataFrame(out, "rung int, candidates long, share double, best_kept boolean")
+    races = rows.select("race_id").distinct().withColumn("_at", boost.position(F.col("race_id")))
+    return races.join(F.broadcast(rungs), F.col("_at") < F.col("share")).groupBy("rung", "candidates", "best_kept").agg(F.count(F.lit(1)).alias("contests")).select(
+        "rung", "candidates", "contests", "best_kept")
+
+
 @query("ml07_search", "select cast(n as int) as position, true as rate_in_range, true as consistent from range(2) r(n)")
 def ml07(spark, sf):
     """Two candidates, the defaults first; the chosen one is the best, and only if it is strictly better than the defaults."""

@@ -10,11 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.operators import chances, evaluate, relative
+from furlong.operators import chances, evaluate, isotonic, relative
 from furlong.operators.groups import Aggregated, Groups, Hot, by_group, lookup
 
 BUNDLE_VERSION = 8
@@ -41,7 +41,7 @@ def filled(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns(made)
 
 
-def _assembler(features: list[str]) -> VectorAssembler:
+def assembler(features: list[str]) -> VectorAssembler:
     names = [n for c in features for n in (f"f_{c}", f"f_{c}_missing")]
     return VectorAssembler(inputCols=names, outputCol="features")
 
@@ -49,7 +49,7 @@ def _assembler(features: list[str]) -> VectorAssembler:
 def fit_scorer(rows: DataFrame, features: list[str], params: dict | None = None) -> PipelineModel:
     """ML01: boosted trees on the rank label (column ``label``)."""
     tree = GBTRegressor(featuresCol="features", labelCol="label", predictionCol="score", **{**DEFAULTS, **(params or {})})
-    return Pipeline(stages=[_assembler(features), tree]).fit(filled(rows, features))
+    return Pipeline(stages=[assembler(features), tree]).fit(filled(rows, features))
 
 
 def score(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -61,13 +61,13 @@ def fit_other(rows: DataFrame, features: list[str], params: dict | None = None)
     """PL11: a second scorer of another kind, a random forest on the rank label."""
     wanted = {"numTrees": 40, "maxDepth": 7, "minInstancesPerNode": DEFAULTS["minInstancesPerNode"], "seed": DEFAULTS["seed"], **(params or {})}
     forest = RandomForestRegressor(featuresCol="features", labelCol="label", predictionCol="score", **wanted)
-    return Pipeline(stages=[_assembler(features), forest]).fit(filled(rows, features))
+    return Pipeline(stages=[assembler(features), forest]).fit(filled(rows, features))
 
 
 def fit_top(rows: DataFrame, features: list[str], k: int, params: dict | None = None) -> PipelineModel:
     """ML03: boosted trees for "finishes in the first k"."""
     tree = GBTClassifier(featuresCol="features", labelCol="top", **{**DEFAULTS, **(params or {})})
-    return Pipeline(stages=[_assembler(features), tree]).fit(
+    return Pipeline(stages=[assembler(features), tree]).fit(
         filled(rows.withColumn("top", (F.col("finish") <= k).cast("double")), features))
 
 
@@ -145,8 +145,7 @@ def digest_split(rows: DataFrame, hot: Hot, seed: int = 42, keys: list[str] | No
 
 def fit_isotonic(rows: DataFrame) -> IsotonicRegressionModel:
     """ML06: chance of winning as an increasing function of p1."""
-    data = rows.select((F.col("finish") == 1).cast("double").alias("label"), F.col("p1").alias("features"), F.lit(1.0).alias("weight"))
-    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(data)
+    return isotonic.model(isotonic.fitted(isotonic.points(rows, F.col("p1"), F.col("finish") == 1)))
 
 
 def calibrated(model: IsotonicRegressionModel, rows: DataFrame, hot: Hot) -> DataFrame:
