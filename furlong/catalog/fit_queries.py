@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from furlong.catalog import views as v
+from furlong.catalog.evaluate_queries import _LL, SCORED
 from furlong.catalog.registry import query, with_
 from furlong.catalog.relative_queries import hot_horses, lag_sql
 from furlong.operators import boost, evaluate, features, fit, isotonic
 from furlong.operators.groups import by_group
+from furlong.plans import calibrate
 from furlong.session import cut, scratch_path
 
 FIELD = v.FIELD_SQL
@@ -180,6 +182,18 @@ def ml06(spark, sf):
     return counts.join(F.broadcast(fitted)).join(F.broadcast(facts)).select("held_rows", "fitted", "falls", "off")
 
 
+@query("ml06_calibration_job", with_(*SCORED, """races as (select race_id, row_number() over (order by sha256('42:' || cast(race_id as varchar)), race_id) as n, count(*) over () as m from (select race_id from chances group by race_id having count(*) >= 3)),
+held as (select c.* from chances c join races r using (race_id) where r.n > greatest(1, least(r.m - 1, r.m * 2 // 3))),
+long as (select 1 as k, p1 as p, cast(finish <= 1 as double) as y from held union all select 2, p2, cast(finish <= 2 as double) from held union all select 3, p3, cast(finish <= 3 as double) from held)""", f"""
+select k, count(*) as n, {_LL} as stored_logloss, round(avg((p - y) * (p - y)), 6) + 0 as stored_brier, true as better from long group by k"""))
+def ml06_job(spark, sf):
+    """Rows of the held side, the losses of the stored chances there, and whether the calibrated chances of winning are no worse by either measure."""
+    rows = cut(v.scored(spark, sf).filter(F.col("heads") >= 3))
+    losses = calibrate.calibrate_job(rows).losses
+    better = (F.col("k") > 1) | ((F.col("calibrated_logloss") <= F.col("stored_logloss")) & (F.col("calibrated_brier") <= F.col("stored_brier")))
+    return losses.select("k", "n", v.r6("stored_logloss").alias("stored_logloss"), v.r6("stored_brier").alias("stored_brier"), better.alias("better"))
+
+
 @query("ml06_isotonic_steps", with_(FIELD, """points as (select carried::double as x, avg(case when finish = 1 then 1.0 else 0.0 end) as y, count(*)::double as w from field group by 1),
 ends as (select a.x as low, b.x as high, sum(c.y * c.w) / sum(c.w) as mean from points a join points b on a.x <= b.x join points c on c.x between a.x and b.x group by 1, 2),
 least as (select p.x, e.low, min(e.mean) as m from points p join ends e on e.low <= p.x and e.high >= p.x group by 1, 2),

@@ -1,17 +1,18 @@
-"""Training job: cards to a model bundle.
+"""Training job: cards to a model bundle; tuning job: cards to the parameters that the next training uses.
 
-scan -> typed entries -> training rows -> features -> out-of-fold statistics -> scorers -> blend -> temperature -> bundle
+scan -> typed entries -> training rows -> features -> out-of-fold statistics -> scorers that stop by the validation side -> blend -> temperature -> refit -> bundle
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.functions import fixed
-from furlong.operators import encode, evaluate, features, fit
+from furlong.operators import boost, encode, evaluate, features, fit
 from furlong.operators.chances import softmax
 from furlong.operators.groups import Hot, by_group, find_hot
 from furlong.operators.normalize import normalize_entries
@@ -33,6 +34,9 @@ class TrainConfig:
     drop_career: bool = False
     params: dict = field(default_factory=dict)
     other_params: dict = field(default_factory=dict)
+    #: Folder of parameters that a tuning job has written; those in ``params`` come before them.
+    tuned: str | None = None
+    tolerance: float = boost.TOLERANCE
 
 
 def with_blend(scored: DataFrame, hot: Hot, chosen: str, weight: float) -> DataFrame:
@@ -85,9 +89,20 @@ def encoded(entries: DataFrame, race_hot: Hot, snapshot: str, cfg: TrainConfig,
     return made
 
 
-def train_job(spark: SparkSession, cards: str, bundle: str, cfg: TrainConfig | None = None) -> dict:
-    """Train on all card files below ``cards`` and write the bundle; returns what was measured."""
-    cfg = cfg or TrainConfig()
+@dataclass(frozen=True)
+class Prepared:
+    """The matrix of a training: entries, labelled features with their side in ``part``, and what applying them again needs."""
+
+    rows: DataFrame
+    parts: DataFrame
+    race_hot: Hot
+    columns: list[str]
+    snapshot: str
+    bands: dict
+    maps: DataFrame
+
+
+def prepare(spark: SparkSession, cards: str, cfg: TrainConfig) -> Prepared:
     bronze = read_entries(spark, cards)
     bands = career_bands(bronze.columns)
     entries, _ = normalize_entries(bronze)
@@ -98,25 +113,69 @@ def train_job(spark: SparkSession, cards: str, bundle: str, cfg: TrainConfig | N
     maps = cut(encode.category_maps(made, CATEGORIES))
     made = cut(encode.apply_categories(made, maps, CATEGORIES))
     parts = fit.year_split(made.withColumn("yr", F.col("year")), cfg.split_year)
+    return Prepared(rows, parts, race_hot, fit.numeric_features(made, NOT_FEATURES), snapshot, bands, maps)
+
+
+def parameters(spark: SparkSession, cfg: TrainConfig) -> dict:
+    """The tuned parameters under the given ones."""
+    if cfg.tuned is None:
+        return cfg.params
+    return {**json.loads(spark.read.schema("params string").json(cfg.tuned).first()["params"]), **cfg.params}
+
+
+def tune_job(spark: SparkSession, cards: str, out: str, trials: int = 16, cfg: TrainConfig | None = None) -> dict:
+    """ML07: search by halving over all card files; the winner is written for the next training, unless the default parameters were no worse where both were tried."""
+    cfg = cfg or TrainConfig()
+    made = prepare(spark, cards, cfg)
+    candidates = [{**c, **cfg.params} for c in fit.sample_space(trials)]
+    found = boost.halving(made.parts, made.columns, candidates)
+    best = boost.winner(found)
+    rates = {(r["rung"], r["candidate"]): r["rate"] for r in found}
+    last = max(rung for rung, c in rates if c == 0)  # how far the defaults came
+    better = best != 0 and rates[last, best] > rates[last, 0]
+    if better:
+        spark.createDataFrame([(json.dumps(candidates[best]),)], "params string").coalesce(1).write.mode("overwrite").json(out)
+    return {"rungs": found, "winner": best, "written": better, "params": candidates[best] if better else None}
+
+
+def gains(model, columns: list[str], n: int = 15) -> dict:
+    """AG24: the ``n`` features with the largest part of the gain, and the part of the category columns."""
+    table = fit.importances(model, columns)
+    share = fit.gain_share(table, [f"{c}_code" for c in CATEGORIES]).first().asDict()
+    return {"top": [r.asDict() for r in table.limit(n).collect()], "categories": share}
+
+
+def train_job(spark: SparkSession, cards: str, bundle: str, cfg: TrainConfig | None = None) -> dict:
+    """Train on all card files below ``cards`` and write the bundle; returns what was measured."""
+    cfg = cfg or TrainConfig()
+    params = parameters(spark, cfg)
+    made = prepare(spark, cards, cfg)
+    parts, columns, race_hot = made.parts, made.columns, made.race_hot
     train, valid = (parts.filter(F.col("part") == side) for side in ("train", "valid"))
-    columns = fit.numeric_features(made, NOT_FEATURES)
-    second = {"other": lambda rows: fit.fit_other(rows, columns, cfg.other_params), "win": lambda rows: fit.fit_top(rows, columns, 1, cfg.params)}
-    scored = fit.score(second["other"](train), valid, columns).withColumnRenamed("score", "other")
-    scored = fit.top_chance(second["win"](train), scored, columns, "win")
-    model = fit.fit_scorer(train, columns, cfg.params)
-    scored = cut(fit.score(model, scored, columns).select("race_id", "num", "finish", "score", "other", "win"))
+    on_valid = F.col("part") == "valid"
+    stopped = {
+        "score": boost.fit_stopping(parts, on_valid, columns, params, tolerance=cfg.tolerance),
+        "win": boost.fit_stopping(parts, on_valid, columns, params, 1, cfg.tolerance)}
+    rounds = {name: boost.final_rounds([s]) for name, s in stopped.items()}
+    scored = fit.score(fit.fit_other(train, columns, cfg.other_params), valid, columns).withColumnRenamed("score", "other")
+    scored = fit.top_chance(stopped["win"].model, scored, columns, "win")
+    scored = cut(fit.score(stopped["score"].model, scored, columns).select("race_id", "num", "finish", "score", "other", "win"))
     chosen, weight, measured = choose_blend(scored, race_hot)
     mixed = cut(with_blend(scored, race_hot, chosen, weight))
     temperature, loss = evaluate.best_temperature(evaluate.temperature_losses(mixed, race_hot))
     meta = {
-        "temperature": temperature, "features": columns, "snapshot": snapshot, "use_pace": cfg.use_pace,
-        "drop_career": cfg.drop_career or snapshot == "leak", "bands": {k: list(b) for k, b in bands.items()},
+        "temperature": temperature, "features": columns, "snapshot": made.snapshot, "use_pace": cfg.use_pace, "rounds": rounds["score"],
+        "drop_career": cfg.drop_career or made.snapshot == "leak", "bands": {k: list(b) for k, b in made.bands.items()},
         **({f"{chosen}_weight": weight} if chosen else {}),
     }
-    tables = {"categories": maps, "pairs": encode.pair_totals(rows, "jockey", ROLE_CONDITIONS)}
-    tables |= {role: encode.role_totals(rows, role) for role in ("jockey", "trainer")}
-    extra = {chosen: second[chosen](parts)} if chosen else {}
-    fit.save_bundle(bundle, meta, fit.fit_scorer(parts, columns, cfg.params), tables, extra)
+    tables = {"categories": made.maps, "pairs": encode.pair_totals(made.rows, "jockey", ROLE_CONDITIONS)}
+    tables |= {role: encode.role_totals(made.rows, role) for role in ("jockey", "trainer")}
+    # the last fits have all rows, and as many rounds as the validation side asked for
+    second = {
+        "other": lambda: fit.fit_other(parts, columns, cfg.other_params),
+        "win": lambda: fit.fit_top(parts, columns, 1, {**params, "maxIter": rounds["win"]})}
+    final = fit.fit_scorer(parts, columns, {**params, "maxIter": rounds["score"]})
+    fit.save_bundle(bundle, meta, final, tables, {chosen: second[chosen]()} if chosen else {})
     return {
-        **measured, "blend": chosen, "weight": weight, "temperature": temperature, "loss": loss, "snapshot": snapshot, "features": len(columns),
-        **report(mixed, race_hot, temperature)}
+        **measured, "blend": chosen, "weight": weight, "temperature": temperature, "loss": loss, "snapshot": made.snapshot, "features": len(columns),
+        "stopped": {name: s.rounds for name, s in stopped.items()}, "rounds": rounds, "gains": gains(final, columns), **report(mixed, race_hot, temperature)}

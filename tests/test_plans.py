@@ -66,6 +66,24 @@ def test_training(spark, world):
     assert (measured["blend"] == "") == (measured["weight"] == 0.0) and measured["hit1"] >= next(b["hit1"] for b in measured["baselines"] if b["score"] == "number") - 1
 
 
+def test_training_stops_and_fits_again(world):
+    _, measured, _ = world
+    assert all(1 <= n <= 3 for n in measured["stopped"].values()) and measured["rounds"] == {"score": 5, "win": 5}
+    assert 1 <= len(measured["gains"]["top"]) <= 15 and 0 <= measured["gains"]["categories"]["share"] <= 100
+
+
+def test_tuned_parameters_are_used(spark, world, tmp_path):
+    """The search returns its rungs; a training takes what was written, and given parameters come before it."""
+    base, _, _ = world
+    cfg = train.TrainConfig(split_year=2025, params={"maxIter": 2})
+    found = train.tune_job(spark, str(base / "past"), str(tmp_path / "tuned"), 4, cfg)
+    assert [r["rung"] for r in found["rungs"]] == [0] * 4 + [1] * 2 and found["winner"] in {r["candidate"] for r in found["rungs"] if r["rung"] == 1}
+    if not found["written"]:
+        spark.createDataFrame([(json.dumps({"maxDepth": 4, "maxIter": 9}),)], "params string").write.mode("overwrite").json(str(tmp_path / "tuned"))
+    params = train.parameters(spark, train.TrainConfig(params={"maxIter": 2}, tuned=str(tmp_path / "tuned")))
+    assert params["maxIter"] == 2 and "maxDepth" in params and train.parameters(spark, cfg) == {"maxIter": 2}
+
+
 def test_blend_is_chosen_only_if_strictly_better(spark):
     """The other score finds the winners of contests 1 and 2, the own score that of contest 1; equal hits keep the own score."""
     rows = [(g, n, 1 if n == 1 else 2, float(n if g == 2 else -n), float(-n) * 9) for g in (1, 2) for n in (1, 2, 3)]
