@@ -1,14 +1,14 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every document has a 60-bit hash of its id.  A source takes whole passes over its documents, and one
+Every document has a 60-bit hash of its id and text.  A source takes whole passes over its documents, and one
 further copy of the documents whose hash lies below the source's threshold.  The threshold is found
 from sums of sizes by source and hash bucket: the bucket in which the running sum passes the budget is
 the boundary, and only its documents are summed again, by the next bits, until the hash is used up.
 Documents are never sorted and thresholds are nested: a larger budget takes a superset.
 
 Defined results: a null text has size 0 and is never taken; null is a source of its own, the last one; sources
-without any words have target 0; rows with one doc_id share a hash and are taken or left together
-(they differ only if their texts do); an empty table gives an empty mix.
+without any words have target 0; rows that agree in doc_id and text share a hash and are taken or left together, rows of one
+doc_id, or of none, with different texts are not; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the MD5 of the id as text; a null id counts as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the id, a space and the text; nulls count as empty."""
+    parts = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(parts.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -104,7 +105,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """All rows of ``docs`` with _size, _source_size, _target and _copies, how often the mix takes the row."""
-    sized = docs.withColumns({"_size": words(F.col("text")), "_hash": id_hash(F.col("doc_id"))})
+    sized = docs.withColumns({"_size": words(F.col("text")), "_hash": row_hash(F.col("doc_id"), F.col("text"))})
     narrow = stored(sized.select("source", F.col("_size").alias("size"), F.col("_hash").alias("hash")), "sizes")
     wanted = stored(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     found = thresholds(narrow, wanted).select(

@@ -137,7 +137,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hash_threshold_mix", r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ' ' || coalesce(text, '')), 1, 15))::bigint as h
   from documents),
 sources as (
   select source, sum(size)::bigint as source_size, [5.0, 2.0, 1.0][((row_number() over (order by encode(source) nulls last) - 1) % 3) + 1]::double as w

@@ -95,7 +95,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                         pa.array(context.view(np.int64)), pa.array(_packed(lo, strings, anchor))], ["doc_id", "check", "gram", "context", "place"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, check int, gram long, context long, place long")
+    return docs.mapInArrow(run, f"doc_id {kind}, check long, gram long, context long, place long")
 
 
 def _long(block: Block) -> tuple[np.ndarray, ...]:
@@ -109,6 +109,11 @@ def _long(block: Block) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def row_check() -> Column:
+    """With doc_id it tells rows apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _lo() -> Column:
     return F.shiftright("place", 16)
 
@@ -119,7 +124,7 @@ def _strings() -> Column:
 
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, check, spans) of every text that loses bytes; spans are (start, end) and may overlap."""
-    rows = docs.select("doc_id", F.hash(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("check"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", row_check().alias("check"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = contexts(rows)
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), F.min("context").alias("_a"), F.max("context").alias("_b")).filter("_n > 1")
     grams = stored(grams.select("gram", (F.col("_a") != F.col("_b")).alias("several")), "grams")
@@ -163,7 +168,7 @@ def _fetched(rows: DataFrame, asked: DataFrame) -> DataFrame:
                     ["doc_id", "check", "gram", "place", "alone", "bytes"])
 
     met = _matched(rows, by_text, "inner").dropDuplicates(["doc_id", "check"])
-    return met.select("doc_id", "check", "text", "asked").mapInArrow(run, f"doc_id {kind}, check int, gram long, place long, alone boolean, bytes binary")
+    return met.select("doc_id", "check", "text", "asked").mapInArrow(run, f"doc_id {kind}, check long, gram long, place long, alone boolean, bytes binary")
 
 
 def _matched(rows: DataFrame, by_text: DataFrame, how: str) -> DataFrame:
@@ -251,7 +256,7 @@ def _compared(rows: DataFrame) -> DataFrame:
         if held:
             yield judged(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"doc_id {kind}, check int, start long, end long")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"doc_id {kind}, check long, start long, end long")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -272,7 +277,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                     *[part.column(c).take(pa.array(owner)) for c in ("doc_id", "check", "gram", "alone")], pa.array((place[owner] >> 16) + string),
                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "check", "gram", "alone", "start", "one", "two"])
 
-    every = rows.mapInArrow(run, f"doc_id {kind}, check int, gram long, alone boolean, start long, one long, two long")
+    every = rows.mapInArrow(run, f"doc_id {kind}, check long, gram long, alone boolean, start long, one long, two long")
     twice = every.groupBy("gram", "one", "two").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     found = salted_join(every.filter("alone"), twice, ["gram", "one", "two"], "inner", SALTS)
     return found.select("doc_id", "check", "start", (F.col("start") + LENGTH).alias("end"))
@@ -281,7 +286,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept holds the remaining bytes."""
     spans = covered(docs)
-    rows = docs.select("doc_id", F.hash(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("check"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", row_check().alias("check"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +296,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 size = lists.value_lengths().fill_null(0).to_numpy()
                 wanted = lists.flatten()
                 text = np.repeat(np.arange(len(block)), size)
+                start, end = wanted.field(0).to_numpy(), wanted.field(1).to_numpy()
+                if (end > np.diff(block.off)[text]).any():
+                    raise ValueError("two texts under one id share a 64-bit hash")
                 base = block.off[text]
                 change = np.zeros(len(block.data) + 1, np.int64)
-                np.add.at(change, base + wanted.field(0).to_numpy(), 1)
-                np.add.at(change, base + wanted.field(1).to_numpy(), -1)
+                np.add.at(change, base + start, 1)
+                np.add.at(change, base + end, -1)
                 gone = np.cumsum(change)[:-1] > 0
                 before = np.r_[False, gone][:len(gone)]
                 before[block.off[:-1][block.off[:-1] < len(gone)]] = False  # a run ends with its text

@@ -70,3 +70,28 @@ def test_stages_on_an_empty_table(spark, odd, no_labels, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def test_null_ids_have_targets(spark):
+    """Texts without ids are told apart: a source of them comes as near its target as any other."""
+    rows = [(None, f"w{k} " * 20, s) for s in "ab" for k in range(500)] + [(3, f"v{k} " * 20, "c") for k in range(300)]
+    found = mix_histogram.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(
+        F.sum(F.col("_copies") * F.col("_size")).alias("taken"), F.first("_target").alias("target")).collect()
+    assert len(found) == 3 and all(abs(r["taken"] - r["target"]) <= 10 for r in found)
+
+
+def test_texts_without_ids_keep_their_own_bytes(spark):
+    """Two texts whose 32-bit hashes are equal, one of them a copy of a third: each loses its own bytes only."""
+    made = spark.range(300_000).select(F.concat(F.lit("some words "), F.col("id"), F.lit(" "), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    pair = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter(F.size("t") > 1).first()["t"][:2]
+    tail = " " + "tail of the text, " * 12
+    one, other = pair[0] + tail, pair[1]
+    rows = [(None, one), (None, one + " and more"), (None, other), (5, other[:30]), (5, one[20:])]
+    got = collections.Counter((r["n_bytes"], r["n_removed"]) for r in suffix_groups.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = collections.Counter()
+    texts = [t.encode() for _, t in rows]
+    seen = collections.Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
+    for t in texts:
+        gone = {j for i in range(len(t) - 199) if seen[t[i:i + 200]] > 1 for j in range(i, i + 200)}
+        want[len(t), len(gone)] += 1
+    assert got == want
