@@ -32,20 +32,25 @@ BLOCK = 64
 SALTS = 16
 
 
+def spaced(text: Column) -> Column:
+    """All white space but \\n as spaces."""
+    for other in ("\t", "\x0b", "\x0c", "\r"):
+        text = F.replace(text, F.lit(other), F.lit(" "))
+    return text
+
+
 def words_of(line: Column) -> Column:
-    """Cut at single spaces, which needs no pattern, after the other white space has become spaces."""
-    for other in ("\t", "\x0b", "\x0c", "\r", "\n"):
-        line = F.replace(line, F.lit(other), F.lit(" "))
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    """The words of a line of a ``spaced`` text."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def has_word(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))
+    return F.length(F.trim(line)) > 0
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, line_no, words) of every line with a word; line_no counts from 0."""
-    rows = docs.select("doc_id", text_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "_line"))
+    rows = docs.select("doc_id", text_key().alias("key"), F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "_line"))
     return rows.filter(has_word(F.col("_line"))).withColumn("words", words_of(F.col("_line"))).drop("_line")
 
 
@@ -149,7 +154,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     by_text = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line_no", "h", "n", "place")).alias("_wanted"))  # lines of one text
     texts = docs.select(F.col("doc_id").alias("_doc"), text_key().alias("_key"), "text").join(
         by_text, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")))
-    taken = texts.withColumn("_all", F.split("text", "\n")).select("_all", F.explode("_wanted").alias("_w")).select(
+    taken = texts.withColumn("_all", F.split(spaced(F.col("text")), "\n")).select("_all", F.explode("_wanted").alias("_w")).select(
         F.col("_w.h").alias("h"), F.col("_w.n").alias("n"), F.col("_w.place").alias("place"), words_of(F.get("_all", F.col("_w.line_no"))).alias("words"))
     lines = stored(taken.dropDuplicates(["h"]), "candidates")
 
@@ -181,7 +186,7 @@ def _rewritten(docs: DataFrame, least: int) -> DataFrame:
         gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col("_key") == F.col("_gone_key")), "left")
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone")), lambda i: F.get("_all", i))
-    counted = F.size(F.filter("_all", has_word))
+    counted = F.size(F.filter(F.split(spaced(F.col("text")), "\n"), has_word))
     return rows.withColumn("_all", lines).withColumns({
         "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
         "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(counted).cast("long"),
