@@ -67,16 +67,15 @@ def sc04(spark, sf):
     return files.read_results(spark, path, glob=None)[0].select("race_id", "num", "frame", "finish")
 
 
-@query("sc03_read_quotes", with_(FIELD, v.QUOTES_SQL, """select race_id, kind, array_to_string(legs, '-') as legs, cast(race_id % 5 as int) as yr, round(case when kind = 'win' then odds_lo + 1 else odds_lo end, 6) as odds_lo from quotes
-where kind in ('win', 'trio')"""))
+@query("sc03_read_quotes", with_(FIELD, v.QUOTES_SQL, """select race_id, kind, array_to_string(legs, '-') as legs, cast(race_id % 5 as int) as yr, round(case when kind = 'win' then odds_lo + 1 else odds_lo end, 6) as odds_lo from quotes"""))
 def sc03(spark, sf):
-    """SK02: a second snapshot of one kind replaces only its partitions; the kind filter prunes folders."""
+    """SK02: a second snapshot of one kind replaces only its partitions; all kinds are read back."""
     path = scratch_path(spark, "quotes")
     rows = v.quoted(spark, sf).withColumn("race_date", F.make_date((F.col("race_id") % 5 + 2000).cast("int"), F.lit(1), F.lit(1)))
     sinks.write_quotes(rows, path)
     later = rows.filter(F.col("kind") == "win").withColumn("odds_lo", F.col("odds_lo") + 1)
     sinks.write_quotes(later, path)
-    back = spark.read.parquet(path).filter(F.col("kind").isin("win", "trio"))
+    back = spark.read.parquet(path)
     return back.select("race_id", "kind", v.leg_string().alias("legs"), (F.year("race_date") - 2000).alias("yr"), v.r6("odds_lo").alias("odds_lo"))
 
 
@@ -296,15 +295,15 @@ union all select page_id, 'wide', num || '-' || (num + d), num + 1.5::double, d
 union all select page_id, 'frame', frame || '-' || (d + 1), d + 3.5::double, d + 3.5::double, ['白', '黒', '赤', '青', '黄', '緑', '橙', '桃'][frame] from p
 union all select page_id, 'trifecta', num || '-' || (num + 1) || '-' || (num + 2), num + 100.5::double, num + 100.5::double, null from p where d = 2"""))
 def ud06(spark, sf):
-    """Quote pages, one per entrant: pair tables by caption, frames by caption image, trifectas by heading and line."""
-    rows = v.field(spark, sf).filter(F.col("num") < F.col("heads"))
+    """Quote pages, one per entrant: pair tables by caption, frames by caption image, trifectas by heading and line; the last entrant's tables have no cells."""
+    rows = v.field(spark, sf)
     n, frame = F.col("num"), s("frame")
 
     def cell(head, quote, there):
         return F.when(there, F.concat(F.lit("<tr><th>"), head.cast("string"), F.lit("</th><td>"), quote.cast("string"), F.lit("</td></tr>"))).otherwise("")
 
     two = n + 2 <= F.col("heads")
-    always = F.lit(True)
+    always = n + 1 <= F.col("heads")
     half = lambda c: (c + F.lit(0.5)).cast("double")
     html = F.concat(
         F.lit('<table class="basic umaren"><caption>'), s("num"), F.lit("</caption>"), cell(n + 1, half(n + 10), always), cell(n + 2, half(n + 20), two), F.lit("</table>"),
@@ -320,10 +319,10 @@ def ud06(spark, sf):
     return coloured.select("page_id", "kind", v.leg_string().alias("legs"), "odds_lo", "odds_hi", "colour1")
 
 
-@query("ud06_single_quote_pages", with_(FIELD, """select race_id as page_id, num, frame, 'h' || horse as name, carried + 0.5 as win_odds, 1.5::double as place_lo, 2.5::double as place_hi from field where heads <= 7"""))
+@query("ud06_single_quote_pages", with_(FIELD, """select race_id as page_id, num, frame, 'h' || horse as name, carried + 0.5 as win_odds, 1.5::double as place_lo, 2.5::double as place_hi from field"""))
 def ud06_single(spark, sf):
-    """WN13 on pages: the frame image stands in the first row of its entrants only (fields of at most seven)."""
-    rows = v.field(spark, sf).filter(F.col("heads") <= 7)
+    """WN13 on pages: the frame image stands in the first row of its entrants only."""
+    rows = v.field(spark, sf)
     first = F.when(F.col("num") % 2 == 1, F.concat(F.lit('<td class="waku" rowspan="2"><img src="/img/waku/'), s("frame"), F.lit('.png"></td>'))).otherwise("")
     row = F.concat(
         F.lit("<tr>"), first, F.lit('<td class="num">'), s("num"), F.lit('</td><td class="horse"><a>h'), s("horse"), F.lit('</a></td><td class="odds_tan">'),

@@ -56,6 +56,24 @@ def st01(spark, sf):
     return last.select("race_id", "kind", F.get("legs", F.lit(0)).alias("leg"), v.r6("odds_lo").alias("odds"), shown("fetched_at").alias("fetched_at"))
 
 
+@query("st01_snapshot_table", """select ts::date as race_date, event_type as kind, user_id as race_id, cast(event_id % 3 as int) as leg, round(max(struct_pack(ts := ts, value := value)).value, 6) as odds,
+ strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as fetched_at from events group by 1, 2, 3, 4""")
+def st01_snapshot(spark, sf):
+    """Quotes arrive in three steps, the last day of the first two once more, and the last batch is merged again: one newest row for every ticket of a day."""
+    rows = events(spark, sf).select(
+        "race_id", F.array((F.col("event_id") % 3).cast("int")).alias("legs"), F.col("value").alias("odds_lo"), F.col("value").alias("odds_hi"),
+        F.col("ts").alias("fetched_at"), F.col("ts").cast("date").alias("race_date"), "kind")
+    path = scratch_path(spark, "stream")
+    chunks = by_time(rows, "fetched_at")
+    chunks[2] = chunks[2].unionByName(chunks[1].filter(F.col("fetched_at") >= F.lit("2024-01-20").cast("timestamp")))
+    for chunk in chunks:
+        chunk.write.mode("append").parquet(f"{path}/in")
+        st.snapshot(spark.readStream.schema(chunk.schema).parquet(f"{path}/in"), f"{path}/table", f"{path}/state")
+    st.merge_quotes(chunks[2], f"{path}/table")
+    back = spark.read.schema(st.QUOTE).parquet(f"{path}/table")
+    return back.select("race_date", "kind", "race_id", F.get("legs", F.lit(0)).alias("leg"), v.r6("odds_lo").alias("odds"), shown("fetched_at").alias("fetched_at"))
+
+
 @query("st02_due_races", """select s.event_id as race_id, c.event_id as tick from events s join events c on c.ts >= s.ts - interval 3 minute and c.ts < s.ts
 where s.event_type = 'purchase' and c.event_type = 'view'""")
 def st02(spark, sf):

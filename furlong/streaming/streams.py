@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
+from furlong.session import cut
+from furlong.sources.sinks import write_quotes
+
 STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LEAD = "3 minutes"
@@ -140,6 +143,36 @@ def lifecycle(events: DataFrame) -> DataFrame:
         statefulProcessor=_lifecycle(), outputStructType=TRANSITION, outputMode="Append", timeMode="None")
 
 
+QUOTE = "race_id long, legs array<int>, odds_lo double, odds_hi double, fetched_at timestamp, race_date date, kind string"
+
+
+def merge_quotes(batch: DataFrame, table: str) -> None:
+    """ST01: the newest quotes of a batch into the snapshot ``table``, which has one row a ticket and a folder for each day and kind.
+
+    Only the days and kinds of the batch are read and written anew, all at the end.  The newest row of old and new is the same however often
+    a batch comes, so a repeated batch changes nothing, and one that failed half-way may be repeated.
+    """
+    spark = batch.sparkSession
+    columns = spark.createDataFrame([], QUOTE).columns
+    keys = ["race_date", "kind", "race_id", "legs"]
+    quote = ["fetched_at", "odds_lo", "odds_hi"]  # of equal times the higher quote
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max(F.struct(*quote)).alias("_q")).select(*keys, "_q.*").select(*columns)
+
+    fresh = cut(newest(batch.select(*columns)))
+    touched = fresh.select("race_date", "kind").distinct()
+    old = spark.read.schema(QUOTE).parquet(table).join(touched, ["race_date", "kind"], "left_semi").select(*columns)
+    write_quotes(cut(newest(old.unionByName(fresh))), table)
+
+
+def snapshot(quotes: DataFrame, table: str, state: str) -> None:
+    """ST01: brings the snapshot table up to what has arrived; a reader needs no history."""
+    quotes.sparkSession.createDataFrame([], QUOTE).write.mode("append").partitionBy("race_date", "kind").parquet(table)
+    run = quotes.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda batch, _: merge_quotes(batch, table)).start()
+    run.awaitTermination()
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> dict:
     """Process what is there and stop; results below ``path``/out, one folder per batch.
 

@@ -126,6 +126,27 @@ def test_tickets_once_survives_a_restart(spark, tmp_path):
     assert {r["race_id"]: r["count"] for r in got} == {1: 1, 2: 1, 3: 1}
 
 
+def test_snapshot_keeps_the_newest_quotes(spark, tmp_path):
+    """Old quotes that come late change nothing, other days stay as files, and a repeated batch leaves the same rows."""
+    day, minute = dt.datetime(2026, 9, 6, 9), dt.timedelta(minutes=1)
+    one = [(1, [1], 2.0, 2.5, day, day.date(), "win"), (1, [1], 3.0, 3.5, day + minute, day.date(), "win"), (1, [1], 1.0, 1.5, day, day.date(), "place"), (2, [4], 9.0, 9.0, day, dt.date(2026, 9, 5), "win")]
+    two = [(1, [1], 7.0, 7.5, day, day.date(), "win"), (1, [2], 5.0, 5.5, day, day.date(), "win"), (1, [1], 3.0, 3.6, day + minute, day.date(), "win")]
+    table = str(tmp_path / "table")
+    for part in (one, two):
+        spark.createDataFrame(part, st.QUOTE).write.mode("append").parquet(str(tmp_path / "in"))
+        st.snapshot(spark.readStream.schema(st.QUOTE).parquet(str(tmp_path / "in")), table, str(tmp_path / "state"))
+    read = lambda: sorted(tuple(r) for r in spark.read.schema(st.QUOTE).parquet(table).collect())
+    want = sorted([(1, [1], 3.0, 3.6, day + minute, day.date(), "win"), (1, [2], 5.0, 5.5, day, day.date(), "win"), one[2], one[3]])
+    files = lambda: sorted((tmp_path / "table" / "race_date=2026-09-05").rglob("*.parquet"))
+    assert read() == want
+    st.merge_quotes(spark.createDataFrame(one, st.QUOTE), table)
+    assert read() == want
+    kept = files()
+    st.merge_quotes(spark.createDataFrame(two, st.QUOTE), table)
+    st.merge_quotes(spark.createDataFrame(two, st.QUOTE), table)
+    assert read() == want and kept and files() == kept
+
+
 def test_settled_stream_gives_every_ticket_once(spark, tmp_path):
     """The first payouts of a contest count, and of those the first with the legs; without payouts the return stays unknown."""
     start, far = dt.datetime(2026, 9, 6, 15), dt.datetime(2030, 1, 1)
