@@ -245,7 +245,9 @@ def jn18(spark, sf):
     return out.select("race_id", "winner", "loser", "carried", v.r6("rate").alias("rate"))
 
 
-@query("ag24_gain_share", "select unnest(" + repr(sorted(COLUMNS)) + ") as feature, 1.0::double as total, true as listed, true as shares_fit")
+@query("ag24_gain_share", with_(CONTEST, f"""values_ as (unpivot (select {", ".join(f"{c}::double as {c}" for c in COLUMNS if c not in ("score0", "last_finish"))}, score::double as score0, null::double as last_finish from contest where yr < {SPLIT}) on {", ".join(COLUMNS)} into name feature value x)""",
+ f"""select f.feature, 1.0::double as total, true as listed, true as shares_fit, (select count(*) from contest where yr < {SPLIT}) as rows, case when f.feature <> 'last_finish' then round(sum(x), 3) + 0 end as value_sum
+from (select unnest({sorted(COLUMNS)!r}) as feature) f left join values_ v on f.feature = v.feature group by f.feature"""))
 def ag24(spark, sf):
     """Every feature is listed, gains sum to one, and the share of the two chosen columns is theirs."""
     train, _ = _sides(spark, sf)
@@ -253,7 +255,10 @@ def ag24(spark, sf):
     share = fit.gain_share(gains, ["frame", "num"])
     total = gains.agg(v.r6(F.sum("gain"), 9).alias("total"), F.sum(F.when(F.col("feature").isin("frame", "num"), F.col("gain")).otherwise(0.0)).alias("mine"))
     fits = (F.abs(F.col("share") - 100 * F.col("mine") / F.col("total")) < 1e-6) & (F.col("used") <= F.col("columns"))
-    return gains.join(F.broadcast(total)).join(F.broadcast(share)).select("feature", "total", (F.col("gain") >= 0).alias("listed"), fits.alias("shares_fit"))
+    seen = train.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.col(c).cast("double")).alias(c) for c in COLUMNS if c != "last_finish"])
+    sums = seen.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(None).cast("double") if c == "last_finish" else v.r6(c, 3)).alias("value_sum")) for c in COLUMNS])).alias("_s"))
+    return gains.join(F.broadcast(total)).join(F.broadcast(share)).join(sums.select("rows", "_s.*"), "feature").select(
+        "feature", "total", (F.col("gain") >= 0).alias("listed"), fits.alias("shares_fit"), "rows", "value_sum")
 
 
 @query("sk06_model_bundle", with_(CONTEST, f"""runs as (select jockey, count(finish) as n from contest where yr < {SPLIT} group by jockey having count(finish) >= 3)""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 LEAD = "3 minutes"
 RESULTS_AFTER = "20 minutes"
 GIVE_UP = "60 minutes"
+#: How long after its newest step a contest is kept.
+GONE = timedelta(days=2)
 
 
 def latest_quotes(quotes: DataFrame, late: str = "1 day") -> DataFrame:
@@ -100,7 +103,7 @@ def _first_times():
     return reduce
 
 
-def _lifecycle():
+def _lifecycle(gone: int):
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Lifecycle(StatefulProcessor):
@@ -109,6 +112,7 @@ def _lifecycle():
         steps = ["proposed", "purchased", "settled"]
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.state = handle.getValueState("steps", "first array<long>, passed int")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -123,24 +127,34 @@ def _lifecycle():
                 out.append((key[0], self.steps[passed], pd.Timestamp(max(first[: passed + 1]))))
                 passed += 1
             self.state.update((first, passed))
+            # the timer moves on with the contest's newest step
+            last = max(first) // 1_000_000 + gone
+            for timer in list(self.handle.listTimers()):
+                last = max(last, timer)
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last)
             yield pd.DataFrame(out, columns=["race_id", "step", "at"])
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.state.clear()
+            yield pd.DataFrame([], columns=["race_id", "step", "at"])
+
         def close(self) -> None:
             pass
 
     return Lifecycle()
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
+def lifecycle(events: DataFrame, late: str = "1 day", gone: timedelta = GONE) -> DataFrame:
     """ST06: proposed, purchased, settled - each passed on once, when the steps before it have been seen too.
 
-    Only the first time of a step counts, so every Arrow batch is cut to one row per contest and
-    step before the shuffle; state per contest is three times and a counter.  State that expires needs
-    processing time, with which a run over what has arrived never ends, so it stays.
+    Only the first time of a step counts, so every Arrow batch is cut to one row per contest and step before the shuffle; state per contest is
+    three times, a counter and a timer.  Settled or not, a contest leaves the state when the watermark has passed its newest step by ``gone``.
     """
     schema = T.StructType([T.StructField("race_id", T.LongType()), T.StructField("step", T.StringType()), T.StructField("at", T.TimestampType())])
-    return events.select("race_id", "step", "at").mapInPandas(_first_times(), schema).groupBy("race_id").transformWithStateInPandas(
-        statefulProcessor=_lifecycle(), outputStructType=TRANSITION, outputMode="Append", timeMode="None")
+    steps = events.select("race_id", "step", "at").mapInPandas(_first_times(), schema).withWatermark("at", late)
+    return steps.groupBy("race_id").transformWithStateInPandas(
+        statefulProcessor=_lifecycle(int(gone.total_seconds() * 1000)), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime")
 
 
 QUOTE = "race_id long, legs array<int>, odds_lo double, odds_hi double, fetched_at timestamp, race_date date, kind string"
@@ -177,7 +191,7 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> dict:
     """Process what is there and stop; results below ``path``/out, one folder per batch.
 
     A repeated batch overwrites its folder, so restarts neither lose nor repeat rows.  Returns how
-    many rows came too late for the watermark.
+    many rows came too late for the watermark, and the rows of state after every batch.
     """
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
@@ -190,7 +204,7 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> dict:
         seen.ended(str(run.runId))
     finally:
         stream.sparkSession.streams.removeListener(seen)
-    return {"dropped": seen.rows.get(str(run.runId), 0)}
+    return {"dropped": seen.rows.get(str(run.runId), 0), "state": seen.state.get(str(run.runId), [])}
 
 
 class _Dropped(StreamingQueryListener):
@@ -198,6 +212,7 @@ class _Dropped(StreamingQueryListener):
 
     def __init__(self) -> None:
         self.rows: dict[str, int] = {}
+        self.state: dict[str, list[int]] = {}
         self.over: set[str] = set()
         self.news = threading.Condition()
 
@@ -211,6 +226,7 @@ class _Dropped(StreamingQueryListener):
         late = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
         run = str(event.progress.runId)
         self.rows[run] = self.rows.get(run, 0) + late
+        self.state.setdefault(run, []).append(sum(o.numRowsTotal for o in event.progress.stateOperators))
 
     def onQueryTerminated(self, event) -> None:
         with self.news:

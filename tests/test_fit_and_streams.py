@@ -147,6 +147,26 @@ def test_snapshot_keeps_the_newest_quotes(spark, tmp_path):
     assert read() == want and kept and files() == kept
 
 
+def test_contests_leave_the_state(spark, tmp_path):
+    """A contest goes when the watermark has passed its newest step; until then steps in any order are passed on once."""
+    day = dt.datetime(2026, 9, 6)
+    hour = dt.timedelta(hours=1)
+    chunks = [[(1, "purchased", day + hour), (2, "proposed", day), (2, "odd", day)], [(1, "proposed", day), (1, "purchased", day + 3 * hour)], [(3, "proposed", day + dt.timedelta(days=30))]]
+    schema = "race_id long, step string, at timestamp"
+    before = spark.conf.get(st.STATE_STORE_KEY, None)
+    spark.conf.set(st.STATE_STORE_KEY, st.STATE_STORE)
+    try:
+        for chunk in chunks:
+            spark.createDataFrame(chunk, schema).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = st.lifecycle(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            state = st.drain(stream, str(tmp_path))["state"]
+    finally:
+        spark.conf.unset(st.STATE_STORE_KEY) if before is None else spark.conf.set(st.STATE_STORE_KEY, before)
+    got = {(r["race_id"], r["step"], r["at"]) for r in st.results(spark, str(tmp_path), stream.schema).collect()}
+    assert got == {(1, "proposed", day), (1, "purchased", day + hour), (2, "proposed", day), (3, "proposed", day + dt.timedelta(days=30))}
+    assert max(state) == 3 and state[-1] == 1
+
+
 def test_settled_stream_gives_every_ticket_once(spark, tmp_path):
     """The first payouts of a contest count, and of those the first with the legs; without payouts the return stays unknown."""
     start, far = dt.datetime(2026, 9, 6, 15), dt.datetime(2030, 1, 1)
