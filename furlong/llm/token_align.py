@@ -363,7 +363,7 @@ def aligned(docs: DataFrame, left: str | None = None, right: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _of_worker(*paths)
         for batch in batches:
-            for rows, block in blocks(batch, "text", 1 << 20):
+            for rows, block in blocks(batch, "text", 3 << 19):
                 counts, written, (text, a, b, n) = aligner.block(block)
                 off = pa.array(np.searchsorted(text, np.arange(len(rows) + 1)), pa.int32())
                 pairs = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (a, b, n)], ["a", "b", "n"])
