@@ -14,7 +14,7 @@ from furlong.functions.columns import (
     count_of, drop_matching, match_flag, max_of, mean_of, min_of, safe_ratio, spread_of,
 )
 from furlong.operators import relative
-from furlong.operators.groups import Groups, Hot, by_group
+from furlong.operators.groups import FIELD, Groups, Hot, by_group, find_hot
 
 RUNS = 5
 RUN_NUMBERS = [
@@ -157,9 +157,7 @@ def relative_features(df: DataFrame, g: Groups) -> DataFrame:
     df = relative.deviations(df, g, RANKED)
     df = relative.gaps(df, g, GAPPED)
     df = relative.pace(df, g)
-    for value in RANKED:
-        df = relative.average_rank(df, g, value, f"{value}_rank")
-    return df
+    return g.average_ranks(df, {value: f"{value}_rank" for value in RANKED})
 
 
 def feature_matrix(
@@ -170,7 +168,7 @@ def feature_matrix(
     if snapshot == "post" and "finish" in entries.columns:
         entries = subtract_current(entries, bands)
     rows = run_summaries(run_features(career_features(style_features(entries))))
-    made = by_group(rows, hot, relative_features).drop("past", "style4", "career")
+    made = by_group(rows, hot, relative_features, find_hot(entries, *hot.keys, rows=FIELD)).drop("past", "style4", "career")
     if drop_career or snapshot == "leak":
         made = drop_matching(made, CAREER_FEATURES)
     return made if use_pace else drop_matching(made, PACE_FEATURES)

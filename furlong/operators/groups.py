@@ -1,12 +1,13 @@
 """Group-relative work that stays whole when one group holds a large share of all rows.
 
-A pipeline is written once against the small interface below and may run in two plans:
+A pipeline is written once against the small interface below and may run in these plans:
 
 * ``Windowed``   - groups of ordinary size: window functions, all passes share one exchange;
+* ``Counted``    - the same for groups of at most ``FIELD`` rows: ranks by counting in the group's values, without a sort;
 * ``Aggregated`` - the few large groups: partial aggregates before the shuffle, the group
   results joined back by salted keys, order statistics by range partitioning.
 
-``by_group`` sends every row through exactly one of the two and unions the results.
+``by_group`` sends every row through exactly one of them and unions the results.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from furlong.session import cut, scratch_path
 
 HOT_ROWS = 1_000_000
+#: Rows of a group up to which counting in its values is cheaper than one more sort of wide rows.
+FIELD = 64
 #: Tasks over which the rows of a large group are dealt when they meet a table with one row per key.
 SALTS = 32
 HOT_ROWS_KEY = "spark.furlong.hotRows"
@@ -98,10 +101,29 @@ class Windowed:
             Window.currentRow, Window.currentRow)  # the order of rank, so both use one sort
         return df.withColumn(name, F.count(value).over(peers))
 
+    def average_ranks(self, df: DataFrame, names: dict[str, str]) -> DataFrame:
+        """Descending ranks, one column ``names[value]`` per value; equal values share the mean of their places, NULL has no rank."""
+        return _ranks_by_order(self, df, names)
+
     def first(self, df: DataFrame, n: int, *order: Column) -> DataFrame:
         return self.number(df, "_place", *order).filter(F.col("_place") <= n).drop("_place")
 
 
+class Counted(Windowed):
+    """Plan for groups of at most ``FIELD`` rows."""
+
+    def average_ranks(self, df: DataFrame, names: dict[str, str]) -> DataFrame:
+        """A row's place is half, and half of each value equal to its own (itself included), and each greater value."""
+        df = self.add(df, **{f"_all_{v}": F.collect_list(v) for v in names})
+
+        def place(v: str) -> Column:
+            own = F.col(v)
+            step = lambda total, x: total + F.when(x > own, 1.0).when(x == own, 0.5).otherwise(0.0)
+            return F.when(own.isNotNull(), F.aggregate(f"_all_{v}", F.lit(0.5), step))
+
+        return df.withColumns({name: place(v) for v, name in names.items()}).drop(*[f"_all_{v}" for v in names])
+
+
 class Aggregated:
     """Plan for the large groups; never brings a group together in one task."""
 
@@ -152,6 +174,9 @@ class Aggregated:
         counted = df.groupBy(*self.keys, value).agg(F.count(value).alias(name))
         return lookup(df, counted, [*self.keys, value], find_hot(df, *self.keys, value))
 
+    def average_ranks(self, df: DataFrame, names: dict[str, str]) -> DataFrame:
+        return _ranks_by_order(self, df, names)
+
     def first(self, df: DataFrame, n: int, *order: Column) -> DataFrame:
         """Leaders of slices first, so the last step sees n rows per slice."""
         sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(1000)))
@@ -166,12 +191,21 @@ Groups = Windowed | Aggregated
 Pipeline = Callable[[DataFrame, Groups], DataFrame]
 
 
-def by_group(df: DataFrame, hot: Hot, pipeline: Pipeline) -> DataFrame:
-    """Run a group pipeline over all rows, large groups in their own plan."""
-    usual = pipeline(hot.cold(df), Windowed(hot.keys))
-    if hot.table is None:
-        return usual
-    return usual.unionByName(pipeline(hot.rows(df), Aggregated(hot.keys)))
+def by_group(df: DataFrame, hot: Hot, pipeline: Pipeline, wide: Hot | None = None) -> DataFrame:
+    """Run a group pipeline over all rows, large groups in their own plan.
+
+    ``wide`` are the groups beyond ``FIELD`` rows; where it is given, all other groups run in the plan ``Counted``.
+    """
+    usual = hot.cold(df)
+    if wide is None:
+        parts = [pipeline(usual, Windowed(hot.keys))]
+    else:
+        parts = [pipeline(wide.cold(usual), Counted(hot.keys))]
+        if wide.table is not None:
+            parts.append(pipeline(wide.rows(usual), Windowed(hot.keys)))
+    if hot.table is not None:
+        parts.append(pipeline(hot.rows(df), Aggregated(hot.keys)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Hot, how: str = "left") -> DataFrame:
@@ -182,6 +216,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: Hot, how: st
     return usual.unionByName(spread_join(hot.rows(rows), hot.rows(table), tuple(keys), how))
 
 
+def _ranks_by_order(g: Groups, df: DataFrame, names: dict[str, str]) -> DataFrame:
+    for value, name in names.items():
+        df = g.ties(g.rank(df, "_low", value), "_same", value)
+        df = df.withColumn(name, F.col("_low") + (F.col("_same") - 1) / 2).drop("_low", "_same")
+    return df
+
+
 def _array_of(df: DataFrame, fields: list[str]) -> str:
     inner = ",".join(f"`{f}`:{df.schema[f].dataType.simpleString()}" for f in fields)
     return f"array<struct<{inner}>>"

@@ -23,8 +23,7 @@ def deviations(df: DataFrame, g: Groups, values: list[str], suffix: str = "_dev"
 
 def average_rank(df: DataFrame, g: Groups, value: str, name: str) -> DataFrame:
     """WN03: descending rank, equal values share the mean of their places; NULL has none."""
-    df = g.ties(g.rank(df, "_low", value), "_same", value)
-    return df.withColumn(name, F.col("_low") + (F.col("_same") - 1) / 2).drop("_low", "_same")
+    return g.average_ranks(df, {value: name})
 
 
 def min_rank(df: DataFrame, g: Groups, value: str, name: str) -> DataFrame:

@@ -6,19 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.functions import fixed
-from furlong.operators.groups import Hot, by_group, find_hot, lookup
+from furlong.operators.groups import Aggregated, Hot, find_hot, lookup
 
 
 def race_results(entries: DataFrame, hot: Hot) -> DataFrame:
-    """Per contest: the first three in row order of equal finishes, starters and ranked entrants."""
-    placed = by_group(
-        entries.filter(F.col("finish").isNotNull()).select("race_id", "num", "frame", "finish"), hot,
-        lambda df, g: g.first(df, 3, F.col("finish"), F.col("num")))
-    top = placed.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("finish", "num", "frame"))).alias("first"))
-    counted = entries.groupBy("race_id").agg(F.count(F.lit(1)).alias("starters"), F.count("finish").alias("ranked"))
-    return counted.join(top, "race_id").select(
-        "race_id", "starters", "ranked",
-        F.transform("first", lambda x: x["num"]).alias("top"), F.transform("first", lambda x: x["frame"]).alias("top_frames"))
+    """Per contest with finishers: the first three in row order of equal finishes, all placed entrants, starters and ranked entrants."""
+    row = F.struct("finish", "num", "frame")
+    counts = [F.count(F.lit(1)).alias("starters"), F.count("finish").alias("ranked")]
+    ranked = F.array_sort(F.collect_list(F.when(F.col("finish").isNotNull(), row)))
+    out = _results(hot.cold(entries).groupBy("race_id").agg(*counts, ranked.alias("_order")))
+    if hot.table is None:
+        return out
+    # a large contest hands on its placed entrants, dead heats included, and its leaders: a handful
+    large = hot.rows(entries)
+    finished = large.filter(F.col("finish").isNotNull())
+    leaders = Aggregated(hot.keys).first(finished, 3, F.col("finish"), F.col("num")).filter(F.col("finish") > 3)
+    few = leaders.unionByName(finished.filter(F.col("finish") <= 3))
+    order = few.groupBy("race_id").agg(F.array_sort(F.collect_list(row)).alias("_order"))
+    return out.unionByName(_results(large.groupBy("race_id").agg(*counts).join(order, "race_id")))
+
+
+def _results(ordered: DataFrame) -> DataFrame:
+    first = F.slice("_order", 1, 3)
+    return ordered.filter(F.col("ranked") > 0).select(
+        "race_id", "starters", "ranked", F.transform(first, lambda x: x["num"]).alias("top"), F.transform(first, lambda x: x["frame"]).alias("top_frames"),
+        F.transform(F.filter("_order", lambda x: x["finish"] <= 3), lambda x: F.struct(x["num"].alias("num"), x["finish"].alias("finish"))).alias("_placed"))
 
 
 def is_hit(kind: Column, legs: Column, top: Column, frames: Column, finish: Column, starters: Column) -> Column:
@@ -43,10 +55,7 @@ def judge(tickets: DataFrame, entries: DataFrame, hot: Hot, many: Hot | None = N
 
     ``hot`` are the contests with very many entrants, ``many`` those with very many tickets.
     """
-    # the placed entrants of a contest are a handful, dead heats included
-    placed = entries.filter(F.col("finish") <= 3).groupBy("race_id").agg(F.collect_list(F.struct("num", "finish")).alias("_placed"))
-    results = race_results(entries, hot).join(placed, "race_id", "left")
-    known = lookup(tickets, results, ["race_id"], many or find_hot(tickets, "race_id"))
+    known = lookup(tickets, race_results(entries, hot), ["race_id"], many or find_hot(tickets, "race_id"))
     finish = F.get(F.filter("_placed", lambda x: x["num"] == F.get("legs", F.lit(0))), F.lit(0))["finish"]
     hit = is_hit(F.col("kind"), F.col("legs"), F.col("top"), F.col("top_frames"), finish, F.col("starters"))
     return known.withColumn("hit", F.when(F.coalesce(F.col("ranked") >= 3, F.lit(False)), hit)).drop(

@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from furlong.operators import chances, relative, tickets
-from furlong.operators.groups import Hot, by_group, find_hot, lookup
+from furlong.operators import chances, relative, settle, tickets
+from furlong.operators.groups import FIELD, Hot, by_group, find_hot, lookup
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,35 @@ def test_plans_agree(skewed, name):
     both(skewed, pipeline, ["race_id", "num", *columns])
 
 
+def test_counted_ranks(spark, skewed):
+    """Ranks counted in the fields of at most 64, sorted in the field of 300, or ranked by range partitions: all equal a plain count."""
+    odd = spark.createDataFrame(
+        [(200, i + 1, v, v) for i, v in enumerate([0.0, -0.0, math.nan, math.nan, math.inf, None, -1.0])] + [(201, 1, None, None), (None, 1, 2.0, 3.0), (None, 1, 2.0, 4.0)],
+        "race_id long, num int, score double, x double")
+    df = skewed.select("race_id", "num", "score", "x").unionByName(odd)
+    wide, hot = find_hot(df, "race_id", rows=FIELD), find_hot(df, "race_id", rows=50)
+    pipeline = lambda d, g: g.average_ranks(d, {"score": "by_score", "x": "by_x"})
+    columns = ["race_id", "num", "score", "x", "by_score", "by_x"]
+    results = [sorted(map(repr, by_group(df, h, pipeline, w).select(columns).collect()))
+               for h, w in ((Hot(("race_id",)), None), (Hot(("race_id",)), wide), (hot, wide), (hot, Hot(("race_id",))))]
+    assert len(results[0]) == df.count() and all(r == results[0] for r in results[1:])
+    field = {r["num"]: r["by_score"] for r in by_group(odd.filter("race_id = 200"), Hot(("race_id",)), pipeline, Hot(("race_id",))).collect()}
+    assert field == {1: 4.5, 2: 4.5, 3: 1.5, 4: 1.5, 5: 3.0, 6: None, 7: 6.0}
+    plan = by_group(df, Hot(("race_id",)), pipeline, Hot(("race_id",)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
+def test_results_of_large_contests(spark):
+    """First three, placed and counted entrants: dead heats, a repeated row, finishes that start at four, nobody ranked."""
+    rows = [(1, i, i % 8 + 1, i if i > 2 else 1) for i in range(1, 21)] + [(2, i, 1, i + 3) for i in range(1, 12)] + [(2, 1, 1, 4)]
+    rows += [(3, i, 1, None) for i in range(1, 12)] + [(4, 1, 1, 2), (4, 2, 1, None)]
+    df = spark.createDataFrame(rows, "race_id long, num int, frame int, finish int")
+    shown = lambda hot: {r["race_id"]: (r["starters"], r["ranked"], r["top"], r["top_frames"], [tuple(x) for x in r["_placed"]]) for r in settle.race_results(df, hot).collect()}
+    want = {1: (20, 20, [1, 2, 3], [2, 3, 4], [(1, 1), (2, 1), (3, 3)]), 2: (12, 12, [1, 1, 2], [1, 1, 1], []), 4: (2, 1, [1], [1], [(1, 2)])}
+    assert shown(Hot(("race_id",))) == want
+    assert shown(find_hot(df, "race_id", rows=7)) == want
+
+
 def test_wide_field_of_small_shares(spark):
     """Fields beyond the heavy limit use power sums; compared with direct double sums."""
     import numpy as np
