@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from furlong.llm import best_fit, frames, grouping, line_dedup, mix_histogram, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, text_stats, textblock, toxicity
+from furlong.llm import best_fit, frames, grouping, line_dedup, mix_histogram, near_texts, prefix_hash, rule_ensemble, simhash_trie, suffix_groups, surrogates, target_ratio, text_stats, textblock, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -457,6 +457,55 @@ def test_near_texts_against_all_pairs(spark):
     assert got == sorted(i for i in first if first[i] == i)
 
 
+def shingle_sets(rows):
+    words = {i: t.split() for i, t in rows}
+    return {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+
+
+def pairs_met(spark, rows):
+    """Pairs of texts that are compared if nothing is linked yet, and the texts' vertices by number."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = frames.stored(near_texts.prefixes(docs, near_texts.bucket_rows(docs)), "prefixes")
+    members = frames.stored(near_texts.members_of(marked), "members")
+    found = near_texts.central_pairs(members).unionByName(near_texts.apart_pairs(members.withColumn("label", F.struct("vertex")))).distinct()
+    return {(r["a"], r["b"]) for r in found.collect()}, {r["doc_id"]: r["vertex"] for r in marked.collect()}
+
+
+def test_pages_of_one_template_meet_nowhere(spark):
+    """Pages whose own words, an eighth to a fifth, come before, after or around the common ones, and whose sizes differ a little."""
+    rng = random.Random(21)
+    template, rows = [f"t{k}" for k in range(300)], []
+    for i in range(240):
+        own = [f"o{i}x{k}" for k in range(rng.randrange(44, 76))]
+        at = rng.choice((0, len(own), 20))
+        rows.append((i, " ".join(own[:at] + template + own[at:])))
+    sets = shingle_sets(rows)
+    assert not any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2))
+    met, _ = pairs_met(spark, rows)
+    assert len(met) <= len(rows)  # of 28,680
+
+
+def test_no_alike_pair_is_missed(spark):
+    """By band of similarity: every pair of planted copies of 0.8 and more is among those compared, at all lengths and with many edits."""
+    rng, rows = random.Random(22), []
+    for g in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((6, 30, 120, 400)))]
+        for k in range(5):
+            copy = list(words) + [f"e{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(1 + len(words) // 6))]
+            for _ in range(rng.randrange(1 + len(words) // 60)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10 ** 6)}"
+            rows.append((10 * g + k, " ".join(copy)))
+    sets = shingle_sets(rows)
+    met, vertex = pairs_met(spark, rows)
+    bands = collections.Counter()
+    for a, b in itertools.combinations(sets, 2):
+        both, all_ = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if 5 * both >= 4 * all_ and vertex[a] != vertex[b]:
+            bands[20 * both // all_] += 1
+            assert (min(vertex[a], vertex[b]), max(vertex[a], vertex[b])) in met
+    assert all(bands[k] >= 5 for k in (16, 17, 18, 19))
+
+
 # ---------------------------------------------------------------- 10 mixing
 def level(sizes, weights=(5, 2, 1)):
     """Targets by cutting and sharing again until none is above."""
