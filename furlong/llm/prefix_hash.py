@@ -11,6 +11,9 @@ hashes of the union), 1 if the whole texts are equal.  Arrays are built a block
 Defined results: null and empty texts have one common fingerprint, of likeness 1 to itself and 0 to others; a text shorter than a
 span is one span.  Rows are ordered by doc_id descending, null ids last, then by their text's hash; with repeated ids
 this order stays total except among equal rows, which are interchangeable.
+
+The order is cut into stretches by quantiles of the ids; an id (or null) that holds more than a stretch is cut further by its texts' hashes, so no
+stretch grows with a hot id.  Only rows equal in both id and text stay in one stretch.
 """
 
 from __future__ import annotations
@@ -137,32 +140,49 @@ def _heads(ids: DataFrame) -> list[tuple]:
 def in_order(docs: DataFrame) -> DataFrame:
     """(stretch, guest, doc_id, key, text), one stretch of the descending order after the other inside partitions; one shuffle of the texts.
 
-    Quantiles of the ids, a fixed number of them, cut the order into stretches.  The first row of each stretch is also sent to the
-    end of the stretch before it, as a guest, and the first of all to the end of the last.
+    The first row of each stretch is also sent to the end of the stretch before it, as a guest, and the first of all to the end of the last.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [k / (STRETCHES * n) for k in range(1, STRETCHES * n)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts")).first()["cuts"] or []
     kind = dict(docs.dtypes)["doc_id"]
-    bounds = np.array(sorted(set(cuts)), np.int64)
-
-    @F.arrow_udf("int")
-    def stretch(ids: pa.Array) -> pa.Array:
-        """How many bounds are above the id; null ids come after all others."""
-        above = len(bounds) - np.searchsorted(bounds, ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), "right")
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, above), pa.int32())
-
-    rows = docs.select("doc_id", text_key().alias("key"), "text").withColumn("stretch", stretch("doc_id"))
+    stretch = _stretches(docs)
+    rows = docs.select("doc_id", text_key().alias("key"), "text").withColumn("stretch", stretch("doc_id", "key"))
     heads = _heads(rows.select("stretch", "doc_id", "key"))
     targets = [heads[k - 1][0] for k in range(len(heads))]  # of the first, the last
     table = spark.createDataFrame([(t, h[1], h[2]) for t, h in zip(targets, heads, strict=True)], f"_target int, _head {kind}, _key long")
-    guests = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("key") == F.col("_key")))
+    met = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("key") == F.col("_key")))
+    guests = met.groupBy("_target").agg(*[F.first(c).alias(c) for c in ("doc_id", "key", "text")])  # equal rows: one is enough
     columns = ["doc_id", "key", "text"]
     both = rows.select("stretch", F.lit(0).alias("guest"), *columns).unionByName(guests.select(F.col("_target").alias("stretch"), F.lit(1).alias("guest"), *columns))
     return both.repartition("stretch").sortWithinPartitions("stretch", "guest", F.col("doc_id").desc_nulls_last(), "key")
 
 
+def _stretches(docs: DataFrame):
+    """A column function of (doc_id, key) that numbers the stretches in the descending order.
+
+    The ids between two quantiles are an interval, an id that is several quantiles has one of its own, and null ids have the last.  The keys
+    of an interval, which are hashes, are cut evenly into as many stretches as its rows need.  Only the quantiles come to the driver, a fixed number.
+    """
+    n = STRETCHES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = docs.agg(
+        F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("cuts"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
+    cuts, times = np.unique(np.array(facts["cuts"] or [], np.int64), return_counts=True)
+    heavy = cuts[times > 1]
+    bounds = np.union1d(cuts, heavy[heavy < np.iinfo(np.int64).max] + 1)
+    parts = np.ones(len(bounds) + 2, np.uint64)
+    parts[len(bounds) - np.searchsorted(bounds, heavy, "right")] = times[times > 1] + 1
+    parts[-1] = 1 + n * (facts["rows"] - facts["ids"]) // max(1, facts["rows"])
+    before = (np.cumsum(parts) - parts).astype(np.int64)
+
+    @F.arrow_udf("int")
+    def stretch(ids: pa.Array, key: pa.Array) -> pa.Array:
+        above = len(bounds) - np.searchsorted(bounds, ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), "right")
+        interval = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, above)
+        rank = (key.to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # of the signed key, from 0
+        return pa.array((before[interval] + (rank * parts[interval] >> np.uint64(32)).astype(np.int64)).astype(np.int32), pa.int32())
+
+    return stretch
+
+
 OUTPUT = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_start_edited", "same_start_next"]
 
 

@@ -323,6 +323,22 @@ def test_edited_texts(docs, texts):
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.4 > 0.05 > np.mean([r["near_next"] for r in got.values()])
 
 
+def test_hot_ids_are_cut(spark):
+    """Half of the ids null, a quarter one id: no stretch holds much more than others, and every row meets the next of the order."""
+    rng = random.Random(77)
+    rows = [(None if i % 2 else 7 if i % 4 else rng.randrange(-50, 60), f"text {i % 1900} " + "ab é😀"[i % 5] * (i % 9)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("key", frames.text_key())
+    order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["key"]))
+    want = collections.Counter()
+    for k, r in enumerate(order):
+        text, after, third = r["text"], order[(k + 1) % len(order)]["text"], len(r["text"]) // 3
+        want[r["doc_id"], len(text), hashlib.sha256((text[:len(text) - third] + after[:third]).encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in prefix_hash.compare(docs).collect()) == want
+    sizes = [r["count"] for r in prefix_hash.in_order(docs).filter("guest = 0").groupBy("stretch").count().collect()]
+    mean = len(rows) / prefix_hash.STRETCHES / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == len(rows) and max(sizes) <= 2.5 * mean + 20
+
+
 def test_spans_and_extensions():
     rng = np.random.default_rng(7)
     data = rng.integers(97, 99, 600).astype(np.uint8)
