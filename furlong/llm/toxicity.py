@@ -133,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str, learn: Column, sample
     totals = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}
     order = F.xxhash64("doc_id")
     chosen = [labelled.filter(F.col("_label") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]  # at most 2 * sample ids
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"])
+    met = docs.select("doc_id", F.struct("text").alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    one = F.min_by("_text", F.xxhash64("_text.text")).alias("_text")  # of several texts of one id always the same
+    picked = met.groupBy("doc_id").agg(F.first("_label").alias("_label"), one).select("doc_id", "_label", "_text.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
