@@ -101,7 +101,8 @@ def fit(stats: DataFrame, labels: DataFrame, target: str, learn: Column, sample:
     """Learns from at most ``sample`` labelled rows that ``learn`` (a column on doc_id) allows."""
     labelled = labels.filter(learn & F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("double").alias("_label"))
     ids = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").coalesce(1).cache()  # at most ``sample`` rows of numbers
+    one = F.min(F.struct("_label", *STATISTICS)).alias("_row")  # of several rows of one id always the same
+    rows = stats.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "_row.*").orderBy("doc_id").coalesce(1).cache()  # at most ``sample`` rows of numbers
     shares = rows.agg(F.count("*").alias("n"), F.avg("_label").alias("share")).first()
     if not shares["n"]:
         return Ensemble(0.0)

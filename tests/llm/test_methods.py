@@ -309,6 +309,19 @@ def test_ratio_prefers_the_trusted(spark):
     assert len(buckets) == 159 and np.isclose(found[1]["score"], ratios[buckets].mean())
 
 
+def test_fits_do_not_depend_on_the_order_of_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(i % 60, " ".join(rng.choice(("alpha", "beta", "gamma" if i % 2 else "delta")) for _ in range(5 + i % 40)) + ".") for i in range(180)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y int")
+    models, rules = [], []
+    for table in (rows, rows[::-1]):
+        docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+        models.append(toxicity.train(docs, marks, "y", F.lit(True)))
+        rules.append(rule_ensemble.fit(rule_ensemble.with_statistics(docs), marks, "y", F.lit(True)))
+    assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+    assert rules[0] == rules[1]
+
+
 # ---------------------------------------------------------------- 7 fingerprints
 def test_edited_texts(docs, texts):
     got = {r["doc_id"]: r for r in prefix_hash.compare(docs).collect()}
