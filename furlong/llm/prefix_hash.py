@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from furlong.llm.frames import text_key
 from furlong.llm.textblock import BLOCK_BYTES, blocks, code_points, mixed
 
+#: Bytes of text whose arrays, and those of the edited texts, are held at once.
+HELD = 1 << 20
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244)
 SPAN = 24
@@ -195,7 +197,7 @@ def compare(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.RecordBatch | None = None  # the row that still waits for the next one
         for batch in batches:
-            for rows, _ in blocks(batch, "text"):
+            for rows, _ in blocks(batch, "text", HELD):
                 held = rows if carried is None else pa.concat_batches([carried, rows])
                 if len(held) > 1:
                     yield _compared(held)
