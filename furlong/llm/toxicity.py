@@ -35,6 +35,7 @@ LEAST = 3
 EPOCHS = 120
 RATE = 0.3
 PENALTY = 2e-4
+STEP = 1 << 19
 START = -5.0
 
 #: What does not belong to a word: ASCII other than letters.
@@ -87,9 +88,9 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
-    """``bags``: features, their sentence, label, and weight of each document.
+    """``bags``: features, their sentence, label, and weight of each document; the list is emptied.
 
-    Full-batch Adam on the weighted log loss of the noisy-or.
+    Full-batch Adam on the weighted log loss of the noisy-or; the occurrences are summed ``STEP`` at a time.
     """
     label = np.array([b[2] for b in bags], float)
     if not len(bags) or label.min() == label.max():
@@ -110,14 +111,23 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int, float]]) -> Model:
     number[known] = np.arange(len(known))
     keep = number[found] >= 0
     found, sentence = number[found[keep]], sentence[keep]
+    n_docs = len(bags)
+    bags.clear()
+    steps = [slice(k, k + STEP) for k in range(0, len(found), STEP)]
     w, bias = np.zeros(len(known)), START
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for epoch in range(1, EPOCHS + 1):
-        z = bias + np.bincount(sentence, w[found], len(doc))
-        none = np.bincount(doc, softplus(z), len(bags))  # -log of the chance that no sentence offends
+        z = np.full(len(doc), bias)
+        for k in steps:
+            low, high = int(sentence[k].min()), int(sentence[k].max()) + 1
+            z[low:high] += np.bincount(sentence[k] - low, w[found[k]], high - low)
+        none = np.bincount(doc, softplus(z), n_docs)  # -log of the chance that no sentence offends
         blame = np.where(label > 0, -1.0 / np.expm1(np.clip(none, 1e-12, 50.0)), 1.0) * weight
         slope = blame[doc] * (0.5 + 0.5 * np.tanh(0.5 * z))
-        grad = np.append(np.bincount(found, slope[sentence], len(w)) + PENALTY * np.sign(w) * (w != 0) + PENALTY * 0.1 * w, slope.sum())
+        pull = np.zeros(len(w))
+        for k in steps:
+            pull += np.bincount(found[k], slope[sentence[k]], len(w))
+        grad = np.append(pull + PENALTY * np.sign(w) * (w != 0) + PENALTY * 0.1 * w, slope.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         step = RATE * (1.0 - epoch / (EPOCHS + 1)) * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-7)
@@ -152,11 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str, learn: Column, sample
                 ], ["doc_id", "_label", "found", "sentence"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = picked.mapInArrow(run, f"doc_id {kind}, _label int, found binary, sentence binary").collect()  # the bounded sample
-    rows.sort(key=lambda r: r["doc_id"])
-    seen = {y: sum(r["_label"] == y for r in rows) for y in (0, 1)}
-    return fit([
-        (np.frombuffer(r["found"], np.int32), np.frombuffer(r["sentence"], np.int32), r["_label"], totals[r["_label"]] / seen[r["_label"]]) for r in rows])
+    table = picked.mapInArrow(run, f"doc_id {kind}, _label int, found binary, sentence binary").toArrow()  # the bounded sample
+    rows = sorted(zip(table["doc_id"].to_pylist(), table["_label"].to_pylist(), table["found"], table["sentence"], strict=True), key=lambda r: r[0])
+    del table
+    seen = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
+    bags = [(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32), y, totals[y] / seen[y]) for _, y, f, s in rows]
+    del rows
+    return fit(bags)
 
 
 def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
