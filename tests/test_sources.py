@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import fixed
 from furlong.operators import normalize
+from furlong.operators.groups import Hot, find_hot
 from furlong.sources import files, pages, sinks
 
 def paid(kind, legs, amount):
@@ -181,6 +182,26 @@ def test_card_to_entries(spark):
     assert run["passing"] == [1, 2, 3, 4] and run["margin"] == 0.4 and run["last3f_rank"] == 3.0 and len(row["past"]) == 5
 
 
+def test_card_plans_agree(spark, low_limit):
+    """Both plans of the vertical card: repeated labels, short lines, a line without a label and a line of the entrant names."""
+    texts = {0: ["1", "2", "3", "馬番"], 1: ["a", "b", "c", "馬名"], 2: ["o1", "o2", "o3", "備 考"], 3: ["p1", None, "備考"], 4: ["x", "y", "z"], 5: ["t1", "t2", "t3", "調教師"],
+             6: ["f1", "f2", "f3", "?"], 7: ["q1", "備考"], 8: ["z1", "z2", "z3", None]}
+    cells = [(race, i, j, x) for race in (1, 2) for i, line in texts.items() for j, x in enumerate(line)]
+    df = spark.createDataFrame(cells, "race_id long, row_ix int, col_ix int, text string")
+    one, many = (normalize.reshape_vertical_card(df.filter(f"race_id <= {most}"), ["馬番", "備考", "調教師"], hot) for most, hot in ((2, Hot(("race_id",))), (2, None)))
+    assert find_hot(df, "race_id").table is not None
+    seen = [sorted((r["race_id"], r["col_ix"], r["馬番"], r["備考"], r["調教師"], r["着順"]) for r in part.collect()) for part in (one, many)]
+    assert seen[0] == seen[1] == [(race, *rest) for race in (1, 2) for rest in ((0, "1", "o1", "t1", "f1"), (1, "2", "o2", "t2", "f2"), (2, "3", "o3", "t3", "f3"))]
+
+
+def test_card_sorts_no_cells(spark, sf):
+    """Whole cards are reshaped where they are: the only shuffle is that of the entrants."""
+    from furlong.catalog import source_queries
+
+    plan = source_queries.nj33(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "PivotFirst" not in plan
+
+
 def test_missing_columns(spark, tmp_path):
     write(tmp_path, "pred_1.csv", "馬番,1着確率\n1,0.5\n")
     with pytest.raises(ValueError):
