@@ -216,6 +216,25 @@ def test_files_are_put_by_tasks(spark, tmp_path, monkeypatch):
         assert {f.name: f.read_text(encoding="utf-8") for f in (tmp_path / one).iterdir()} == {f"f{i}.txt": f"東{i}" for i in range(300)}
 
 
+def test_plain_pages_read_as_the_parser_reads(spark):
+    """A leading comment sends a page through the parser; without one plain pages take the shorter way, with the same cells."""
+    odd = ['<TABLE class="a b"><tr class=x><td>1</td><td CLASS="y">2<br/>3', "<table><tr><td>a &amp; b<td>c</table>", '<table><tr><td title="1>2">x</td></tr></table> < y', "<table><tr><td>a<p>b</p>c</td></tr></table>tail"]
+    nested = '<h4>h <b>i</b></h4><table class="c1"><caption>1<img src="/p.png"/></caption><tr class="r"><td>a<table><tr><td>b</td></tr></table></td><th>c<ul><li>1</li><li>2</li></ul></th></tr></table>'
+    shown = [*odd, nested, PAYOUT_PAGE, "", "no table"]
+    html = spark.createDataFrame([(2 * i + k, before + page) for i, page in enumerate(shown) for k, before in enumerate(("", "<!-- -->"))], "page_id long, html string")
+    cells = [tuple(r) for r in pages.extract_cells(html).collect()]
+    short, long = (sorted((c[0] // 2, *map(repr, c[1:])) for c in cells if c[0] % 2 == k) for k in (0, 1))
+    assert short == long and len(short) > 20
+
+
+def test_quotes_from_rows_need_no_shuffle(spark):
+    html = '<table class="wide"><caption>1</caption><tr><th>2</th><td>1.5-2.5</td></tr><tr><th>3</th><td></td></tr></table><table class="umaren"><caption>4</caption><tr><th>5</th><td>7.5</td></tr></table>'
+    listed = spark.createDataFrame([(1, html)], "page_id long, html string")
+    rows, cells = pages.quotes_from_rows(pages.extract_rows(listed)), pages.quotes_from_cells(pages.extract_cells(listed))
+    assert sorted(rows.collect()) == sorted(cells.collect()) and rows.count() == 2
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_missing_columns(spark, tmp_path):
     write(tmp_path, "pred_1.csv", "馬番,1着確率\n1,0.5\n")
     with pytest.raises(ValueError):
