@@ -108,3 +108,10 @@ def test_leg_text_round_trip(spark):
     df = spark.createDataFrame(rows, "kind string, legs array<int>")
     back = df.withColumn("back", text.legs("kind", text.protect(text.leg_text("kind", "legs"))))
     assert back.filter("legs <> back").isEmpty()
+
+
+def test_missing_leg_has_no_text(spark):
+    from furlong.functions import text
+
+    rows = spark.createDataFrame([("exacta", [1]), ("trio", [1, 2, 3]), ("frame", [4, 4])], "kind string, legs array<int>")
+    assert [r[0] for r in rows.select(text.leg_text("kind", "legs")).collect()] == [None, "1-2-3", "枠4-枠4"]
