@@ -27,7 +27,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word similarities of 0.8 or more: the one with the smallest doc_id."""
+    """One document of each group linked by five-word similarities of 0.8 or more: the one with the smallest doc_id.
+
+    SimHash fingerprints and their trie join give the first candidates, verified on the whole sets; shared shingles find the pairs no fingerprint shows.
+    """
     return near_texts.keep_first(docs)
 
 

@@ -1,6 +1,9 @@
 """Near-duplicate texts: all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprint bits give no such bound, so shingles themselves are the keys.  All shingles have one order, rare ones first (by the
+SimHash comes first: each text has a fingerprint of its five-word shingles, and the trie join of ``simhash_trie`` gives the pairs of fingerprints
+that differ in at most ``BUDGET`` bits.  They are candidates, verified on the whole sets.  Copies of one text are one vertex and need no pair.
+
+No number of bits finds every pair of this similarity, so the shingles themselves are keys for the pairs the fingerprints miss.  All shingles have one order, rare ones first (by the
 rows of their bucket, then by their hash).  Two sets of similarity ``p / q`` share at least ``ceil(p / q * n)`` of the ``n`` shingles of either, so the
 first ``n - ceil(p / q * n) + 1`` of both have one in common: only these are emitted, and no pair is missed.
 Every pair found is then verified, by the first shingles it shares and then on the whole sets.
@@ -27,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.frames import salted_join, shielded, stored, text_key
-from furlong.llm.simhash_trie import components, first_rows
+from furlong.llm.simhash_trie import BITS, components, first_rows
+from furlong.llm.simhash_trie import links as within
 from furlong.llm.textblock import LOWER, MULTIPLIER, WHITE, Block, Rolling, blocks, mixed, spans
 
 SHINGLE = 5
@@ -35,6 +39,9 @@ SHINGLE = 5
 ALIKE = (4, 5)
 BUCKETS = 1 << 16
 SALTS = 16
+#: Bits in which the fingerprints of candidates may differ, and shingles whose bits are counted at once.
+BUDGET = 3
+AT_ONCE = 1 << 15
 
 
 # ---------------------------------------------------------------- shingles
@@ -62,6 +69,17 @@ def shingles(block: Block, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return whole, doc[first], codes[first]
 
 
+def prints(doc: np.ndarray, codes: np.ndarray, rows: int) -> np.ndarray:
+    """The SimHash fingerprint of every text: the majority of each bit of its different shingles; zero without words."""
+    ones, size = np.zeros((rows, BITS), np.int32), np.bincount(doc, minlength=rows)
+    for at in range(0, len(doc), AT_ONCE):
+        here = doc[at:at + AT_ONCE]
+        bits = np.unpackbits(codes[at:at + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        new = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+        ones[here[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def _bucket(codes: np.ndarray) -> np.ndarray:
     return (codes % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -84,13 +102,14 @@ def bucket_rows(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rows: np.ndarray, width: int = SHINGLE, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """(doc_id, key, vertex, size, codes) of every row: the hash of its words, its number of shingles, and the first of them."""
+    """(doc_id, key, vertex, fp, size, codes) of every row: the hash of its words, its fingerprint, its number of shingles, and the first of them."""
     p, q = alike
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in blocks(batch, "text"):
                 whole, doc, codes = shingles(block, width)
+                fp = prints(doc, codes, len(block))
                 order = np.lexsort((codes, rows[_bucket(codes)], doc))
                 doc, codes = doc[order], codes[order]
                 size = np.bincount(doc, minlength=len(block))
@@ -99,10 +118,11 @@ def prefixes(docs: DataFrame, rows: np.ndarray, width: int = SHINGLE, alike: tup
                 taken = codes[place < wanted[doc]]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(wanted)].astype(np.int32)), pa.array(taken.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int64)), lists], ["doc_id", "key", "vertex", "size", "codes"])
+                    [part.column("doc_id"), part.column("key"), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), lists],
+                    ["doc_id", "key", "vertex", "fp", "size", "codes"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, vertex long, size long, codes array<long>")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, vertex long, fp long, size long, codes array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -138,6 +158,23 @@ def members_of(marked: DataFrame, alike: tuple[int, int] = ALIKE) -> DataFrame:
     return emitted.join(several, "code", "left_semi").distinct()
 
 
+def print_pairs(marked: DataFrame, budget: int = BUDGET, alike: tuple[int, int] = ALIKE) -> DataFrame:
+    """(a, b), a < b: texts whose fingerprints differ in at most ``budget`` bits and whose sizes allow the similarity.
+
+    Texts of one fingerprint meet its first text only, and so do those of a linked fingerprint: a star for each fingerprint and link.
+    """
+    p, q = alike
+    texts = marked.filter("size > 0").select("fp", "vertex", "size").distinct()
+    firsts = stored(texts.groupBy("fp").agg(F.min(F.struct("vertex", "size")).alias("first")), "prints")
+    found = within(firsts.select("fp"), budget)
+    ends = found.select(F.col("a").alias("fp"), F.col("b").alias("_other")).unionByName(found.select(F.col("b").alias("fp"), F.col("a").alias("_other")))
+    stars = firsts.select("fp", F.col("fp").alias("_other")).unionByName(ends)
+    stars = stars.join(firsts.select(F.col("fp").alias("_other"), "first"), "_other").groupBy("fp").agg(F.collect_list("first").alias("_firsts"))
+    met = salted_join(texts, stars, ["fp"], "inner", SALTS).select("vertex", "size", F.explode("_firsts").alias("_first"))
+    near = met.filter((F.col("vertex") != F.col("_first.vertex")) & (F.least("size", "_first.size") * q >= F.greatest("size", "_first.size") * p))
+    return near.select(F.least("vertex", "_first.vertex").alias("a"), F.greatest("vertex", "_first.vertex").alias("b")).distinct()
+
+
 def central_pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b: each member with the first of its key, where the key allows both sizes."""
     centres = members.groupBy("code").agg(F.min(F.struct("vertex", "size", "most")).alias("_first"))
@@ -201,9 +238,11 @@ def labelled(docs: DataFrame, width: int = SHINGLE, alike: tuple[int, int] = ALI
     members = stored(members_of(marked, alike), "members")
     keys = stored(members.groupBy("vertex").agg(F.first("size").alias("size"), F.collect_list("code").alias("keys")), "keys")
 
-    # each member with the first of its key
-    pairs = stored(central_pairs(members), "pairs")
-    links = stored(_alike(docs, stored(_share(pairs, keys, alike), "near"), firsts, width, alike), "links")
+    # the pairs of near fingerprints, then each member with the first of its key
+    near = stored(print_pairs(marked, alike=alike), "pairs")
+    central = stored(central_pairs(members).join(near, ["a", "b"], "left_anti"), "pairs")
+    pairs = near.unionByName(central)
+    links = stored(_alike(docs, stored(near.unionByName(_share(central, keys, alike)), "near"), firsts, width, alike), "links")
     found = components(links, firsts.select("vertex", "value"))
 
     # then members of one key in different components

@@ -570,3 +570,24 @@ def test_thresholds_are_nested(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
     few, many = ({r["doc_id"]: r["_copies"] for r in mix_histogram.mix(docs, share=s).collect()} for s in (0.6, 0.9))
     assert all(few[i] <= many[i] for i in few) and sum(few.values()) < sum(many.values())
+
+
+def test_near_texts_come_from_fingerprints_first(spark):
+    """The fingerprints are majorities of bits, their pairs are those of the trie join, and the pipeline's stage asks for them."""
+    import inspect
+
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "x"]), " ".join(reversed(words)), "a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = frames.stored(near_texts.prefixes(docs, near_texts.bucket_rows(docs)), "prefixes")
+    prints = {r["doc_id"]: r for r in marked.collect()}
+    block = next(iter(textblock.blocks(docs.toArrow().combine_chunks().to_batches()[0], "text")))[1]
+    _, doc, codes = near_texts.shingles(block)
+    for i in range(len(texts)):
+        own = [int(c) for c in codes[doc == i]]
+        assert prints[i]["fp"] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(c >> b & 1 for c in own) > len(own))
+    found = {(r["a"], r["b"]) for r in near_texts.print_pairs(marked, 3).collect()}
+    far = (prints[0]["fp"] ^ prints[1]["fp"]) & (2**64 - 1)
+    pair = tuple(sorted((prints[0]["vertex"], prints[1]["vertex"])))
+    assert far.bit_count() <= 3 and found == {pair}
+    assert "print_pairs(" in inspect.getsource(near_texts.labelled)
