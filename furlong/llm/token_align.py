@@ -34,7 +34,7 @@ from furlong.llm.textblock import Block, Rolling, blocks, expanded, mixed
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 1 << 18
 #: Units and windows that a worker remembers before it starts anew, and the most bytes of a unit and ids of a window; longer ones are worked out each time.
-KNOWN = 250_000
+KNOWN = 125_000
 LONG_UNIT, LONG_WINDOW = 64, 64
 #: Groups with more pairs than this are paired by their distinct ids at once.
 LARGE = 4096
@@ -363,7 +363,7 @@ def aligned(docs: DataFrame, left: str | None = None, right: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _of_worker(*paths)
         for batch in batches:
-            for rows, block in blocks(batch, "text", 3 << 19):
+            for rows, block in blocks(batch, "text", 1 << 20):
                 counts, written, (text, a, b, n) = aligner.block(block)
                 off = pa.array(np.searchsorted(text, np.arange(len(rows) + 1)), pa.int32())
                 pairs = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (a, b, n)], ["a", "b", "n"])
