@@ -161,14 +161,19 @@ def train(docs: DataFrame, labels: DataFrame, target: str, learn: Column, sample
                     pa.array([(sentence[a:b] - s).astype(np.int32).tobytes() for a, b, s in zip(ends, ends[1:], first, strict=False)], pa.binary()),
                 ], ["doc_id", "_label", "found", "sentence"])
 
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("_label").to_pylist(), b.column("found"), b.column("sentence"), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        seen = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
+        bags = [(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32), y, totals[y] / seen[y]) for _, y, f, s in rows]
+        del rows
+        model = fit(bags)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
     kind = dict(docs.dtypes)["doc_id"]
-    table = picked.mapInArrow(run, f"doc_id {kind}, _label int, found binary, sentence binary").toArrow()  # the bounded sample
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["_label"].to_pylist(), table["found"], table["sentence"], strict=True), key=lambda r: r[0])
-    del table
-    seen = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
-    bags = [(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32), y, totals[y] / seen[y]) for _, y, f, s in rows]
-    del rows
-    return fit(bags)
+    bounded = picked.mapInArrow(run, f"doc_id {kind}, _label int, found binary, sentence binary").repartition(1)  # the bounded sample; the driver gets the weights only
+    model = bounded.mapInArrow(learned, "weights binary, bias double").collect()
+    return Model(np.frombuffer(model[0]["weights"], np.float32), model[0]["bias"]) if model else fit([])
 
 
 def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:

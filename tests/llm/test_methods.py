@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -68,6 +69,23 @@ def test_noisy_or_is_the_chance_of_any_sentence():
     assert np.allclose(-np.expm1(-none), [1 - 0.75**3, 0.25])
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample's features never reach the driver; an empty sample gives the model without weights."""
+    docs = spark.createDataFrame([(i, "fine words here. " + ("vile words there." if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    driver, fit = os.getpid(), toxicity.fit
+
+    def elsewhere(bags):
+        assert not bags or os.getpid() != driver
+        return fit(bags)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    model = toxicity.train(docs, labels, "toxic", F.lit(True))
+    assert model.weights.any() and np.isfinite(model.bias)
+    none = toxicity.train(docs, labels, "toxic", F.lit(False))
+    assert not none.weights.any() and none.bias == -np.inf
+
+
 def test_held_out_toxicity(spark):
     path = "/root/testdata/sf0.01"
     docs, labels, apart = frames.documents(spark, path), frames.labels(spark, path), frames.held_out(0, 5)
