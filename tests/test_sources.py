@@ -77,6 +77,18 @@ def test_prediction_and_result_files(spark, tmp_path):
     assert {(r["race_id"], r["num"], r["finish"]) for r in good.collect()} == {("202605040611", 1, 1), ("202605040611", 2, None)} and bad.count() == 1
 
 
+def test_identities_are_worked_out_once(spark, tmp_path):
+    """A row's identity is read by one pattern; neither its parts nor the test for rejects repeat the expressions below it."""
+    head = "開催日,競馬場,レース番号,枠番,馬番,馬名,1着確率,2着以内確率,3着以内確率\n"
+    write(tmp_path / "p", "pred_1.csv", head + "2026年 第4回6日目,東京,11R,1,1,ア,0.6,1,1\n")
+    clean, _ = files.read_predictions(spark, str(tmp_path / "p"), strict=True)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert clean.count() == 1 and plan(clean).count("regexp_extract(") <= 8
+    cards = spark.createDataFrame([("2605040611", "1番", "1着")], "`URLコード` string, `馬番` string, `着順` string")
+    entries, _ = normalize.normalize_entries(cards)
+    assert entries.first()["race_id"] == "202605040611" and plan(entries.select("race_id", "num", "venue")).count("RLIKE") <= 6
+
+
 def state(messages, **more):
     return json.dumps({"messages": messages, **more}, ensure_ascii=False)
 

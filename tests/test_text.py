@@ -115,3 +115,7 @@ def test_missing_leg_has_no_text(spark):
 
     rows = spark.createDataFrame([("exacta", [1]), ("trio", [1, 2, 3]), ("frame", [4, 4])], "kind string, legs array<int>")
     assert [r[0] for r in rows.select(text.leg_text("kind", "legs")).collect()] == [None, "1-2-3", "枠4-枠4"]
+
+
+def test_race_ids_keep_line_ends(spark):
+    assert read(spark, ["2606040601\r\n", "202606040601\n", "202606100612"], text.canonical_race_id) == ["202606040601\r\n", "202606040601\n", "202606100612"]
