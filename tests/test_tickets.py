@@ -122,3 +122,17 @@ def test_ledger_filters(spark):
             ledger.in_mode(df, mode, stake)
     with pytest.raises(ValueError):
         ledger.in_scope(df, first="2024-02-01", last="2024-01-01")
+
+
+def test_ordinary_contests_are_priced_in_one_pass(spark, monkeypatch):
+    """Nothing is written in between, quotes are joined once, and wide fields or many quotes give the same chances."""
+    rows = entrants(spark, [0.4, 0.3, 0.2, 0.1], frames=[1, 1, 2, 2])
+    asked = quotes(
+        spark, ("win", [1], 5.0), ("place", [2], 5.0), ("frame", [1, 1], 5.0), ("frame", [1, 2], 5.0), ("quinella", [1, 2], 5.0), ("wide", [1, 3], 5.0),
+        ("exacta", [2, 1], 5.0), ("trio", [1, 2, 3], 9.0), ("trifecta", [2, 1, 3], 9.0), ("win", [1, 2], 5.0), ("exacta", [1, 1], 5.0), ("trio", [1, 2], 5.0))
+    known = Hot(("race_id",), spark.createDataFrame([(1,)], "race_id long"))
+    apart = {(r["kind"], *r["legs"]): r["chance"] for r in tk.priced(rows, asked, HOT, many=known).collect()}
+    monkeypatch.setattr(tk, "cut", lambda df: pytest.fail("written in between"))
+    found = tk.priced(rows, asked, HOT)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert len(apart) == 9 and {(r["kind"], *r["legs"]): r["chance"] for r in found.collect()} == pytest.approx(apart)
