@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.functions import fixed
-from furlong.operators import grid, ledger, settle, tickets as tk
+from furlong.operators import evaluate, grid, ledger, settle, tickets as tk
 from furlong.operators.groups import Hot
 
 HOT = Hot(("race_id",))
@@ -136,3 +136,12 @@ def test_ordinary_contests_are_priced_in_one_pass(spark, monkeypatch):
     found = tk.priced(rows, asked, HOT)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert len(apart) == 9 and {(r["kind"], *r["legs"]): r["chance"] for r in found.collect()} == pytest.approx(apart)
+
+
+def test_combinations_are_compiled(spark):
+    """Chances inside a generator with a lambda were interpreted row by row."""
+    rows = entrants(spark, [0.4, 0.3, 0.2, 0.1]).withColumns({"heads": F.lit(4).cast("long"), "finish": F.col("num")})
+    found = evaluate.combinations(rows, HOT)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r["kind"]: (r["n"], r["hits"]) for r in found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).collect()}
+    assert counts == {"quinella": (6, 1), "wide": (6, 3), "exacta": (12, 1), "trio": (4, 1), "trifecta": (24, 1)}
