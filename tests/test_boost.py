@@ -149,6 +149,40 @@ def test_halving_keeps_the_better_half(spark, contests):
         boost.halving(rows, ["x"], [])
 
 
+def test_equal_rows_are_one_cell(spark):
+    """Without draws the trees on cells are those on rows; many rows are few cells, and no row is lost."""
+    rows = spark.range(30000).selectExpr("id div 10 as race_id", "cast(id % 10 as int) as num", "if(id % 7 = 0, null, id % 5) as x", "cast(id * id % 11 as double) as y").withColumn(
+        "label", (F.col("num") % 4 + F.col("y") % 3 + F.coalesce("x", F.lit(9))).cast("double"))
+    params = {"maxIter": 4, "maxDepth": 4, "minInstancesPerNode": 40, "subsamplingRate": 1.0}
+    known = fit.cells(rows, ["x", "y"])
+    assert known.bins is None and known.table.count() <= 6 * 11 * fit.DEALS and known.table.agg(F.sum("weight")).first()[0] == 30000 == known.rows
+    want = fit.score(fit.fit_scorer(rows, ["x", "y"], params), rows, ["x", "y"]).withColumnRenamed("score", "want")
+    both = known.fit(params).transform(known.vectors(want))
+    assert both.agg(F.max(F.abs(F.col("score") - F.col("want")))).first()[0] < 1e-9
+
+
+def test_many_values_are_binned(spark):
+    """Borders at the quantiles; values that are missing keep their flag, and rows that mostly differ stay rows."""
+    rows = spark.range(20000).selectExpr("id div 10 as race_id", "cast(id % 10 as int) as num", "if(id % 9 = 0, null, id / 7) as x", "id * 1.5 as y", "cast(id % 10 as double) as label")
+    one = fit.cells(rows, ["x"])
+    assert one.table.count() < 20000 // 2 and one.table.agg(F.sum("weight")).first()[0] == 20000
+    assert 25 <= one.table.select("features").distinct().count() <= fit.BINS + 1  # a ninth of the values are one
+    assert "in {" not in one.fit({"maxIter": 2}).toDebugString  # bins keep their order
+    wide = fit.cells(rows.withColumns({f"z{i}": F.xxhash64("race_id", "num", F.lit(i)).cast("double") for i in range(6)}), ["x", "y", *[f"z{i}" for i in range(6)]])
+    assert wide.table.count() == 20000 and wide.table.select("weight").distinct().count() == 1
+
+
+def test_search_rates_are_those_of_each_candidate(contests):
+    rows = contests.withColumn("part", F.when(F.col("fold") == 0, "valid").otherwise("train"))
+    train, valid = rows.filter("part = 'train'"), rows.filter("part = 'valid'")
+    weak, strong = {**SMALL, "maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0}, {**SMALL, "maxIter": 8, "subsamplingRate": 1.0}
+    found = fit.tune(train, valid, ["x", "z"], [weak, strong])
+    assert [p for p, _ in found] == [weak, strong]
+    alone = [fit.tune(train, valid, ["x", "z"], [p])[0][1] for p in (weak, strong)]
+    assert [r for _, r in found] == alone and alone[1] > 0.4
+    assert boost.halving(rows, ["x"], [weak, strong])[0]["share"] == 1
+
+
 def test_calibration_job(spark):
     """Stored chances that are too flat are made steeper; a contest with a fault is left out."""
     rng = random.Random(3)
