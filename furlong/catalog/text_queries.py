@@ -264,10 +264,11 @@ def nj31(spark, sf):
 @query("nj32_ticket_lines", with_(FIELD, v.QUOTES_SQL, """select race_id, kind, array_to_string(legs, '-') as legs from quotes where legs[1] <= 2"""))
 def nj32(spark, sf):
     """Two messages per quote, of which the first was sent when the first number is at most two."""
-    rows = v.quotes(v.field(spark, sf))
     label = text.mapped(F.col("kind"), fixed.KIND_LABELS)
     line = F.concat(label, F.lit(" "), text.leg_text("kind", "legs"), F.lit(" | 確率 12.00% | オッズ 5 | 期待値 1.2"))
     sent = F.when(F.get("legs", F.lit(0)) <= 2, 1).otherwise(0)
-    messages = F.array(F.concat(F.lit("頭\n"), line, F.lit("\n\n注")), F.concat(line, F.lit("\n")))
-    found = rows.select("race_id", F.inline(text.bets_from_messages(messages, sent)))
-    return found.withColumn("legs", text.legs("kind", "text")).select("race_id", "kind", v.leg_string().alias("legs"))
+    rows = v.quotes(v.field(spark, sf)).select("race_id", line.alias("line"), sent.alias("sent"))
+    messages = F.array(F.concat(F.lit("頭\n"), "line", F.lit("\n\n注")), F.concat("line", F.lit("\n")))
+    lines = rows.select("race_id", messages.alias("messages"), "sent").select("race_id", F.explode(text.bet_lines(F.col("messages"), F.col("sent"))).alias("line"))
+    found = lines.select("race_id", text.bet_of("line").alias("bet")).select("race_id", "bet.*")
+    return text.with_legs(found).select("race_id", "kind", v.leg_string().alias("legs"))

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -280,12 +280,37 @@ def _let(value: Column, use) -> Column:
 
 def unprotect(c: Column | str) -> Column:
     """Text without the ="..." that keeps spreadsheets from reading it as a date."""
+    return _let(F.trim(_c(c)), _bare)
 
-    def bare(text: Column) -> Column:
-        inner = F.trim(F.replace(text.substr(F.lit(3), F.length(text) - 3), F.lit('""'), F.lit('"')))
-        return F.when(text.startswith('="') & text.endswith('"') & (F.length(text) >= 3), inner).otherwise(text)
 
-    return _let(F.trim(_c(c)), bare)
+def _bare(text: Column) -> Column:
+    inner = F.trim(F.replace(text.substr(F.lit(3), F.length(text) - 3), F.lit('""'), F.lit('"')))
+    return F.when(text.startswith('="') & text.endswith('"') & (F.length(text) >= 3), inner).otherwise(text)
+
+
+def _runs(kind: Column, text: Column) -> Column:
+    """The numbers of a bare text that has the form of its kind."""
+    fits = F.lit(False)
+    for pattern in dict.fromkeys(fixed.LEG_PATTERNS.values()):
+        fits = fits | (kind.isin(*[name for name, p in fixed.LEG_PATTERNS.items() if p == pattern]) & text.rlike(pattern))
+    single = F.array(F.regexp_extract(text, r"^(\d+)", 1))
+    runs = F.when(kind.isin("win", "place"), single).otherwise(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)))
+    return F.when(fits, runs.try_cast("array<int>"))
+
+
+def _ordered(kind: Column, numbers: Column, sort: bool, strict: bool) -> Column:
+    """No lambda, which would keep the row out of generated code: a number too large for an int is kept as NULL, and stands last."""
+    beyond = F.lit(1 << 40)
+    by_size = F.sort_array(F.array(*[F.coalesce(F.get(numbers, i).cast("long"), beyond) for i in range(3)]))
+    placed = [F.nullif(F.get(by_size, i), beyond).cast("int") for i in range(3)]
+    unordered = F.when(numbers.isNotNull(), F.slice(F.array(*placed), 1, F.size(numbers)))
+    out = F.when(kind.isin(*fixed.UNORDERED_KINDS), unordered).otherwise(numbers) if sort or strict else numbers
+    if not strict:
+        return out
+    most = F.when(kind == "frame", fixed.MAX_FRAME).otherwise(fixed.MAX_NUMBER)
+    whole = F.array_contains(numbers, F.lit(0)).isNotNull()  # NULL where a number is
+    good = whole & (F.size(F.array_distinct(numbers)) == F.size(numbers)) & (F.array_min(numbers) >= 1) & (F.array_max(numbers) <= most)
+    return F.when(good, out)
 
 
 def legs(kind: Column | str, c: Column | str, sort: bool = True, strict: bool = False) -> Column:
@@ -294,25 +319,14 @@ def legs(kind: Column | str, c: Column | str, sort: bool = True, strict: bool =
     ``sort`` orders the legs of unordered kinds; ``strict`` also wants distinct numbers in range.
     """
     kind = _c(kind)
-    single = kind.isin("win", "place")
+    return _let(_let(unprotect(c), lambda t: _runs(kind, t)), lambda n: _ordered(kind, n, sort, strict))
 
-    def read(text: Column) -> Column:
-        fits = F.lit(False)
-        for name, pattern in fixed.LEG_PATTERNS.items():
-            fits = fits | ((kind == name) & text.rlike(pattern))
-        runs = F.when(single, F.array(F.regexp_extract(text, r"^(\d+)", 1))).otherwise(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)))
-        return F.when(fits, F.transform(runs, lambda x: x.try_cast("int")))
 
-    def ordered(numbers: Column) -> Column:
-        return F.when(kind.isin(*fixed.UNORDERED_KINDS), F.array_sort(numbers)).otherwise(numbers) if sort or strict else numbers
-
-    def sound(numbers: Column) -> Column:
-        most = F.when(kind == "frame", fixed.MAX_FRAME).otherwise(fixed.MAX_NUMBER)
-        good = (F.size(F.array_distinct(numbers)) == F.size(numbers)) & F.forall(numbers, lambda x: x.between(1, most))
-        return F.when(good, numbers)
-
-    numbers = ordered(_let(unprotect(c), read))
-    return _let(numbers, sound) if strict else numbers
+def with_legs(rows: DataFrame, name: str = "legs", kind: str = "kind", c: str = "text", sort: bool = True, strict: bool = False) -> DataFrame:
+    """``legs`` of whole rows, step by step in generated code; a method of more than 8,000 bytes would not be compiled, so callers keep long expressions in steps of their own."""
+    steps = rows.withColumn("_bare", F.trim(F.col(c))).withColumn("_bare", _bare(F.col("_bare")))
+    steps = steps.withColumn("_runs", _runs(F.col(kind), F.col("_bare")))
+    return steps.withColumn(name, _ordered(F.col(kind), F.col("_runs"), sort, strict)).drop("_bare", "_runs")
 
 
 def leg_text(kind: Column | str, numbers: Column | str) -> Column:
@@ -364,12 +378,22 @@ def receipt(texts: Column, points: Column) -> Column:
     )
 
 
-def bets_from_messages(messages: Column, sent: Column) -> Column:
-    """NJ32: (kind, text) of every ticket line in the first ``sent`` messages."""
+def bet_lines(messages: Column, sent: Column) -> Column:
+    """NJ32: every ticket line in the first ``sent`` messages."""
     joined = F.array_join(F.slice(messages, 1, sent), "\n")
-    lines = F.regexp_extract_all(joined, F.lit(PATTERNS["bet_line"]), F.lit(0))
+    return F.regexp_extract_all(joined, F.lit(PATTERNS["bet_line"]), F.lit(0))
+
+
+def bet_of(line: Column | str) -> Column:
+    """(kind, text) of a ticket line: the label ends at the first blank, the text at the next mark after one character."""
+    line = _c(line)
     labels = {label: kind for kind, label in fixed.KIND_LABELS.items()}
-    return F.transform(lines, lambda line: F.struct(
-        mapped(F.regexp_extract(line, PATTERNS["bet_line"], 1), labels).alias("kind"),
-        F.regexp_extract(line, PATTERNS["bet_line"], 2).alias("text"),
-    ))
+    label = F.substring_index(line, " ", 1)
+    start = F.length(label) + 2
+    text = line.substr(start, F.position(F.lit(" | 確率 "), line, start + 1) - start)
+    return F.struct(mapped(label, labels).alias("kind"), text.alias("text"))
+
+
+def bets_from_messages(messages: Column, sent: Column) -> Column:
+    """NJ32: (kind, text) of every ticket line in the first ``sent`` messages."""
+    return F.transform(bet_lines(messages, sent), bet_of)

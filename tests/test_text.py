@@ -119,3 +119,26 @@ def test_missing_leg_has_no_text(spark):
 
 def test_race_ids_keep_line_ends(spark):
     assert read(spark, ["2606040601\r\n", "202606040601\n", "202606100612"], text.canonical_race_id) == ["202606040601\r\n", "202606040601\n", "202606100612"]
+
+
+def test_ticket_lines_without_lambdas(spark):
+    """The text ends where the pattern ends it; whole rows and single columns read the same legs."""
+    lines = [
+        "単勝 1 馬 | 確率 12% | オッズ 5 | 期待値 1", "複勝  | 確率 1 | 確率 2 | オッズ 5 | 期待値 1", "3連単 1→2→3 | 確率 1 | 確率 2 | オッズ 5 | 期待値 1",
+        "枠連 =\"枠2-枠1\" | 確率 1 | オッズ 5 | 期待値 1", "馬連 | 確率 1 | オッズ 5 | 期待値 1", "単勝 2 | 確率 1 | オッズ 5 | 期待値 ", "x単勝 2 | 確率 1 | オッズ 5 | 期待値 1"]
+    pattern = fixed.PATTERNS["bet_line"]
+    df = spark.createDataFrame([(["\n".join(lines), "馬単 1→2 | 確率 1 | オッズ 5 | 期待値 1"], n) for n in range(3)], "messages array<string>, sent int")
+    read = df.select("sent", F.explode(text.bet_lines(F.col("messages"), F.col("sent"))).alias("line"))
+    assert [r["n"] for r in read.groupBy("sent").agg(F.count("line").alias("n")).orderBy("sent").collect()] == [4, 5]
+    by_pattern = F.struct(text.mapped(F.regexp_extract("line", pattern, 1), {v: k for k, v in fixed.KIND_LABELS.items()}).alias("kind"), F.regexp_extract("line", pattern, 2).alias("text"))
+    assert read.filter(text.bet_of("line") != by_pattern).isEmpty() and read.select(text.bet_of("line")["text"].alias("t")).filter("t is null or t = ''").isEmpty()
+    whole = text.with_legs(read.select("line", text.bet_of("line").alias("b")).select("line", "b.*"))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    odd = [("trio", "14-2-99999999999"), ("quinella", "99999999999-3"), ("frame", "枠0-枠3"), ("exacta", "2→99999999999"), ("trio", "3-3-1"), ("win", "x"), ("other", "1-2"), ("wide", None), (None, "1-2")]
+    rows = spark.createDataFrame(odd, "kind string, text string")
+    for strict in (False, True):
+        both = text.with_legs(rows, strict=strict).withColumn("one", text.legs("kind", "text", strict=strict))
+        assert both.filter(~F.col("legs").eqNullSafe(F.col("one"))).isEmpty()
+    assert [r["legs"] for r in text.with_legs(rows).collect()] == [[2, 14, None], [3, None], [0, 3], [2, None], [1, 3, 3], None, None, None, None]
+    assert {tuple(r["legs"] or ()) for r in text.with_legs(rows, strict=True).collect()} == {()}
