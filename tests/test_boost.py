@@ -149,6 +149,22 @@ def test_halving_keeps_the_better_half(spark, contests):
         boost.halving(rows, ["x"], [])
 
 
+def test_halving_query_searches_the_whole_space(spark, contests, monkeypatch):
+    """The registered query gives the search the candidates as they are drawn, with all their rounds and depths."""
+    from furlong.catalog import fit_queries
+
+    seen = []
+
+    def halving(rows, features, candidates):
+        seen.extend(candidates)
+        return [{"rung": k, "share": 0.5 ** (3 - k), "candidate": c, "rate": 0.0, "kept": c < 8 >> k} for k in range(4) for c in range(16 >> k)]
+
+    monkeypatch.setattr(fit_queries, "learning_rows", lambda *_: contests)
+    monkeypatch.setattr(boost, "halving", halving)
+    assert {r["rung"]: r["candidates"] for r in fit_queries.ml07_halving(spark, "").collect()} == {0: 16, 1: 8, 2: 4, 3: 2}
+    assert seen == fit.sample_space(16) and max(c["maxIter"] for c in seen) > 20 and max(c["maxDepth"] for c in seen) > 5
+
+
 def test_equal_rows_are_one_cell(spark):
     """Without draws the trees on cells are those on rows; many rows are few cells, and no row is lost."""
     rows = spark.range(30000).selectExpr("id div 10 as race_id", "cast(id % 10 as int) as num", "if(id % 7 = 0, null, id % 5) as x", "cast(id * id % 11 as double) as y").withColumn(
