@@ -47,16 +47,18 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS, merged: bool = False) -> DataFrame:
     """Null-safe equi-join of many rows with one row a key: the rows of a hot key are dealt over ``salts`` tasks.
 
     ``right`` is repeated ``salts`` times, so it should be the small side; Spark still broadcasts it if
-    its size is under the session's threshold.
+    its size is under the session's threshold.  Spark guesses that size from the files of ``right`` and not from its repeats, so where ``right``
+    grows with the input, ``merged`` asks for a merge join: the repeats never pass through the driver.
     """
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
     names = {k: f"_right_{k}" for k in keys}
     again = right.withColumnsRenamed(names).withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()], F.col("_salt") == F.col("_right_salt"))
+    again = again.hint("merge") if merged else again
     return spread.join(again, same, how).drop("_salt", "_right_salt", *names.values())
 
 

@@ -167,7 +167,7 @@ def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFr
         found = here if found is None else found.unionByName(here)
         if not hot:
             return found.distinct()
-        work = stored(_opened(salted_join(work, large, node, "inner"), depth, budget), "trie")
+        work = stored(_opened(salted_join(work, large, node, "inner", merged=True), depth, budget), "trie")
         depth += OPEN
 
 
@@ -247,7 +247,7 @@ def components(pairs: DataFrame, values: DataFrame) -> DataFrame:
         met = met.withColumn("_root", F.col("_met.root"))
         # many vertices may follow one root
         roots = label.join(label.select(F.col("label.root").alias("vertex")).distinct(), "vertex", "left_semi").select(F.col("vertex").alias("_root"), F.col("label").alias("_next"))
-        jumped = salted_join(met, roots, ["_root"])
+        jumped = salted_join(met, roots, ["_root"], merged=True)
         label = stored(jumped.select(
             "vertex", F.least("_met", F.coalesce("_next", "_met")).alias("_new"), F.col("label").alias("_old")
         ).select("vertex", F.col("_new").alias("label"), (F.col("_new") != F.col("_old")).alias("changed")), "labels")
@@ -265,7 +265,7 @@ def labelled(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> D
     # a fingerprint with one row and no link is its own component and needs no join
     shared = firsts.join(found, "vertex", "left").filter((F.col("rows") > 1) | F.col("label").isNotNull())
     lookup = stored(shared.select(F.col("vertex").alias("fp"), F.coalesce("label", "value").alias("_label")), "shared")
-    return salted_join(marked, lookup, ["fp"]).select("doc_id", "key", "fp", F.coalesce("_label", own).alias("first"))
+    return salted_join(marked, lookup, ["fp"], merged=True).select("doc_id", "key", "fp", F.coalesce("_label", own).alias("first"))
 
 
 def groups(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:

@@ -465,6 +465,16 @@ def test_links_against_all_pairs(spark, group):
     assert {frozenset((r["a"], r["b"])) for r in found} == want and len(found) == len(want)
 
 
+def test_repeats_of_the_shared_fingerprints_stay_off_the_driver(spark, documents):
+    """The table that is repeated for every salt is merged, however small Spark takes its files for, so the driver never collects the repeats."""
+    table = documents([(i, f"some words of text number {i % 7}", "a") for i in range(40)])
+    plan = simhash_trie.groups(table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    left, right = spark.range(20).selectExpr("id % 3 as k", "id"), spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
+    got = [sorted(map(tuple, frames.salted_join(left, right, ["k"], "left", merged=m).collect())) for m in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == 20
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     values = spark.createDataFrame([(k, 1000 - k) for k in [*range(41), 100, 101]], "vertex long, value long")
