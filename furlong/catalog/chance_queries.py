@@ -92,7 +92,7 @@ ind as (
 @query("pl08_independent_chances", with_(v.FIELD_SQL, v.CHANCES_SQL, v.QUOTES_SQL, _INDEPENDENT,
        "select race_id, kind, array_to_string(legs, '-') as legs, round(chance, 8) + 0 as chance from ind"))
 def pl08(spark, sf):
-    out = tk.priced(v.scored(spark, sf), v.quoted(spark, sf), v.hot_races(spark, sf), "independent", many=v.hot_races(spark, sf))
+    out = tk.priced(v.scored(spark, sf), v.quotes(v.field(spark, sf)), v.hot_races(spark, sf), "independent", many=v.hot_races(spark, sf))
     return out.select("race_id", "kind", v.leg_string().alias("legs"), v.r6("chance", 8).alias("chance"))
 
 

@@ -145,3 +145,27 @@ def test_combinations_are_compiled(spark):
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     counts = {r["kind"]: (r["n"], r["hits"]) for r in found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).collect()}
     assert counts == {"quinella": (6, 1), "wide": (6, 3), "exacta": (12, 1), "trio": (4, 1), "trifecta": (24, 1)}
+
+
+@pytest.fixture
+def small_tables(spark, tmp_path, monkeypatch):
+    """A folder with entrants only: contests of one to nine, with ties, and one without an id."""
+    from furlong.catalog import views
+
+    rows = [(race or None, n + 1, n, 1, None, float(n * 7 % 5), 20000.0 * (n * race % 3), 0.1, "A") for race in range(10) for n in range(race or 2)]
+    spark.createDataFrame(rows, """l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double,
+        l_extendedprice double, l_discount double, l_returnflag string""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(views, "_profiles", {})
+    return str(tmp_path)
+
+
+def test_independent_chances_are_not_written_in_between(spark, small_tables, monkeypatch):
+    """Quotes are many times their entrants: they are priced where they are made, and give the rows they gave when they were written first."""
+    from furlong.catalog import chance_queries, views
+
+    shown = lambda df: sorted(map(repr, df.collect()))
+    entries, hot = views.scored(spark, small_tables), views.hot_races(spark, small_tables)
+    found = tk.priced(entries, views.quoted(spark, small_tables), hot, "independent", many=hot)
+    want = shown(found.select("race_id", "kind", views.leg_string().alias("legs"), views.r6("chance", 8).alias("chance")))
+    monkeypatch.setattr(views, "cut", lambda df: pytest.fail("written in between"))
+    assert shown(chance_queries.pl08(spark, small_tables)) == want and len(want) > 50
