@@ -177,6 +177,31 @@ def test_equal_rows_are_one_cell(spark):
     assert both.agg(F.max(F.abs(F.col("score") - F.col("want")))).first()[0] < 1e-9
 
 
+def test_stopping_and_classifying_on_cells_is_that_on_rows(spark):
+    """Equal rows of one label and side are one weighted row; rounds, losses and chances are those of all rows, and no row is lost."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = spark.range(30000).selectExpr("id div 10 as race_id", "cast(id % 10 as int) as num", "if(id % 7 = 0, null, id % 5) as x", "cast(id * id % 11 as double) as y", "id % 3 = 0 as held").withColumns(
+        {"label": (F.col("num") % 4 + F.col("y") % 3).cast("double"), "finish": (F.col("num") * 7 % 10 + F.col("y") % 2).cast("int")}).cache()
+    held, features, limits = F.col("held"), ["x", "y"], {"maxIter": 6, "maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 40, "subsamplingRate": 1.0}
+    few = fit.tree_rows(rows, features, F.col("label"), held)
+    assert few.table.count() < 15000 and few.table.agg(F.sum("weight")).first()[0] == 30000 and few.rows == 20000
+    plain = fit.assembler(features).transform(fit.filled(rows.withColumns({"_valid": held, "top": (F.col("finish") <= 3).cast("double")}), features))
+    more = {**fit.DEFAULTS, **limits}
+    for top, kind, label in ((None, GBTRegressor, "label"), (3, GBTClassifier, "top")):
+        found = boost.fit_stopping(rows, held, features, limits, top, 0.001)
+        want = kind(labelCol=label, validationIndicatorCol="_valid", validationTol=0.001, **more).fit(plain)
+        losses = want.evaluateEachIteration(plain.filter("_valid"), *([] if top else ["squared"]))
+        assert found.losses == pytest.approx(list(losses), rel=1e-9)
+    got = fit.top_chance(fit.fit_top(rows, features, 3, limits), rows, features, "p")
+    assert got.columns == [*rows.columns, "p"]
+    want = fit.top_chance(fit.PipelineModel([fit.assembler(features), GBTClassifier(labelCol="top", **more).fit(plain)]), rows, features, "q")
+    assert got.join(want, ["race_id", "num"]).agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+    apart = fit.tree_rows(rows.withColumn("z", F.xxhash64("race_id", "num").cast("double")).limit(300), ["z"], F.col("label"))
+    assert apart.rows is None and apart.table.count() == 300 and apart.params({"a": 1}) == {"a": 1}
+
+
 def test_many_values_are_binned(spark):
     """Borders at the quantiles; values that are missing keep their flag, and rows that mostly differ stay rows."""
     rows = spark.range(20000).selectExpr("id div 10 as race_id", "cast(id % 10 as int) as num", "if(id % 9 = 0, null, id / 7) as x", "id * 1.5 as y", "cast(id % 10 as double) as label")
