@@ -169,3 +169,19 @@ def test_independent_chances_are_not_written_in_between(spark, small_tables, mon
     want = shown(found.select("race_id", "kind", views.leg_string().alias("legs"), views.r6("chance", 8).alias("chance")))
     monkeypatch.setattr(views, "cut", lambda df: pytest.fail("written in between"))
     assert shown(chance_queries.pl08(spark, small_tables)) == want and len(want) > 50
+
+
+def test_combinations_are_not_written_in_between(spark, small_tables, monkeypatch):
+    """All tickets of pairs and triples among the best six of every contest, without a checkpoint that pairs and triples share."""
+    from collections import Counter
+
+    from furlong.catalog import chance_queries
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.checkpoint", lambda *_: pytest.fail("written in between"))
+    got = Counter((r["race_id"], r["kind"]) for r in chance_queries.jn06(spark, small_tables).collect())
+    want = {}
+    for race in range(3, 10):
+        n = min(race, 6)
+        pairs, triples = n * (n - 1) // 2, n * (n - 1) * (n - 2) // 6
+        want |= {(race, "quinella"): pairs, (race, "wide"): pairs, (race, "exacta"): 2 * pairs, (race, "trio"): triples, (race, "trifecta"): 6 * triples}
+    assert got == want
