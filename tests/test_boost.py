@@ -177,6 +177,20 @@ def test_equal_rows_are_one_cell(spark):
     assert both.agg(F.max(F.abs(F.col("score") - F.col("want")))).first()[0] < 1e-9
 
 
+def test_rounds_of_pairs_leave_nothing_behind(spark, contests, monkeypatch):
+    """The state is written once; what a round writes gives way to the next one."""
+    import os
+
+    from furlong.session import shared_dir
+
+    written, cut = [], boost.cut
+    monkeypatch.setattr(boost, "cut", lambda df: written.append(df.columns) or cut(df))
+    found, measured = boost.fit_pairs(contests, HOT, ["x"], F.col("fold") == 0, 3, params={"maxDepth": 2, "minInstancesPerNode": 2})
+    assert len(measured) == 4 and len(written) == 1 and "grad" not in written[0]
+    assert not [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("slopes-")]
+    assert measured[3]["train_loss"] < measured[0]["train_loss"] and found.losses == [m["valid_loss"] for m in measured]
+
+
 def test_stopping_and_classifying_on_cells_is_that_on_rows(spark):
     """Equal rows of one label and side are one weighted row; rounds, losses and chances are those of all rows, and no row is lost."""
     from pyspark.ml.classification import GBTClassifier
